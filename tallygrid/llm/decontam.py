@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .textkit import LOWER, column_bytes, groups, hash_ranges, ngram_hashes, words
 from .workspace import Workspace
 
@@ -207,6 +208,7 @@ def leaks(
     results; items with equal words each report.  Empty tables give an empty
     result.
     """
+    ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     items = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.shipping import ship
+
 #: Labelled documents per language whose text may enter a dictionary, bytes taken from each, and languages at most.
 SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 192, 1024, 500
 CHUNK = 4096
@@ -37,6 +39,7 @@ def fit_dictionaries(
     of their id and text, ``each`` bytes of each: a fixed, order-free choice.
     Rows with a null text or language teach nothing.
     """
+    ship(spark)
     labelled = labelled.where("text is not null and lang is not null")
     labelled = labelled.select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
@@ -49,7 +52,7 @@ def fit_dictionaries(
     rows = near.withColumn("i", F.row_number().over(order)).where(F.col("i") <= docs).select("lang", "i", "text")
     parts: dict[str, list[tuple[int, bytes]]] = {}
     for r in rows.select("lang", "i", F.substring("text", 1, each).alias("text")).collect():
-        parts.setdefault(r["lang"], []).append((r["i"], r["text"].encode("utf-8", "replace")[:each]))
+        parts.setdefault(r["lang"], []).append((r["i"], r["text"].lower().encode("utf-8", "replace")[:each]))
     return {k: b"\n".join(x for _, x in sorted(v, reverse=True)) for k, v in sorted(parts.items())}
 
 
@@ -84,7 +87,7 @@ def _predictor(dictionaries: dict[str, bytes], level: int, fine: int):
                 if not names or text is None or not _LETTER.search(text):
                     out.append(("und", 0.0, 0, 0, True))
                     continue
-                data = text.encode("utf-8", "replace")
+                data = text.lower().encode("utf-8", "replace")
                 got = sizes(data, coarse)
                 low = sorted(got)
                 if len(low) > 1 and low[1] - low[0] < max(16, 0.02 * low[1]):

@@ -7,7 +7,7 @@ sketches estimates the overlap and filters candidates; the full sets decide.
 
 Which values go into lists follows from the link rule: a pair at 0.75 or more
 shares at least ``need`` of its retained values, so two such documents meet
-in a list of their ``size - need + 1`` smallest ones.  For sets no larger
+in a list of their ``size - need + 1`` rarest ones.  For sets no larger
 than 0.75 k both sketches are whole sets and ``need`` is exact; above, it is
 29 of 64, more than five standard deviations below the expected 48.
 """
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .textkit import mix, shingle_sets, signed
@@ -116,6 +116,22 @@ def _exactly(threshold: int):
     return run
 
 
+def _rarest(ws: Workspace, reps: DataFrame) -> DataFrame:
+    """(key, node): of each sketch the ``prefix`` values that the fewest documents retain.
+
+    Any one order of all values keeps the guarantee; the rarest first keeps
+    values of passages that very many documents share out of the lists.
+    Values that one document alone retains come first and need no list.
+    """
+    one = ["node", "d1", "d2"]
+    every = reps.select(F.explode("sketch").alias("key"), *one, F.size("sketch").alias("size"), "prefix")
+    shared = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    held = ws.cut(every.join(shared, "key"))
+    rank = F.row_number().over(Window.partitionBy(*one).orderBy("df", "key"))
+    ranked = held.withColumn("rank", rank).withColumn("held", F.count("*").over(Window.partitionBy(*one)))
+    return ranked.where(F.col("rank") + F.col("size") - F.col("held") <= F.col("prefix")).select("key", "node").distinct()
+
+
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75
 ) -> DataFrame:
@@ -150,7 +166,7 @@ def near_duplicates(
         pairs = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_exactly(threshold), "a long, b long").distinct()
 
-    postings = reps.select(F.explode(F.slice("sketch", 1, F.col("prefix"))).alias("key"), "node").distinct()
+    postings = _rarest(ws, reps)
     labels = linked_lists(ws, postings, verify)
     # An id with several different texts ties its classes together.
     split = real.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y"), F.min("d2").alias("p"), F.max("d2").alias("q"))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .textkit import column_bytes, groups, words
 
 CAPACITY = 2048
@@ -132,6 +133,7 @@ def pack(
     never conflicts.  Ties go by id; rows that repeat an id are separate
     documents.  An empty table gives an empty result.
     """
+    ship(spark)
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")).alias("source"),

@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder; a temporary one only where none is set."""
@@ -32,6 +34,7 @@ class Workspace:
     """A folder of intermediate tables for one call of an operator."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.path = f"{shared_folder(spark)}/tallygrid-{uuid.uuid4().hex}"
         atexit.register(self.drop, self.path)
