@@ -8,13 +8,18 @@ sketches estimates the overlap and filters candidates; the full sets decide.
 Which values go into lists follows from the link rule: a pair at 0.75 or more
 shares at least ``need`` of its retained values, so two such documents meet
 in a list of their ``size - need + 1`` rarest ones.  For sets no larger
-than 0.75 k both sketches are whole sets and ``need`` is exact; above, it is
-29 of 64, more than five standard deviations below the expected 48.
+than k ``need`` is exact; above, it lies DEVIATIONS standard deviations below
+the expected 48 of 64, towards 28 for very large sets.
+
+Lists that are still long hold documents that mostly consist of widely shared
+passages.  For these documents the same rule is applied once more to their
+full sets, where ``need`` is exact and the rarer quarter of a set suffices.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import floor, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,7 @@ from .textkit import mix, shingle_sets, signed
 from .workspace import Workspace, components, linked_lists
 
 K = 64
-NEED = 29
+DEVIATIONS = 5.5
 #: Documents of candidate pairs that may be broadcast as ids; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -33,8 +38,15 @@ _SETS = "doc_id long, n_shingles long, d1 long, d2 long, prefix int, sketch arra
 
 
 def _need(size: int, threshold: int) -> int:
+    """Retained values that a set of ``size`` shingles shares at least with any set at the threshold."""
+    t = threshold / 100
     exact = -(-threshold * size // 100)
-    return exact if size <= K * threshold // 100 else min(exact, NEED * threshold // 75)
+    if size <= K:
+        # the other set has at most size / t shingles, and all but the K smallest of them are not retained
+        return max(1, min(exact, K - (size * (100 - threshold) // threshold)))
+    union = size / t
+    spread = sqrt(K * t * (1 - t) * (union - K) / (union - 1))
+    return max(1, floor(K * t - DEVIATIONS * spread))
 
 
 def _sketcher(threshold: int):
@@ -47,7 +59,7 @@ def _sketcher(threshold: int):
                     d1.append(int(signed(mix(s)).sum()))
                     d2.append(int(np.bitwise_xor.reduce(signed(mix(s ^ np.uint64(0x5851F42D4C957F2D)))) if len(s) else 0))
                 low = signed(s[:K])
-                pre.append(len(low) - _need(len(low), threshold) + 1 if len(low) else 0)
+                pre.append(len(low) - _need(len(s), threshold) + 1 if len(low) else 0)
                 sk.append(low)
             ends = np.cumsum([0, *map(len, sk)])
             flat = np.concatenate(sk) if sk else np.zeros(0, np.int64)
@@ -80,12 +92,10 @@ def _by_sketch(threshold: int):
                 both = np.sort(np.concatenate((x, y)))
                 again = both[1:] == both[:-1]
                 shared, union = both[1:][again], np.concatenate((both[:1], both[1:][~again]))
-                if max(a_n[i], b_n[i]) > K and len(union) > K:
-                    keep[i] = np.count_nonzero(shared <= union[K - 1]) >= NEED * threshold // 75
-                elif max(a_n[i], b_n[i]) <= K:
+                if max(a_n[i], b_n[i]) <= K:
                     keep[i] = 100 * len(shared) >= threshold * len(union)
                 else:
-                    keep[i] = True
+                    keep[i] = np.count_nonzero(shared <= union[:K][-1]) >= _need(int(min(a_n[i], b_n[i])), threshold)
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -116,15 +126,29 @@ def _exactly(threshold: int):
     return run
 
 
-def _rarest(ws: Workspace, reps: DataFrame) -> DataFrame:
-    """(key, node): of each sketch the ``prefix`` values that the fewest documents retain.
+def _full_sets(threshold: int):
+    """(node, text) to a row for each shingle: (key, node, size, prefix)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            for i, s in shingle_sets(batch.column(1)):
+                n = len(s)
+                pre = n - -(-threshold * n // 100) + 1
+                cols = (signed(s), np.full(n, node[i]), np.full(n, n, np.int32), np.full(n, pre, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "size", "prefix"])
+
+    return run
+
+
+def _rarest(ws: Workspace, every: DataFrame) -> DataFrame:
+    """(key, node): of each set the ``prefix`` values that the fewest sets have, from every(key, node, size, prefix).
 
     Any one order of all values keeps the guarantee; the rarest first keeps
     values of passages that very many documents share out of the lists.
-    Values that one document alone retains come first and need no list.
+    Values that one set alone has come first and need no list.
     """
-    one = ["node", "d1", "d2"]
-    every = reps.select(F.explode("sketch").alias("key"), *one, F.size("sketch").alias("size"), "prefix")
+    one = [c for c in every.columns if c not in ("key", "prefix")]
     shared = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     held = ws.cut(every.join(shared, "key"))
     rank = F.row_number().over(Window.partitionBy(*one).orderBy("df", "key"))
@@ -166,8 +190,15 @@ def near_duplicates(
         pairs = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_exactly(threshold), "a long, b long").distinct()
 
-    postings = _rarest(ws, reps)
-    labels = linked_lists(ws, postings, verify)
+    every = reps.select(F.explode("sketch").alias("key"), "node", "d1", "d2", F.size("sketch").alias("size"), "prefix")
+
+    def refine(nodes: DataFrame) -> DataFrame:
+        nodes = ws.cut(nodes.withColumnRenamed("node", "doc_id"))
+        wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+        sets = docs.join(wanted, "doc_id").select("doc_id", "text")
+        return _rarest(ws, sets.mapInArrow(_full_sets(threshold), "key long, node long, size int, prefix int"))
+
+    labels = linked_lists(ws, _rarest(ws, every), verify, refine=refine)
     # An id with several different texts ties its classes together.
     split = real.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y"), F.min("d2").alias("p"), F.max("d2").alias("q"))
     split = ws.cut(split.where("x <> y or p <> q").select("doc_id"))

@@ -108,7 +108,11 @@ def _all_pairs(m: Column) -> Column:
 
 
 def linked_lists(
-    ws: Workspace, postings: DataFrame, verify: Callable[[DataFrame], DataFrame], short: int = 8
+    ws: Workspace,
+    postings: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    short: int = 8,
+    refine: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(node, comp) from inverted lists postings(key, node), distinct rows.
 
@@ -119,18 +123,27 @@ def linked_lists(
     those are tried from the members outside the list's largest component.
     Where even these are many, further rounds each take one more node per
     list.  A node absent from the result is linked with nothing.
+
+    ``refine`` may give, for the nodes of long lists, finer lists in which
+    every linked pair of them also meets; these then replace the long ones.
     """
     sizes = postings.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
     live = ws.cut(postings.join(sizes, "key"))
     few = live.where(F.col("cnt") <= short).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
     pairs = few.select(F.explode(_all_pairs(F.col("m"))).alias("p")).select("p.a", "p.b")
     many = live.where(F.col("cnt") > short).select("key", "node")
+    if refine is not None:
+        finer = refine(many.select("node").distinct())
+        sizes = finer.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
+        finer = ws.cut(finer.join(sizes, "key"))
+        few = finer.where(F.col("cnt") <= short).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
+        pairs = pairs.union(few.select(F.explode(_all_pairs(F.col("m"))).alias("p")).select("p.a", "p.b"))
+        many = finer.where(F.col("cnt") > short).select("key", "node")
     hubs = many.groupBy("key").agg(F.min("node").alias("hub"))
     star = many.join(hubs, "key").where(F.col("node") > F.col("hub"))
     pairs = pairs.union(star.select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct()
     links = ws.cut(verify(pairs))
     rest = ws.cut(star.select("key", "node"))
-    ws.drop(live)
     while True:
         labels = ws.cut(components(ws, links))
         if rest.isEmpty():
@@ -149,7 +162,7 @@ def linked_lists(
             return labels
         now = ws.cut(now.join(lists.select("key", "big"), "key"))
         other = now.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-        if work[1] <= max(4 * work[0], 1_000_000):
+        if work[1] <= max(16 * work[0], 2_000_000):
             out = now.where(F.col("comp") != F.col("big")).join(other, "key")
             out = out.where(
                 (F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("big")) | (F.col("node") < F.col("node2")))
