@@ -11,6 +11,8 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 
 def ship(spark: SparkSession) -> None:
     """Put the repository on the workers' PYTHONPATH (on a cluster: where the same path is mounted)."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # long texts: bound a batch's memory
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in have:

@@ -1,17 +1,735 @@
-"""All registered queries of the evaluation engine with their SQL."""
+"""All registered queries of the evaluation engine, each beside the SQL that it must equal."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+from ..functions import labels as lb
+from ..functions import text as tx
+from ..functions.shipping import ship
+from ..operators import compare as cmp
+from ..operators import evaluate as ev
+from ..operators import scoring as sc
+from ..sources import corpus as co
+from ..sources import store as st
+from ..sources import tables as tb
+from .sqltext import AXES, recall, sql
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, tuple[Query, str | None]] = {}
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+
+def query(text: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name or f.__name__] = (f, sql(text) if text else None)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in _QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _QUERIES.items() if sql}
+    return {k: text for k, (_, text) in _QUERIES.items() if text}
+
+
+# -- corpus ------------------------------------------------------------------
+
+_DOC = "id, label, host_type, host_source, family, action, spliced_at, obfuscation"
+_DOC_COLS = [x.strip() for x in _DOC.split(",")]
+
+
+@query(f"SELECT {_DOC}, length(text) AS n_text FROM doc_corpus")
+def corpus_scan(spark, d):
+    docs = tb.doc_corpus(spark, d)
+    sides = docs.where("label = 'injected'").unionByName(docs.where("label = 'clean'"))
+    return sides.select(*_DOC_COLS, F.length("text").cast("long").alias("n_text"))
+
+
+@query(f"SELECT {_DOC}, CASE WHEN family IS NOT NULL THEN family || '/' || action END AS cell FROM doc_corpus")
+def doc_project(spark, d):
+    return tb.doc_corpus(spark, d).select(*_DOC_COLS, co.cell().alias("cell"))
+
+
+@query(f"SELECT {_DOC} FROM row_corpus")
+def meta_scan(spark, d):
+    return tb.row_corpus(spark, d).select(*_DOC_COLS)
+
+
+def _slice(name: str, where: str) -> None:
+    @query(f"SELECT id, label FROM doc_corpus WHERE {where}", name)
+    def run(spark, d):
+        rows = tb.doc_corpus(spark, d).withColumn("obfuscation", F.nullif("obfuscation", F.lit("none")))
+        return rows.where(co.slice_filter(name.removeprefix("slice_"))).select("id", "label")
+
+
+_slice("slice_strong", "gen_model IS NOT NULL AND gen_model <> 'haiku'")
+_slice("slice_obfuscated", "obfuscation <> 'none'")
+_slice("slice_clean_typo", "NOT coalesce(typography_folded, false)")
+_slice("slice_no_pii", "NOT coalesce(pii, false)")
+
+
+@query("SELECT label, count(*) AS n FROM doc_corpus WHERE NOT coalesce(pii, false) GROUP BY label")
+def slice_both_sides(spark, d):
+    return tb.doc_corpus(spark, d).where(co.slice_filter("no_pii")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS rn FROM row_corpus) WHERE rn <= 25")
+def limit_per_side(spark, d):
+    return co.limit_per_side(tb.row_corpus(spark, d).select("id", "label"), 25)
+
+
+def _scores(spark, d):
+    return tb.row_corpus(spark, d).select("id", F.col("a").alias("score"))
+
+
+@query("SELECT id, a AS score, label, host_type FROM row_corpus WHERE host_type <> 'web'")
+def score_join(spark, d):
+    docs = tb.row_corpus(spark, d).where("host_type <> 'web'").select("id", "label", "host_type")
+    return co.score_join(_scores(spark, d), docs)
+
+
+@query("SELECT id, a AS score FROM row_corpus WHERE host_type = 'web'")
+def foreign_scores(spark, d):
+    return co.foreign_scores(_scores(spark, d), tb.row_corpus(spark, d).where("host_type <> 'web'"))
+
+
+@query("SELECT run_id, detector, policy, \"window\", run_at FROM runs")
+def runs_scan(spark, d):
+    return tb.runs(spark).select("run_id", "detector", "policy", "window", "run_at")
+
+
+@query(
+    "SELECT user_id::VARCHAR AS id, arg_max(value, event_id) AS score FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND user_id IS NOT NULL GROUP BY user_id"
+)
+def checkpoint_load(spark, d):
+    e = tb.table(spark, d, "events").where("user_id is not null")
+    good = F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), F.col("value").alias("score")))
+    windows = F.to_json(F.struct((F.col("event_id") % 5).alias("_windows")))
+    line = F.when(F.col("event_id") % 11 == 0, F.substring(good, 1, 9)).when(F.col("event_id") % 13 == 0, windows).otherwise(good)
+    return co.checkpoint(e.select(F.col("event_id").alias("seq"), line.alias("value")))
+
+
+@query("SELECT sum(event_id % 5)::BIGINT AS n_windows FROM events WHERE event_id % 13 = 0 AND event_id % 11 <> 0")
+def checkpoint_windows(spark, d):
+    e = tb.table(spark, d, "events").where("event_id % 13 = 0")
+    windows = F.to_json(F.struct((F.col("event_id") % 5).alias("_windows")))
+    line = F.when(F.col("event_id") % 11 == 0, F.lit('{"id": "1')).otherwise(windows)
+    return co.checkpoint_windows(e.select(line.alias("value")))
+
+
+@query("SELECT DISTINCT id FROM (SELECT l_orderkey::VARCHAR AS id FROM lineitem WHERE l_orderkey % 7 = 0 UNION ALL SELECT o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 5 = 0)")
+def changed_ids(spark, d):
+    a = tb.table(spark, d, "lineitem").where("l_orderkey % 7 = 0").select(F.col("l_orderkey").cast("string").alias("id"))
+    b = tb.table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").cast("string").alias("id"))
+    return a.union(b).distinct()
+
+
+@query("SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def missing_ids(spark, d):
+    want = tb.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    return co.missing(want, tb.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id")))
+
+
+@query(None)
+def fingerprint(spark, d):
+    return co.fingerprint(tb.doc_corpus(spark, d))
+
+
+# -- thresholds and metrics ----------------------------------------------------
+
+
+def _sides(spark, d, column="a"):
+    rows = tb.row_corpus(spark, d).withColumn("score", F.col(column))
+    return rows.where("label = 'clean'"), rows.where("label = 'injected'")
+
+
+def _one(spark, d):
+    clean, injected = _sides(spark, d)
+    return clean, injected, ev.budgets(clean, (0.001,))
+
+
+@query("SELECT target, tau AS threshold FROM tau13")
+def threshold_at_fpr(spark, d):
+    clean, _ = _sides(spark, d)
+    return spark.createDataFrame([(t, v) for (_, t), v in ev.thresholds(clean, ev.CURVE).items()], "target double, threshold double")
+
+
+@query("SELECT budget, host_type, hits, n, fpr, lo, hi FROM fpr_host")
+def fpr_by_carrier(spark, d):
+    clean, _, taus = _one(spark, d)
+    return ev.false_positives(clean, taus)
+
+
+@query(f"SELECT *, {recall(name='fpr')} FROM (SELECT target AS budget, count(*) FILTER (score>=tau) AS hits, count(*) AS n FROM clean, tau1 GROUP BY ALL)")
+def fpr_pooled(spark, d):
+    clean, _, taus = _one(spark, d)
+    return ev.false_positives(clean, taus, None)
+
+
+@query("SELECT budget, family, action, hits, n, recall, lo, hi FROM cells")
+def cell_grid(spark, d):
+    _, injected, taus = _one(spark, d)
+    return ev.cell_grid(injected, taus)
+
+
+@query(f"SELECT *, {recall()} FROM (SELECT target AS budget, family, action, host_type, count(*) FILTER (score>=tau) AS hits, count(*) AS n FROM injected, tau1 GROUP BY ALL)")
+def cell_by_carrier(spark, d):
+    _, injected, taus = _one(spark, d)
+    return ev.cell_grid(injected, taus, ("host_type",))
+
+
+@query("SELECT budget, axis, key, hits, n, recall, lo, hi FROM marg")
+def marginals(spark, d):
+    _, injected, taus = _one(spark, d)
+    return ev.marginals(injected, taus)
+
+
+@query(f"SELECT *, {recall()} FROM (SELECT target AS budget, count(*) FILTER (score>=tau) AS hits, count(*) AS n FROM injected, tau1 GROUP BY ALL)")
+def mean_recall(spark, d):
+    _, injected, taus = _one(spark, d)
+    return ev.with_interval(ev.counts(injected, taus, [()])).drop("level")
+
+
+@query(f"SELECT *, {recall(name='p')} FROM (SELECT l_quantity::BIGINT AS n, count(*) % (l_quantity::BIGINT+1) AS hits FROM lineitem GROUP BY 1 UNION ALL SELECT 0, 0)", "wilson")
+def wilson_interval(spark, d):
+    li = tb.table(spark, d, "lineitem").groupBy(F.col("l_quantity").cast("long").alias("n")).agg(F.count("*").alias("c"))
+    rows = li.select("n", (F.col("c") % (F.col("n") + 1)).alias("hits")).union(spark.sql("SELECT 0L, 0L"))
+    return ev.with_interval(rows, "p")
+
+
+@query("SELECT budget, avg(CASE WHEN recall >= 0.001::DOUBLE THEN 1 ELSE 0 END) AS coverage_low, avg(CASE WHEN recall >= 0.5::DOUBLE THEN 1 ELSE 0 END) AS coverage_50 FROM cells GROUP BY budget")
+def coverage_50(spark, d):
+    share = lambda x: F.avg((F.col("recall") >= x).cast("int"))
+    return cell_grid(spark, d).groupBy("budget").agg(share(0.001).alias("coverage_low"), share(0.5).alias("coverage_50"))
+
+
+@query("""SELECT budget, min(recall) AS least, max(recall) AS greatest, arg_min(lo, rk) AS least_lo, arg_max(hi, rk) AS greatest_hi
+    FROM (SELECT *, row_number() OVER (PARTITION BY budget ORDER BY recall, family, action) AS rk FROM cells) GROUP BY budget""")
+def attainable_range(spark, d):
+    order = F.struct("recall", "family", "action")
+    return cell_grid(spark, d).groupBy("budget").agg(
+        F.min("recall").alias("least"), F.max("recall").alias("greatest"), F.min_by("lo", order).alias("least_lo"), F.max_by("hi", order).alias("greatest_hi")
+    )
+
+
+@query("SELECT budget, axis, min(recall) AS least, max(recall) AS greatest FROM marg GROUP BY ALL")
+def marginal_range(spark, d):
+    return marginals(spark, d).groupBy("budget", "axis").agg(F.min("recall").alias("least"), F.max("recall").alias("greatest"))
+
+
+@query("""SELECT budget, axis, max(CASE WHEN w=1 THEN key END) AS worst, max(CASE WHEN w=1 THEN recall END) AS worst_recall,
+    max(CASE WHEN b=1 THEN key END) AS best, max(CASE WHEN b=1 THEN recall END) AS best_recall FROM (SELECT *,
+    row_number() OVER (PARTITION BY budget, axis ORDER BY recall, key) AS w, row_number() OVER (PARTITION BY budget, axis ORDER BY recall DESC, key) AS b
+    FROM marg WHERE axis IN ('family','action')) GROUP BY ALL""")
+def worst_best_axis(spark, d):
+    m = marginals(spark, d).where("axis in ('family', 'action')")
+    up, down = F.struct("recall", "key"), F.struct(-F.col("recall"), "key")
+    return m.groupBy("budget", "axis").agg(
+        F.min_by("key", up).alias("worst"), F.min_by("recall", up).alias("worst_recall"), F.min_by("key", down).alias("best"), F.min_by("recall", down).alias("best_recall")
+    )
+
+
+@query("SELECT host_type, fpr FROM fpr_host ORDER BY fpr DESC, host_type LIMIT 1")
+def worst_domain(spark, d):
+    return fpr_by_carrier(spark, d).orderBy(F.desc("fpr"), "host_type").limit(1).select("host_type", "fpr")
+
+
+@query("SELECT target, threshold, fpr, recall FROM curve")
+def recall_curve(spark, d):
+    return ev.recall_curve(tb.row_corpus(spark, d).withColumn("score", F.col("a")))
+
+
+@query("SELECT budget, family, action, hits, n, recall, lo, hi FROM cells2")
+def operating_points(spark, d):
+    clean, injected = _sides(spark, d)
+    return ev.cell_grid(injected, ev.budgets(clean, ev.POINTS))
+
+
+@query("""SELECT budget, family, action, recall, pos FROM (SELECT *, row_number() OVER (PARTITION BY budget ORDER BY recall, family, action) AS pos,
+    count(*) OVER (PARTITION BY budget) AS c FROM cells2) WHERE pos <= greatest(1, c // 10)""")
+def worst_cells(spark, d):
+    return cmp.worst_cells(operating_points(spark, d)).select("budget", "family", "action", "recall", "pos")
+
+
+_EVAL_SETS = [("family", "action"), ("family", "action", "host_type"), *[(a,) for a in AXES], ()]
+
+
+@query(
+    "SELECT budget, family, action, host_type, host_source, spliced_at, obfuscation, hits, n, recall, lo, hi FROM (SELECT *, "
+    + recall()
+    + " FROM ("
+    + " UNION ALL ".join(
+        "SELECT target AS budget, " + ", ".join(a if a in s else f"NULL AS {a}" for a in AXES) + ", count(*) FILTER (score>=tau) AS hits, count(*) AS n FROM injected, tau2 GROUP BY ALL"
+        for s in _EVAL_SETS
+    )
+    + "))"
+)
+def evaluate(spark, d):
+    """The flagship: cells, cells by carrier, all marginals and the pooled recall at both points, in one pass."""
+    clean, injected = _sides(spark, d)
+    got = ev.counts(injected, ev.budgets(clean, ev.POINTS), _EVAL_SETS)
+    return ev.with_interval(got).select("budget", *AXES, "hits", "n", "recall", "lo", "hi")
+
+
+@query("SELECT count(*) FILTER (tied = top) AS ties, count(*) AS n, count(*) FILTER (tied = top)::DOUBLE/count(*) AS share FROM clean, (SELECT max(tied) AS top FROM clean)")
+def score_floor(spark, d):
+    return ev.score_floor(_sides(spark, d, "tied")[0])
+
+
+@query("""SELECT c AS score_column, ties, share, ties > 1 AND share > 0.001::DOUBLE AS refused FROM (
+    SELECT 'a' AS c, count(*) FILTER (a = top) AS ties, count(*) FILTER (a = top)::DOUBLE/count(*) AS share FROM clean, (SELECT max(a) AS top FROM clean) UNION ALL
+    SELECT 'tied', count(*) FILTER (tied = top), count(*) FILTER (tied = top)::DOUBLE/count(*) FROM clean, (SELECT max(tied) AS top FROM clean))""")
+def score_floor_guard(spark, d):
+    parts = [ev.score_floor(_sides(spark, d, c)[0]).select(F.lit(c).alias("score_column"), "ties", "share") for c in ("a", "tied")]
+    return parts[0].union(parts[1]).withColumn("refused", (F.col("ties") > 1) & (F.col("share") > 0.001))
+
+
+@query("SELECT budget, round(sum(w*recall)/sum(w), 9) AS recall FROM (SELECT *, CAST(substr(family,2) AS INT) AS w FROM cells) GROUP BY budget")
+def reweight(spark, d):
+    cells = cell_grid(spark, d)
+    weights = cells.select("family", "action", F.substring("family", 2, 9).cast("int").alias("weight"))
+    return ev.reweighted(cells, weights).select("budget", F.round("recall", 9).alias("recall"))
+
+
+@query("""SELECT c AS score_column, count(*) FILTER (s NOT IN (0,1)) AS other, count(DISTINCT s) AS kinds FROM (SELECT 'a' AS c, a AS s FROM row_corpus
+    UNION ALL SELECT 'v', v FROM row_corpus UNION ALL SELECT 'tied', tied FROM row_corpus) GROUP BY c""")
+def score_type(spark, d):
+    each = F.array(*(F.struct(F.lit(c).alias("score_column"), F.col(c).alias("s")) for c in ("a", "v", "tied")))
+    rows = tb.row_corpus(spark, d).select(F.explode(each).alias("x")).select("x.*")
+    return rows.groupBy("score_column").agg(F.count_if(~F.col("s").isin(0.0, 1.0)).alias("other"), F.count_distinct("s").alias("kinds"))
+
+
+@query("""SELECT event_type, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.99), 9) AS p99
+    FROM events GROUP BY event_type""")
+def latency_percentiles(spark, d):
+    p = [F.round(F.percentile("value", F.lit(x)), 9).alias(f"p{round(x * 100)}") for x in (0.5, 0.95, 0.99)]
+    return tb.table(spark, d, "events").groupBy("event_type").agg(*p)
+
+
+@query("""SELECT count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50_ms, min(value) AS min_ms, max(value) AS max_ms, arg_min(value, event_id) AS cold_first_ms FROM events""")
+def latency_summary(spark, d):
+    from ..operators.latency import summary
+
+    return summary(tb.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("value").alias("ms")))
+
+
+@query("""SELECT family AS key, round(avg(recall), 12) AS mean, row_number() OVER (ORDER BY round(avg(recall), 12) DESC, family) AS pos FROM cells GROUP BY family""")
+def axis_order_run(spark, d):
+    return cmp.axis_order_run(cell_grid(spark, d), "family").select("key", F.round("mean", 12).alias("mean"), "pos")
+
+
+@query("""SELECT family || '/' || action AS cell, least(19, greatest(0, CAST(trunc(recall*20) AS INT))) AS bin FROM cells""")
+def cell_hist(spark, d):
+    bins = F.least(F.lit(19), F.greatest(F.lit(0), (F.col("recall") * 20).cast("int")))
+    return cell_grid(spark, d).select(co.cell().alias("cell"), bins.alias("bin"))
+
+
+@query(f"SELECT *, {recall()} FROM (SELECT family, action, sum(hits)::BIGINT AS hits, sum(n)::BIGINT AS n FROM cells GROUP BY CUBE(family, action))")
+def grid_cube(spark, d):
+    cube = cell_grid(spark, d).cube("family", "action").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+    return ev.with_interval(cube)
+
+
+# -- runs ------------------------------------------------------------------------
+
+_MEASURED = "(SELECT *, CASE WHEN run_id IN ('r12','r13') THEN NULL ELSE 0.5 END AS mean_recall FROM runs)"
+
+
+def _runs(spark):
+    unmeasured = F.col("run_id").isin("r12", "r13")
+    return tb.runs(spark).withColumn("mean_recall", F.when(~unmeasured, F.lit(0.5)))
+
+
+@query(f"SELECT run_id, detector FROM {_MEASURED} WHERE mean_recall IS NOT NULL AND coalesce(limit_n,0)=0 AND coalesce(slice,'all')='all'")
+def measurement_filter(spark, d):
+    return st.measurements(_runs(spark)).select("run_id", "detector")
+
+
+@query("SELECT run_id, dataset FROM runs WHERE dataset IS DISTINCT FROM 'b2'")
+def stale_runs(spark, d):
+    return st.stale(tb.runs(spark), F.lit("b2")).select("run_id", "dataset")
+
+
+@query("""SELECT run_id, CASE WHEN run_id = 'r03' THEN 'scores were not saved' WHEN detector NOT IN (SELECT detector FROM registry WHERE registered <> '') THEN 'no adapter in the registry'
+    WHEN coalesce(limit_n,0) <> 0 THEN 'smoke run, not a measurement' WHEN dataset IS DISTINCT FROM 'b2' THEN 'build ' || dataset || ', but the edit was made to b2' END AS why FROM runs""")
+def spliceable(spark, d):
+    known = tb.registry(spark).where("registered <> ''").select("detector", F.lit(True).alias("known"))
+    rows = tb.runs(spark).join(known, "detector", "left").withColumn("registered", F.coalesce("known", F.lit(False)))
+    return rows.withColumn("has_scores", F.col("run_id") != "r03").select("run_id", st.splice_refusal("b2").alias("why"))
+
+
+_WANT = [("w1", "alpha", "v1.0", "all", "chunk", 2000, 4, False, "b2"), ("w2", "alpha", "v1.0", None, "truncate", 2000, None, False, "b2"), ("w3", "alpha", "v2", "all", "chunk", 2000, 4, False, "b2")]
+
+
+@query("""SELECT want_id, EXISTS (SELECT 1 FROM runs r WHERE r.detector IS NOT DISTINCT FROM w.detector AND r.version IS NOT DISTINCT FROM w.version AND r.slice IS NOT DISTINCT FROM w.slice
+    AND r.policy IS NOT DISTINCT FROM w.policy AND r."window" IS NOT DISTINCT FROM w.win AND r.overlap IS NOT DISTINCT FROM w.overlap AND r.forced IS NOT DISTINCT FROM w.forced AND r.dataset IS NOT DISTINCT FROM w.dataset) AS measured
+    FROM (VALUES ('w1','alpha','v1.0','all','chunk',2000,4,FALSE,'b2'),('w2','alpha','v1.0',NULL,'truncate',2000,NULL,FALSE,'b2'),('w3','alpha','v2','all','chunk',2000,4,FALSE,'b2')) AS w(want_id, detector, version, slice, policy, win, overlap, forced, dataset)""")
+def already_measured(spark, d):
+    want = spark.createDataFrame(_WANT, "want_id string, detector string, version string, slice string, policy string, window int, overlap int, forced boolean, dataset string")
+    return st.already_measured(tb.runs(spark), want)
+
+
+@query("""SELECT run_id, floor_run FROM (SELECT r.run_id, b.run_id AS floor_run, row_number() OVER (PARTITION BY r.run_id ORDER BY b.run_at DESC, b.run_id DESC) AS rn FROM runs r JOIN runs b ON b.detector='floor'
+    AND r.slice IS NOT DISTINCT FROM b.slice AND r.policy IS NOT DISTINCT FROM b.policy AND r."window" IS NOT DISTINCT FROM b."window" AND r.overlap IS NOT DISTINCT FROM b.overlap AND r.dataset IS NOT DISTINCT FROM b.dataset) WHERE rn=1""")
+def floor_match(spark, d):
+    return st.floor_of(tb.runs(spark), "floor")
+
+
+@query("""SELECT run_id, coalesce(version <> '', false) AND instr(replace(replace(replace(lower(coalesce(display, detector)),'-',''),' ',''),'.',''), replace(replace(replace(lower(version),'-',''),' ',''),'.','')) = 0 AS adds FROM runs""")
+def version_adds(spark, d):
+    return tb.runs(spark).select("run_id", lb.version_adds(F.coalesce("display", "detector"), F.col("version")).alias("adds"))
+
+
+@query("""SELECT run_id, coalesce(nullif(g.registered,''), nullif(r.display,''), r.detector, '?') AS title FROM runs r LEFT JOIN registry g USING (detector)""")
+def title_of(spark, d):
+    both = tb.runs(spark).join(tb.registry(spark), "detector", "left")
+    return both.select("run_id", lb.title_of(F.col("registered"), F.col("display"), F.col("detector")).alias("title"))
+
+
+_NONE = "coalesce(policy,'full') IN ('full','') OR coalesce(\"window\",0)=0"
+
+
+@query(f"""SELECT run_id, CASE WHEN {_NONE} THEN 'whole document' WHEN policy='chunk' THEN 'chunks ' || "window" || CASE WHEN coalesce(overlap,0)<>0 THEN '/' || overlap ELSE '' END
+    ELSE policy || ' ' || "window" END || CASE WHEN forced THEN ' ⚑' ELSE '' END AS label FROM runs""")
+def aperture_label(spark, d):
+    return tb.runs(spark).select("run_id", lb.aperture_label(*map(F.col, st.APERTURE)).alias("label"))
+
+
+@query(f"""SELECT run_id, CASE WHEN {_NONE} THEN 'full' ELSE policy || "window" || CASE WHEN policy='chunk' AND coalesce(overlap,0)<>0 THEN 'o' || overlap ELSE '' END END || CASE WHEN forced THEN 'f' ELSE '' END AS tag FROM runs""")
+def aperture_tag(spark, d):
+    return tb.runs(spark).select("run_id", lb.aperture_tag(*map(F.col, st.APERTURE)).alias("tag"))
+
+
+@query("""SELECT run_id, detector FROM (SELECT *, row_number() OVER (PARTITION BY detector, policy, "window", overlap, forced ORDER BY run_at DESC, run_id DESC) AS rn FROM runs) WHERE rn=1""")
+def latest_runs(spark, d):
+    return st.latest(tb.runs(spark)).select("run_id", "detector")
+
+
+@query("SELECT dataset FROM runs ORDER BY run_at DESC, run_id DESC LIMIT 1")
+def current_build(spark, d):
+    return st.current_build(tb.runs(spark))
+
+
+@query("SELECT strftime(strptime(max(run_at), '%Y-%m-%d %H:%M'), '%Y-%m-%d %H:%M') AS measured_at FROM runs")
+def measured_at(spark, d):
+    return tb.runs(spark).agg(F.date_format(F.to_timestamp(F.max("run_at"), "yyyy-MM-dd HH:mm"), "yyyy-MM-dd HH:mm").alias("measured_at"))
+
+
+@query("""SELECT CASE WHEN count(DISTINCT concat_ws('|', policy, "window", overlap, forced))=1 THEN max(policy) END AS common, count(DISTINCT concat_ws('|', policy, "window", overlap, forced)) AS kinds FROM runs""")
+def headline_aperture(spark, d):
+    kinds = F.count_distinct(F.concat_ws("|", *(F.col(c).cast("string") for c in st.APERTURE)))
+    return tb.runs(spark).agg(F.when(kinds == 1, F.max("policy")).alias("common"), kinds.alias("kinds"))
+
+
+# -- comparisons -----------------------------------------------------------------
+
+_SCORED = ("r01", "r02", "r03", "r04", "r05")
+_VERDICTS = ("r06", "r07", "r11")
+
+
+def _with_tau(spark, d, ids, targets):
+    """Scores of runs with the thresholds of each run joined on: one row for each score and target."""
+    rows = tb.scores(spark, d, ids)
+    tau = ev.thresholds(rows.where("label = 'clean'"), targets, by="run_id")
+    table = spark.createDataFrame([(g, t, v) for (g, t), v in tau.items()], "run_id string, target double, tau double")
+    return rows.join(F.broadcast(table), "run_id")
+
+
+def _run_curve(spark, d):
+    rows = _with_tau(spark, d, _SCORED, ev.CURVE)
+    side = lambda x: F.count_if((F.col("label") == x) & (F.col("score") >= F.col("tau"))) / F.count_if(F.col("label") == x)
+    return rows.groupBy("run_id", "target").agg(side("clean").alias("fpr"), side("injected").alias("recall"))
+
+
+def _placed(spark, d, target=0.01):
+    """All measured runs at the budget, verdicts at their own point."""
+    verdicts = tb.scores(spark, d, _VERDICTS).withColumn("target", F.lit(None).cast("double")).withColumn("tau", F.lit(0.5))
+    return _with_tau(spark, d, _SCORED, (target,)).unionByName(verdicts)
+
+
+def _run_cells(spark, d):
+    got = _placed(spark, d).where("label = 'injected'").groupBy("run_id", "detector", "family", "action")
+    return ev.with_interval(got.agg(F.count_if(F.col("score") >= F.col("tau")).alias("hits"), F.count("*").alias("n")))
+
+
+def _run_pooled(spark, d):
+    side = lambda x: F.count_if((F.col("label") == x) & (F.col("score") >= F.col("tau"))) / F.count_if(F.col("label") == x)
+    got = _placed(spark, d).groupBy("run_id", "detector").agg(side("clean").alias("fpr_pooled"), side("injected").alias("mean_recall"))
+    return got.withColumn("verdict", F.col("run_id").isin(*_VERDICTS))
+
+
+@query("SELECT run_id, round(auc, 9) AS auc FROM aucs")
+def interval_auc(spark, d):
+    return cmp.interval_auc(_run_curve(spark, d)).select("run_id", F.round("auc", 9).alias("auc"))
+
+
+@query("""SELECT detector, run_id, CASE WHEN has_auc=1 THEN rn=1 ELSE inn END AS chosen FROM (SELECT *, max(CASE WHEN inn THEN CASE WHEN auc IS NOT NULL THEN 1 ELSE 0 END END) OVER (PARTITION BY detector) AS has_auc,
+    row_number() OVER (PARTITION BY detector ORDER BY inn DESC, auc DESC NULLS LAST, run_id) AS rn FROM (SELECT r.*, a.auc, NOT forced OR max(CASE WHEN forced THEN 0 ELSE 1 END) OVER (PARTITION BY detector) = 0 AS inn
+    FROM runs r LEFT JOIN aucs a USING (run_id) WHERE run_id IN ('r01','r02','r03','r04','r05','r06','r07','r11')))""")
+def choose_aperture(spark, d):
+    runs = tb.runs(spark).where(F.col("run_id").isin(*_SCORED, *_VERDICTS))
+    return cmp.choose_aperture(runs, cmp.interval_auc(_run_curve(spark, d)))
+
+
+@query("""SELECT detector, unnest(CASE WHEN kinds=1 AND c>1 THEN ids[1:1] ELSE ids END) AS run_id, kinds=1 AND c>1 AS same FROM (SELECT detector, count(DISTINCT h) AS kinds, count(*) AS c, list(run_id ORDER BY run_id) AS ids
+    FROM (SELECT run_id, detector, string_agg(family||action||hits||'/'||n, ',' ORDER BY family, action) AS h FROM run_cells WHERE run_id IN ('r06','r07','r11') GROUP BY ALL) GROUP BY detector)""")
+def collapse_apertures(spark, d):
+    ids = F.col("run_id").isin(*_VERDICTS)
+    clean = _placed(spark, d).where(ids & (F.col("label") == "clean"))
+    rates = clean.groupBy("run_id", "host_type").agg(F.count_if(F.col("score") >= F.col("tau")).alias("hits"), F.count("*").alias("n"))
+    return cmp.collapse_apertures(tb.runs(spark).where(ids), _run_cells(spark, d).where(ids), rates)
+
+
+@query("SELECT detector FROM aucs JOIN runs USING (run_id) ORDER BY auc DESC NULLS LAST, run_id LIMIT 1")
+def axis_reference(spark, d):
+    both = cmp.interval_auc(_run_curve(spark, d)).join(tb.runs(spark), "run_id")
+    return both.orderBy(F.col("auc").desc_nulls_last(), "run_id").limit(1).select("detector")
+
+
+@query("""SELECT key, recall, row_number() OVER (ORDER BY coalesce(recall,0) DESC, key) AS pos FROM (SELECT family AS key, max(CASE WHEN run_id='r03' THEN r END) AS recall
+    FROM (SELECT run_id, family, sum(hits)::DOUBLE/sum(n) AS r FROM run_cells GROUP BY ALL) GROUP BY family)""")
+def axis_order_ref(spark, d):
+    m = _run_cells(spark, d).groupBy("run_id", "family").agg((F.sum("hits") / F.sum("n")).alias("r"))
+    got = m.groupBy(F.col("family").alias("key")).agg(F.max(F.when(F.col("run_id") == "r03", F.col("r"))).alias("recall"))
+    return got.withColumn("pos", F.row_number().over(Window.orderBy(F.coalesce("recall", F.lit(0.0)).desc(), "key")))
+
+
+@query("""SELECT key, score, row_number() OVER (ORDER BY score DESC, key) AS pos FROM (SELECT family AS key, sum(hits)::DOUBLE/sum(n) * (count(*)::DOUBLE/((SELECT count(DISTINCT action) FROM run_cells)*(SELECT count(DISTINCT run_id) FROM run_cells))) AS score FROM run_cells GROUP BY family)""")
+def axis_order_field(spark, d):
+    return cmp.axis_order_field(_run_cells(spark, d), "family", "action")
+
+
+@query("""SELECT family, max(CASE WHEN run_id='r01' THEN r END) AS r01, max(CASE WHEN run_id='r03' THEN r END) AS r03, max(CASE WHEN run_id='r05' THEN r END) AS r05
+    FROM (SELECT run_id, family, sum(hits)::DOUBLE/sum(n) AS r FROM run_cells GROUP BY ALL) GROUP BY family""")
+def axis_pivot(spark, d):
+    m = _run_cells(spark, d).groupBy("run_id", "family").agg((F.sum("hits") / F.sum("n")).alias("r"))
+    return m.groupBy("family").pivot("run_id", ["r01", "r03", "r05"]).agg(F.max("r"))
+
+
+@query("""SELECT family, action, detector, recall, recall-second AS margin, recall-second >= CASE WHEN size <= 80 THEN 0.12::DOUBLE ELSE 0.08::DOUBLE END AS clear FROM (SELECT *, lead(recall,1,0::DOUBLE) OVER (PARTITION BY family, action ORDER BY recall DESC, detector) AS second,
+    row_number() OVER (PARTITION BY family, action ORDER BY recall DESC, detector) AS rn, first(n) OVER (PARTITION BY family, action ORDER BY detector) AS size FROM run_cells WHERE run_id IN ('r01','r03','r05')) WHERE rn=1""")
+def cell_winner(spark, d):
+    return cmp.cell_winner(_run_cells(spark, d).where(F.col("run_id").isin("r01", "r03", "r05")))
+
+
+@query("SELECT a.family, a.action, a.recall-b.recall AS diff FROM run_cells a JOIN run_cells b USING (family, action) WHERE a.run_id='r01' AND b.run_id='r03'")
+def cell_diff(spark, d):
+    cells = _run_cells(spark, d)
+    return cmp.cell_diff(cells.where("run_id = 'r01'"), cells.where("run_id = 'r03'"))
+
+
+@query("SELECT run_id, recall, row_number() OVER (PARTITION BY run_id ORDER BY recall DESC, family, action) AS pos FROM run_cells")
+def recall_profile(spark, d):
+    w = Window.partitionBy("run_id").orderBy(F.desc("recall"), "family", "action")
+    return _run_cells(spark, d).select("run_id", "recall", F.row_number().over(w).alias("pos"))
+
+
+@query("SELECT run_id, verdict, mean_recall, row_number() OVER (ORDER BY verdict, mean_recall, run_id) AS pos FROM run_pooled")
+def ranking_worst_first(spark, d):
+    rows = _run_pooled(spark, d)
+    return rows.select("run_id", "verdict", "mean_recall", F.row_number().over(Window.orderBy("verdict", "mean_recall", "run_id")).alias("pos"))
+
+
+@query("SELECT run_id, t AS budget, fpr_pooled <= t*1.25::DOUBLE AS fits FROM run_pooled, (VALUES (0.001::DOUBLE),(0.01::DOUBLE),(0.3::DOUBLE)) AS b(t) WHERE verdict")
+def within_budget(spark, d):
+    b = spark.createDataFrame([(0.001,), (0.01,), (0.3,)], "budget double")
+    rows = _run_pooled(spark, d).where("verdict").crossJoin(F.broadcast(b))
+    return rows.select("run_id", "budget", cmp.within_budget(F.col("fpr_pooled"), F.col("budget")).alias("fits"))
+
+
+_PEERS = """SELECT s.subject, m.run_id, count(*) FILTER (m.label='injected' AND m.score>=tau)::DOUBLE/count(*) FILTER (m.label='injected') AS recall FROM
+    (SELECT subject, run_id, min(score) AS tau FROM (SELECT p.run_id AS subject, c.run_id, c.score, row_number() OVER (PARTITION BY p.run_id, c.run_id ORDER BY c.score DESC) AS rk, count(*) OVER (PARTITION BY p.run_id, c.run_id) AS cn, p.fpr_pooled AS t
+     FROM (SELECT * FROM scored WHERE label='clean') c, (SELECT p.* FROM run_pooled p JOIN runs USING (run_id)) p WHERE %s) WHERE rk = CAST(floor(cn*t) AS BIGINT)+1 GROUP BY ALL) s
+    JOIN scored m USING (run_id) GROUP BY ALL"""
+
+
+def _peers(spark, d, subjects: DataFrame, same_detector: bool):
+    """Every scored run moved to each subject's rate: (subject, run_id, recall)."""
+    rates = [(r["run_id"], r["detector"], r["fpr_pooled"]) for r in subjects.select("run_id", "detector", "fpr_pooled").collect()]
+    rows = tb.scores(spark, d, _SCORED)
+    tau = ev.thresholds(rows.where("label = 'clean'"), sorted({r[2] for r in rates}), by="run_id")
+    who = {r[0]: r[1] for r in tb.RUNS}
+    moved = [(s, g, tau[g, t]) for s, det, t in rates for g in _SCORED if same_detector or who[g] != det]
+    table = F.broadcast(spark.createDataFrame(moved, "subject string, run_id string, tau double"))
+    got = rows.where("label = 'injected'").join(table, "run_id").groupBy("subject", "run_id")
+    return got.agg((F.count_if(F.col("score") >= F.col("tau")) / F.count("*")).alias("recall"))
+
+
+@query(_PEERS % "p.run_id = 'r01' AND (SELECT detector FROM runs x WHERE x.run_id = c.run_id) <> 'alpha'")
+def peers_at(spark, d):
+    return _peers(spark, d, _run_pooled(spark, d).where("run_id = 'r01'"), False)
+
+
+@query(_PEERS % "p.verdict AND p.fpr_pooled > 0.0125::DOUBLE")
+def own_point(spark, d):
+    out = _run_pooled(spark, d).where("verdict and fpr_pooled > 0")
+    return _peers(spark, d, out.where(~cmp.within_budget(F.col("fpr_pooled"), F.lit(0.01))), True)
+
+
+@query("""SELECT g.detector, r.run_id, CASE WHEN r.run_id IS NULL THEN 'not measured' ELSE 'measured' END AS status FROM registry g LEFT JOIN (SELECT * FROM runs WHERE coalesce(limit_n,0)=0) r USING (detector)""")
+def roster(spark, d):
+    runs = tb.runs(spark).where(F.coalesce("limit_n", F.lit(0)) == 0).select("detector", "run_id")
+    both = tb.registry(spark).join(runs, "detector", "left")
+    return both.select("detector", "run_id", F.when(F.col("run_id").isNull(), "not measured").otherwise("measured").alias("status"))
+
+
+# -- rescoring ---------------------------------------------------------------------
+
+
+def _old_new(spark, d):
+    rows = tb.row_corpus(spark, d)
+    return rows.where("host_type <> 'web'").select("id", F.col("a").alias("score")), rows.where("host_source = 'src1'").select("id", F.col("c").alias("score"))
+
+
+@query("SELECT id FROM row_corpus WHERE host_source <> 'src1'")
+def resume_todo(spark, d):
+    rows = tb.row_corpus(spark, d)
+    return sc.todo(rows, rows.where("host_source = 'src1'")).select("id")
+
+
+@query("SELECT id FROM row_corpus WHERE host_type = 'web'")
+def rescore_absent(spark, d):
+    old, _ = _old_new(spark, d)
+    return co.missing(tb.row_corpus(spark, d), old)
+
+
+@query("SELECT id, CASE WHEN host_source='src1' THEN c ELSE a END AS score FROM row_corpus WHERE host_type <> 'web'")
+def rescore_splice(spark, d):
+    old, fresh = _old_new(spark, d)
+    return sc.splice(old, fresh)
+
+
+@query("SELECT id, a AS old, c AS new, c-a AS delta FROM row_corpus WHERE host_type <> 'web' AND host_source='src1' AND a <> c")
+def rescore_moved(spark, d):
+    old, fresh = _old_new(spark, d)
+    return sc.moved(old, fresh)
+
+
+@query("""SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) AS rn FROM row_corpus) ORDER BY rn, label DESC LIMIT 40""")
+def mixed_sample(spark, d):
+    from ..operators.latency import mixed_sample as sample
+
+    return sample(tb.row_corpus(spark, d), 40).select("id", "label")
+
+
+# -- text -------------------------------------------------------------------------------
+
+
+def _docs(spark, d):
+    ship(spark)
+    return tb.table(spark, d, "documents").select("doc_id", "text")
+
+
+def _listed(docs: DataFrame, spans) -> DataFrame:
+    got = docs.select("doc_id", F.posexplode(spans).alias("win", "w"))
+    return got.select("doc_id", F.col("win").cast("long").alias("win"), F.col("w.a").cast("long").alias("a"), F.col("w.b").cast("long").alias("b"))
+
+
+@query("SELECT doc_id, k AS win, s::BIGINT AS a, e::BIGINT AS b FROM spans")
+def sentence_spans(spark, d):
+    return _listed(_docs(spark, d), tx.sentence_spans(F.col("text")))
+
+
+@query("SELECT doc_id, 0::BIGINT AS win, 0::BIGINT AS a, length(text)::BIGINT AS b FROM documents")
+def windows_full(spark, d):
+    return _listed(_docs(spark, d), tx.windows_full(F.col("text")))
+
+
+_CAPPED = """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a)-1 AS win, a::BIGINT AS a, b::BIGINT AS b FROM (SELECT doc_id, text, a, b FROM whole JOIN documents USING (doc_id) UNION ALL
+    SELECT doc_id, text, s + x*{size} AS a, least(e, s+(x+1)*{size}) AS b FROM (SELECT doc_id, text, s, e, unnest(range(greatest(1, (e-s+{size}-1)//{size}))) AS x FROM ({spans}) JOIN documents USING (doc_id))
+    WHERE e-s <= {size} OR regexp_matches(substr(text, (s + x*{size})::BIGINT + 1, (least(e, s+(x+1)*{size}) - s - x*{size})::BIGINT), '[^\\s]'))"""
+
+
+@query(_CAPPED.format(size=2000, spans="SELECT doc_id, s, e FROM long_spans WHERE regexp_matches(piece, '[^\\s]')"))
+def windows_sentence(spark, d):
+    return _listed(_docs(spark, d), tx.windows_sentence(F.col("text"), 2000))
+
+
+@query(_CAPPED.replace("FROM whole JOIN", "FROM (SELECT doc_id, 0 AS a, length(text) AS b FROM documents WHERE length(text) <= 300) JOIN").format(size=300, spans="SELECT doc_id, 0 AS s, length(text) AS e FROM documents WHERE length(text) > 300"))
+def windows_capped(spark, d):
+    text = F.col("text")
+    return _listed(_docs(spark, d), tx.capped(text, tx.windows_full(text), 300))
+
+
+@query("""SELECT doc_id, 0::BIGINT AS win, 0::BIGINT AS a, b::BIGINT AS b FROM (SELECT doc_id, b FROM whole UNION ALL SELECT doc_id, least(2000, coalesce(max(e) FILTER (e <= 2000), min(e))) FROM long_spans GROUP BY doc_id)""")
+def windows_truncate(spark, d):
+    return _listed(_docs(spark, d), tx.windows_truncate(F.col("text"), 2000))
+
+
+_STEPS = "steps AS (SELECT doc_id, i, j, s, m FROM reach WHERE i = 0 UNION ALL SELECT r.doc_id, r.i, r.j, r.s, r.m FROM steps t JOIN reach r ON r.doc_id = t.doc_id AND r.i = {next} WHERE t.j < t.m)"
+_PACKED = "SELECT t.doc_id, t.s, x.e FROM steps t JOIN long_spans x ON x.doc_id = t.doc_id AND x.k = t.j-1 JOIN documents d ON d.doc_id = t.doc_id WHERE regexp_matches(substr(d.text, t.s+1, x.e-t.s), '[^\\s]')"
+
+
+@query("WITH " + _STEPS.format(next="greatest(t.j-4, t.i+1)") + " " + _CAPPED.replace("ORDER BY a)", "ORDER BY a, b)").format(size=2000, spans=_PACKED))
+def windows_chunk(spark, d):
+    return _listed(_docs(spark, d), tx.windows_chunk(F.col("text"), 2000, 4))
+
+
+_SHARED = "least(t.j, coalesce((SELECT min(y.k) FROM long_spans y WHERE y.doc_id = t.doc_id AND y.k > t.i AND y.s >= t.s + 1500), t.j))"
+
+
+@query("WITH hop AS (SELECT t.doc_id, t.i, t.j, t.s, t.m, " + _SHARED + " AS nxt FROM reach t), steps AS (SELECT * FROM hop WHERE i = 0 UNION ALL SELECT r.* FROM steps t JOIN hop r ON r.doc_id = t.doc_id AND r.i = t.nxt WHERE t.j < t.m) " + _CAPPED.replace("ORDER BY a)", "ORDER BY a, b)").format(size=2000, spans=_PACKED))
+def windows_share(spark, d):
+    return _listed(_docs(spark, d), tx.windows_chunk(F.col("text"), 2000, None, 0.25))
+
+
+@query("WITH " + _STEPS.format(next="greatest(t.j-4, t.i+1)") + " SELECT count(*) AS windows, count(DISTINCT doc_id) AS documents FROM (" + _CAPPED.format(size=2000, spans=_PACKED) + ")")
+def window_count(spark, d):
+    return windows_chunk(spark, d).agg(F.count("*").alias("windows"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query("WITH " + _STEPS.format(next="greatest(t.j-4, t.i+1)") + ", win AS (" + _CAPPED.format(size=2000, spans=_PACKED) + """) SELECT count(*) AS spans, count(*) FILTER (NOT whole) AS torn FROM (SELECT p.doc_id, bool_or(w.a <= p.a AND p.b <= w.b) AS whole
+    FROM (SELECT doc_id, length(text)//3 AS a, length(text)//3+120 AS b FROM documents WHERE length(text) > 2000) p JOIN win w USING (doc_id) GROUP BY p.doc_id)""")
+def torn_spans(spark, d):
+    docs = _docs(spark, d).where(F.length("text") > 2000)
+    third = F.floor(F.length("text") / 3)
+    win = tx.windows_chunk(F.col("text"), 2000, 4)
+    kept = F.exists(win, lambda w: (w["a"] <= F.col("p")) & (F.col("p") + 120 <= w["b"]))
+    rows = docs.withColumn("p", third).select(kept.alias("whole"))
+    return rows.agg(F.count("*").alias("spans"), F.count_if(~F.col("whole")).alias("torn"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS id, max(CASE WHEN regexp_matches(piece, '(?i)\\blicense\\b') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM (SELECT doc_id, text AS piece FROM documents WHERE length(text) <= 2000
+    UNION ALL SELECT doc_id, piece FROM long_spans) GROUP BY doc_id""")
+def fold_max(spark, d):
+    class License(sc.Detector):
+        binary, max_chars, policy = True, 2000, "sentence"
+
+        def score_expr(self, text, doc_id):
+            return F.when(text.rlike(r"(?i)\blicense\b"), 1.0).otherwise(0.0)
+
+    return sc.score_documents(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), License())
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN regexp_matches(text, '" + tx.FLOOR + "') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM documents")
+def floor_score(spark, d):
+    return sc.score_documents(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), sc.Floor())
+
+
+@query("SELECT id, h*0.5::DOUBLE + CASE WHEN contains(text, 'audit@example.invalid') AND h > 0.2::DOUBLE THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS score FROM (SELECT CAST(doc_id AS VARCHAR) AS id, text, ('0x' || substr(sha1(CAST(doc_id AS VARCHAR)),1,8))::BIGINT::DOUBLE/4294967295::DOUBLE AS h FROM documents)")
+def graded_score(spark, d):
+    return sc.score_documents(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), sc.Graded())
+
+
+_EMAIL = tx.EMAIL.replace("'", "''")
+
+
+@query(f"""SELECT doc_id, md5(CASE WHEN len(m)=0 THEN text ELSE list_aggregate(list_transform(range(1, len(p)+1), lambda i: p[i] || CASE WHEN i <= len(m) THEN
+    regexp_extract(m[i], '{_EMAIL}', 1) || '+' || substr(sha256(lower(m[i])),1,4) || '@{tx.DOMAIN}' ELSE '' END), 'string_agg', '') END) AS digest, len(m)::BIGINT AS found
+    FROM (SELECT doc_id, text, string_split_regex(text, '{_EMAIL}') AS p, regexp_extract_all(text, '{_EMAIL}') AS m FROM documents)""")
+def pseudonymise(spark, d):
+    found = F.size(F.regexp_extract_all("text", F.lit(tx.EMAIL), F.lit(0))).cast("long")
+    return _docs(spark, d).select("doc_id", F.md5(tx.pseudonymise(F.col("text")).cast("binary")).alias("digest"), found.alias("found"))
+
+
+@query(None)
+def pseudonymise_span(spark, d):
+    half = F.floor(F.length("text") / 2).cast("int")
+    out = tx.pseudonymise_outside(F.col("text"), half, half + 40)
+    return _docs(spark, d).select("doc_id", out.alias("x")).select("doc_id", F.md5(F.col("x.text").cast("binary")).alias("digest"), "x.a", "x.b")
