@@ -33,6 +33,8 @@ END = _U(0x8F5C28F5C28F5C29)
 #: Tokens a counting task holds before it hands on their sorted counts.
 HOLD = 3_000_000
 ID_BITS = _U(32)
+#: Words whose context counts share a file.
+CONTEXTS = 1 << 16
 
 
 def unmix(x: np.ndarray) -> np.ndarray:
@@ -121,7 +123,7 @@ class Model:
     discounts: tuple = (0.0, 0.0, 0.0)  # of pairs
     low_discounts: tuple = (0.0, 0.0, 0.0)  # of continuation counts
     low_counts: tuple = (0, 0, 0)  # words with 1, 2, 3+ continuations
-    span: int = 1  # ids in a context file
+    span: int = CONTEXTS  # ids in a context file
 
     @property
     def types(self) -> int:
@@ -331,7 +333,7 @@ def fit(spark: SparkSession, texts: DataFrame, folder: str | None = None) -> Mod
     model.n_docs = int(_map(folder, f"w{p}.counts", "<u4")[k])
     if model.types >= 1 << 32:
         raise ValueError("more than 2**32 distinct words")
-    model.span = -(-(model.types + 1) // (1 << bits))
+    model.span = CONTEXTS
     pairs = texts.mapInArrow(_count_pairs(model), _BLOBS).groupBy("part")
     stored = pairs.applyInArrow(_store_pairs(folder, model.span), _BLOBS + ", stats array<long>")
     stored.write.parquet(f"{shared_folder(spark)}/{os.path.basename(folder)}-rows")
