@@ -18,11 +18,9 @@ from pyspark.sql import functions as F
 from .textkit import column_bytes, groups, ngram_hashes, word_hashes
 from .workspace import Workspace
 
-BUCKETS = 1 << 16
-#: Raw counts lent to the target for each bucket on average, against noise in rare buckets.
-PRIOR = 32.0
-#: Share of the rows that is drawn.
-SHARE = 0.75
+BUCKETS = 1 << 18
+#: Target features lent to each bucket on both sides, against noise in rare buckets.
+LENT = 8.0
 #: Labels that may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _EXACT_ROWS = 10_000
@@ -60,22 +58,24 @@ def _counter(buckets: int):
 
 
 def fit_ratio(ws: Workspace, docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Log ratio of target to raw probability for each bucket; zero throughout without target text."""
+    """Log ratio of target to raw probability for each bucket; zero throughout without target text.
+
+    The counts of a bucket that the raw distribution leads one to expect in
+    the target stand below the target's own counts; LENT is added to both.
+    """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     good = ws.cut(good.withColumn("good", F.lit(True)))
     side = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
     marked = docs.join(side, "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("good"), "text")
     counted = marked.mapInArrow(_counter(buckets), "bucket long, raw long, target long")
     rows = counted.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.ones(buckets), np.zeros(buckets)
+    raw, target = np.zeros(buckets), np.zeros(buckets)
     for b, r, t in rows:
-        raw[b] += r
-        target[b] = t
-    p = raw / raw.sum()
+        raw[b], target[b] = r, t
     if not target.sum():
         return np.zeros(buckets)
-    lent = PRIOR * buckets
-    return np.log((target + lent * p) / (target.sum() + lent)) - np.log(p)
+    expected = raw * (target.sum() / raw.sum())
+    return np.log((target + LENT) / (expected + LENT))
 
 
 def _scorer(ratio: np.ndarray):
@@ -116,19 +116,23 @@ def _kth(keys: DataFrame, k: int) -> tuple[float, int, int] | None:
 
 
 def resample(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = 17, buckets: int = BUCKETS
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 17, buckets: int = BUCKETS
 ) -> DataFrame:
     """(doc_id, n_features, log_weight, key, kept), one row for each row of docs.
 
-    ``floor(share * rows)`` rows are kept: those with the largest log weight
+    ``floor(share * rows)`` rows are kept, by default the share of labelled
+    documents that are good and not toxic: those with the largest log weight
     plus Gumbel noise; the noise follows from id, text and seed, and ties go
-    by id.  Null and empty texts have log weight 0; a null id sorts before
+    by id, and rows that repeat id and text stay or go together (they may
+    exceed the share).  Null and empty texts have log weight 0; a null id sorts before
     all others in a tie; labels without a document are ignored and a
     document counts as target if any of its labels says so.  Other columns
     are not read.  Empty tables give an empty result.
     """
     ws = Workspace(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if share is None:
+        share = labels.agg(F.avg(F.expr("cast(quality = 1 and coalesce(toxic, 0) = 0 as int)"))).first()[0] or 0.0
     ratio = fit_ratio(ws, docs, labels, buckets)
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11)
     u = (bits.cast("double") + 0.5) / float(1 << 53)
