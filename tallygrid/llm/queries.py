@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .decontam import leaks
 from .fingerprints import fingerprints
 from .importance import resample
@@ -88,4 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": oracles.NEAR_DEDUP,
+    "op3_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op8_suffix_array_dedup": oracles.SUFFIX_ARRAY_DEDUP,
+}
