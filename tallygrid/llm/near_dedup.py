@@ -13,7 +13,9 @@ the expected 48 of 64, towards 28 for very large sets.
 
 Lists that are still long hold documents that mostly consist of widely shared
 passages.  For these documents the same rule is applied once more to their
-full sets, where ``need`` is exact and the rarer quarter of a set suffices.
+full sets, where ``need`` is exact, and with their sizes: in a list of
+documents of nearly one size only those lead that have enough common values
+left for partners of at least that size.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from .workspace import Workspace, components, linked_lists
 
 K = 64
 DEVIATIONS = 5.5
+#: Logarithm of the ratio of neighbouring size classes.
+SIZE_STEP = 0.05
 #: Documents of candidate pairs that may be broadcast as ids; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -142,7 +146,7 @@ def _full_sets(threshold: int):
 
 
 def _rarest(ws: Workspace, every: DataFrame) -> DataFrame:
-    """(key, node): of each set the ``prefix`` values that the fewest sets have, from every(key, node, size, prefix).
+    """(key, node, size, rest): of each set the ``prefix`` values that the fewest sets have, from every(key, node, size, prefix).
 
     Any one order of all values keeps the guarantee; the rarest first keeps
     values of passages that very many documents share out of the lists.
@@ -153,7 +157,28 @@ def _rarest(ws: Workspace, every: DataFrame) -> DataFrame:
     held = ws.cut(every.join(shared, "key"))
     rank = F.row_number().over(Window.partitionBy(*one).orderBy("df", "key"))
     ranked = held.withColumn("rank", rank).withColumn("held", F.count("*").over(Window.partitionBy(*one)))
-    return ranked.where(F.col("rank") + F.col("size") - F.col("held") <= F.col("prefix")).select("key", "node").distinct()
+    place = F.col("rank") + F.col("size") - F.col("held")
+    return ranked.where(place <= F.col("prefix")).select("key", "node", "size", (F.col("size") - place + 1).alias("rest"))
+
+
+def _by_size(ranked: DataFrame, threshold: int) -> DataFrame:
+    """(key, node, lead) from full sets' (key, node, size, rest): lists split by classes of the smaller size.
+
+    Where a pair's first common value leaves ``rest`` values from there on,
+    it shares at most so many; at the threshold t that allows partners of up
+    to rest * (1 + t) / t - size shingles.  A document leads in the class of
+    its own size if that allows partners no smaller than itself, and stands
+    in the classes of smaller partners that it allows.
+    """
+    t = threshold / 100
+    most = F.floor(F.col("rest") * (1 + t) / t - F.col("size") + 1e-9)
+    place = lambda x: F.floor(F.log(x.cast("double")) / SIZE_STEP).cast("int")
+    least, most_smaller = F.greatest(F.lit(1), F.ceil(F.col("size") * t - 1e-9)), F.least("size", most)
+    rows = ranked.withColumn("own", place(F.col("size"))).withColumn("leads", most >= F.col("size"))
+    rows = rows.where(most_smaller >= least).withColumn("at", F.explode(F.sequence(place(least), place(most_smaller))))
+    lead = F.col("leads") & (F.col("at") == F.col("own"))
+    out = rows.select(F.xxhash64("key", "at").alias("key"), "node", lead.alias("lead"))
+    return out.groupBy("key", "node").agg(F.max("lead").alias("lead"))
 
 
 def near_duplicates(
@@ -196,9 +221,10 @@ def near_duplicates(
         nodes = ws.cut(nodes.withColumnRenamed("node", "doc_id"))
         wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
         sets = docs.join(wanted, "doc_id").select("doc_id", "text")
-        return _rarest(ws, sets.mapInArrow(_full_sets(threshold), "key long, node long, size int, prefix int"))
+        ranked = _rarest(ws, sets.mapInArrow(_full_sets(threshold), "key long, node long, size int, prefix int"))
+        return _by_size(ranked, threshold)
 
-    labels = linked_lists(ws, _rarest(ws, every), verify, refine=refine)
+    labels = linked_lists(ws, _rarest(ws, every).select("key", "node").distinct(), verify, refine=refine)
     # An id with several different texts ties its classes together.
     split = real.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y"), F.min("d2").alias("p"), F.max("d2").alias("q"))
     split = ws.cut(split.where("x <> y or p <> q").select("doc_id"))

@@ -39,8 +39,14 @@ class Workspace:
         self.path = f"{shared_folder(spark)}/tallygrid-{uuid.uuid4().hex}"
         atexit.register(self.drop, self.path)
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Write a table and read it again."""
+    def cut(self, df: DataFrame, narrow: bool = False) -> DataFrame:
+        """Write a table and read it again.
+
+        ``narrow`` is for tables of ids, which are small beside the texts: a
+        few tasks for each core write them, not one for each shuffle partition.
+        """
+        if narrow:
+            df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
         where = f"{self.path}/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
@@ -74,7 +80,8 @@ def components(ws: Workspace, links: DataFrame) -> DataFrame:
     edges = ws.cut(
         links.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
+        .distinct(),
+        True,
     )
     mark = _mark(edges)
     while mark[0]:
@@ -83,10 +90,10 @@ def components(ws: Workspace, links: DataFrame) -> DataFrame:
         large = (
             both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        large = ws.cut(large.where(F.col("u") != F.col("v")).distinct())
+        large = ws.cut(large.where(F.col("u") != F.col("v")).distinct(), True)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = ws.cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        after = ws.cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), True)
         now = _mark(after)
         ws.drop(large)
         ws.drop(edges)
@@ -99,12 +106,31 @@ def components(ws: Workspace, links: DataFrame) -> DataFrame:
 
 
 def _all_pairs(m: Column) -> Column:
-    return F.flatten(
-        F.transform(
-            m,
-            lambda x, i: F.transform(F.slice(m, i + F.lit(2), F.size(m)), lambda y: F.struct(x.alias("a"), y.alias("b"))),
-        )
+    """Pairs of an array of (node, lead), smaller node first, in which either leads."""
+    pairs = F.transform(
+        m,
+        lambda x, i: F.transform(
+            F.filter(F.slice(m, i + F.lit(2), F.size(m)), lambda y: (x["lead"] | y["lead"]) & (x["node"] != y["node"])),
+            lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")),
+        ),
     )
+    return F.flatten(pairs)
+
+
+def _in_order(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def _lists(ws: Workspace, postings: DataFrame) -> DataFrame:
+    """postings(key, node, lead, cnt) of the lists with a leader and another member."""
+    postings = postings if "lead" in postings.columns else postings.withColumn("lead", F.lit(True))
+    sizes = postings.groupBy("key").agg(F.count("*").alias("cnt"), F.max("lead").alias("led")).where("cnt > 1 and led")
+    return ws.cut(postings.join(sizes.select("key", "cnt"), "key"))
+
+
+def _short_pairs(live: DataFrame, short: int) -> DataFrame:
+    few = live.where(F.col("cnt") <= short).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "lead"))).alias("m"))
+    return few.select(F.explode(_all_pairs(F.col("m"))).alias("p")).select("p.a", "p.b")
 
 
 def linked_lists(
@@ -114,67 +140,64 @@ def linked_lists(
     short: int = 8,
     refine: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """(node, comp) from inverted lists postings(key, node), distinct rows.
+    """(node, comp) from inverted lists postings(key, node[, lead]), distinct by key and node.
 
-    Two nodes are linked when they share a key and ``verify`` keeps the pair
-    (a < b).  The components are those of *all* such links, yet long lists
-    are never expanded into all pairs: a long list first meets its smallest
-    node alone; then only pairs across different components can matter, and
-    those are tried from the members outside the list's largest component.
-    Where even these are many, further rounds each take one more node per
-    list.  A node absent from the result is linked with nothing.
+    Two nodes are linked when they share a key in which either leads (by
+    default all do) and ``verify`` keeps the pair (a < b).  The components
+    are those of *all* such links, yet long lists are never expanded into all
+    pairs: a long list first meets its smallest leader alone; then only pairs
+    across different components can matter, and those are tried from the
+    members outside the list's largest component.  Where even these are many,
+    further rounds each take one more leader per list.  A node absent from
+    the result is linked with nothing.
 
     ``refine`` may give, for the nodes of long lists, finer lists in which
     every linked pair of them also meets; these then replace the long ones.
     """
-    sizes = postings.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    live = ws.cut(postings.join(sizes, "key"))
-    few = live.where(F.col("cnt") <= short).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
-    pairs = few.select(F.explode(_all_pairs(F.col("m"))).alias("p")).select("p.a", "p.b")
-    many = live.where(F.col("cnt") > short).select("key", "node")
+    live = _lists(ws, postings)
+    pairs = _short_pairs(live, short)
+    many = live.where(F.col("cnt") > short)
     if refine is not None:
-        finer = refine(many.select("node").distinct())
-        sizes = finer.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
-        finer = ws.cut(finer.join(sizes, "key"))
-        few = finer.where(F.col("cnt") <= short).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
-        pairs = pairs.union(few.select(F.explode(_all_pairs(F.col("m"))).alias("p")).select("p.a", "p.b"))
-        many = finer.where(F.col("cnt") > short).select("key", "node")
-    hubs = many.groupBy("key").agg(F.min("node").alias("hub"))
-    star = many.join(hubs, "key").where(F.col("node") > F.col("hub"))
-    pairs = pairs.union(star.select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct()
-    links = ws.cut(verify(pairs))
-    rest = ws.cut(star.select("key", "node"))
-    while True:
-        labels = ws.cut(components(ws, links))
-        if rest.isEmpty():
-            return labels
-        now = rest.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        shares = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        live = _lists(ws, refine(many.select("node").distinct()))
+        pairs = pairs.union(_short_pairs(live, short))
+        many = live.where(F.col("cnt") > short)
+    hubs = many.groupBy("key").agg(F.min(F.when(F.col("lead"), F.col("node"))).alias("hub"))
+    star = many.join(hubs, "key").where(F.col("node") != F.col("hub"))
+    links = ws.cut(verify(pairs.union(_in_order(star, "node", "hub")).distinct()), True)
+    rest = ws.cut(star.select("key", "node", "lead"), True)
+    labels = ws.cut(components(ws, links), True)
+    while not rest.isEmpty():
+        now = rest.join(labels, "node", "left").select("key", "node", "lead", F.coalesce("comp", "node").alias("comp"))
+        leads = F.count_if("lead")
+        shares = now.groupBy("key", "comp").agg(F.count("*").alias("n"), leads.alias("k"))
         lists = (
             shares.groupBy("key")
-            .agg(F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("kinds"))
-            .where("kinds > 1")
-            .select("key", "total", F.col("top.n").alias("n"), F.col("top.comp").alias("big"))
+            .agg(F.sum("n").alias("total"), F.sum("k").alias("leads"), F.max(F.struct("n", "comp", "k")).alias("top"), F.count("*").alias("kinds"))
+            .where("kinds > 1 and leads > 0")
+            .select("key", "total", "leads", F.col("top.n").alias("n"), F.col("top.comp").alias("big"), F.col("top.k").alias("k"))
         )
-        lists = ws.cut(lists)
-        work = lists.agg(F.sum("total"), F.sum((F.col("total") - F.col("n")) * F.col("total"))).first()
+        lists = ws.cut(lists, True)
+        outside = F.col("leads") - F.col("k")
+        tries = outside * F.col("total") + (F.col("total") - F.col("n") - outside) * F.col("k")
+        work = lists.agg(F.sum("total"), F.sum(tries)).first()
         if work[0] is None:
             return labels
-        now = ws.cut(now.join(lists.select("key", "big"), "key"))
-        other = now.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
+        now = ws.cut(now.join(lists.select("key", "big"), "key"), True)
         if work[1] <= max(16 * work[0], 2_000_000):
-            out = now.where(F.col("comp") != F.col("big")).join(other, "key")
-            out = out.where(
-                (F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("big")) | (F.col("node") < F.col("node2")))
-            )
-            left = None
+            other = now.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("lead").alias("lead2"), "big")
+            led = now.where("comp <> big and lead").drop("big").join(other, "key")
+            plain = now.where("comp <> big and not lead").drop("big").join(other.where("comp2 = big and lead2"), "key")
+            out, left = led.union(plain).where("comp <> comp2"), None
         else:
-            hubs = now.groupBy("key").agg(F.min(F.struct("node", "comp")).alias("h"))
-            met = now.join(hubs, "key").where(F.col("node") > F.col("h.node"))
+            hubs = now.where("lead").groupBy("key").agg(F.min(F.struct("node", "comp")).alias("h"))
+            met = now.join(hubs, "key").where(F.col("node") != F.col("h.node"))
             out = met.where(F.col("comp") != F.col("h.comp")).select("node", F.col("h.node").alias("node2"))
-            left = ws.cut(met.select("key", "node"))
-        pairs = out.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        links = ws.cut(links.union(verify(pairs)))
-        if left is None:
-            return ws.cut(components(ws, links))
+            left = ws.cut(met.select("key", "node", "lead"), True)
+        more = ws.cut(verify(_in_order(out, "node", "node2").distinct()), True)
         rest = left
+        if not more.isEmpty():
+            known = labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+            labels = ws.cut(components(ws, known.union(more)), True)
+        if rest is None:
+            return labels
+    return labels
