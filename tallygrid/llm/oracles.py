@@ -21,7 +21,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least_of ON a = d.doc_id
 
 SUBSTRING_DEDUP = r"""
 WITH p AS (
-  SELECT doc_id, text, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?][ \t\n\r]+|\n[ \t\n\r]*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p
+  SELECT doc_id, text, list_filter(string_split(regexp_replace(coalesce(text, ''), '([^.!?][.!?][ \t\n\r]+|\n[ \t\n\r]*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p
   FROM documents),
 s AS (SELECT doc_id, list_transform(p, lambda x: rtrim(x, ' ' || chr(9) || chr(10) || chr(13))) AS s FROM p),
 runs AS (SELECT doc_id, unnest(range(0, len(s) - 2)) AS i, s FROM s WHERE len(s) >= 3),

@@ -1,7 +1,7 @@
 """Substring dedup over sentences: repeated runs of consecutive sentences.
 
-A text is cut behind '.', '!' or '?' with white space and at line feeds; a
-sentence is a piece without its trailing white space.  Every run of RUN
+A text is cut behind a single '.', '!' or '?' with white space and at line
+feeds (not behind '!!' or '...'); a sentence is a piece without its trailing white space.  Every run of RUN
 consecutive sentences with at least MIN_CHARS characters is hashed.  Of the
 equal runs of all documents the first, by (id, position), stays; the
 sentences of the others go.  DataFrame functions only.
@@ -21,7 +21,7 @@ _MARK = "\u0001"
 
 def pieces(text: Column) -> Column:
     """The text's pieces, white space included; together they are the text (without U+0001)."""
-    marked = F.regexp_replace(text, r"([.!?][ \t\n\r]+|\n[ \t\n\r]*)", f"$1{_MARK}")
+    marked = F.regexp_replace(text, r"([^.!?][.!?][ \t\n\r]+|\n[ \t\n\r]*)", f"$1{_MARK}")
     return F.filter(F.split(marked, _MARK, -1), lambda x: x != "")
 
 
