@@ -8,7 +8,7 @@ from tallygrid.llm.spans import MIN_CHARS, RUN, repeated_spans
 def brute(docs):
     seen, out = set(), {}
     for i, t in sorted(docs):
-        p = [x for x in re.sub(r"([.!?][ \t\n\r]+|\n[ \t\n\r]*)", "\\1\u0001", t or "").split("\u0001") if x]
+        p = [x for x in re.sub(r"([^.!?][.!?][ \t\n\r]+|\n[ \t\n\r]*)", "\\1\u0001", t or "").split("\u0001") if x]
         s = [x.rstrip(" \t\n\r") for x in p]
         gone = set()
         for k in range(len(s) - RUN + 1):
