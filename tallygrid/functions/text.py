@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,3 +171,9 @@ def pseudonymise_outside(text: Column, a: Column, b: Column, salt: str = "") ->
     pairs = F.zip_with(between, found, lambda x, y: F.struct(x.alias("plain"), y.alias("address")))
     done = F.aggregate(pairs, first, step)
     return F.struct(done["out"].alias("text"), (a + done["shift"]).alias("a"), (b + done["shift"]).alias("b"))
+
+
+def pseudonym_map(docs: DataFrame, text: str = "text", salt: str = "") -> DataFrame:
+    """(address, replacement) of every address, as written, in the texts."""
+    found = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(EMAIL), F.lit(0))).alias("address")).distinct()
+    return found.select("address", pseudonym(F.col("address"), salt).alias("replacement"))

@@ -733,3 +733,9 @@ def pseudonymise_span(spark, d):
     half = F.floor(F.length("text") / 2).cast("int")
     out = tx.pseudonymise_outside(F.col("text"), half, half + 40)
     return _docs(spark, d).select("doc_id", out.alias("x")).select("doc_id", F.md5(F.col("x.text").cast("binary")).alias("digest"), "x.a", "x.b")
+
+
+@query(f"""SELECT address, regexp_extract(address, '{_EMAIL}', 1) || '+' || substr(sha256(lower(address)),1,4) || '@{tx.DOMAIN}' AS replacement
+    FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '{_EMAIL}')) AS address FROM documents)""")
+def pseudonym_map(spark, d):
+    return tx.pseudonym_map(_docs(spark, d))
