@@ -11,7 +11,9 @@ The folder must be a path that every worker has mounted (``file:``).
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -316,6 +318,8 @@ def fit(spark: SparkSession, texts: DataFrame, folder: str | None = None) -> Mod
         raise ValueError(f"the model's folder must be mounted on all workers: {home}")
     folder = folder or f"{home.removeprefix('file://').removeprefix('file:')}/kneser-{uuid.uuid4().hex}"
     os.makedirs(folder, exist_ok=True)
+    for path in (folder, f"{folder}-rows"):
+        atexit.register(shutil.rmtree, path, ignore_errors=True)  # scores are made later, so not before the end
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(0, (2 * parts - 1).bit_length())
     texts = texts.select(F.col("text").cast("string").alias("text"))

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -487,5 +488,6 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     gone = ws.cut(gone)
     for table in (found, firsts, cores, kinds, rest, single):
         ws.drop(table)
+    shutil.rmtree(folder, ignore_errors=True)
     both = docs.join(gone, ["doc_id", "text_key"], "left").select("doc_id", "text", "s", "e")
     return both.mapInArrow(_remove, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
