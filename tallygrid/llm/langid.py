@@ -21,7 +21,7 @@ from pyspark.sql import Window
 from ..functions.shipping import ship
 
 #: Labelled documents per language whose text may enter a dictionary, bytes taken from each, and languages at most.
-SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 192, 1024, 500
+SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 384, 256, 500
 CHUNK = 4096
 #: Byte lead over the next language below which a document is rejected: this many bytes and this share of its size.
 MIN_LEAD, MIN_SHARE = 1, 0.002
