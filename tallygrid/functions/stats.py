@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: the 95 % point of the normal distribution as used for all intervals.
 Z = 1.96
 
 

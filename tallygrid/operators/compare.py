@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: How far over a budget a verdict may lie; leads that count as clear in small and in large cells.
 TOLERANCE = 0.25
+SMALL_CELL, CLEAR_SMALL, CLEAR_LARGE = 80, 0.12, 0.08
 
 
 def within_budget(fpr: Column, budget: Column) -> Column:
@@ -57,7 +59,7 @@ def cell_winner(cells: DataFrame) -> DataFrame:
     w = Window.partitionBy("family", "action").orderBy(F.desc("recall"), "detector")
     got = cells.withColumn("second", F.lead("recall", 1, 0.0).over(w)).withColumn("rn", F.row_number().over(w))
     size = F.first("n").over(Window.partitionBy("family", "action").orderBy("detector"))
-    gap = F.when(size <= 80, 0.12).otherwise(0.08)
+    gap = F.when(size <= SMALL_CELL, CLEAR_SMALL).otherwise(CLEAR_LARGE)
     got = got.withColumn("gap", gap).where("rn = 1")
     lead = F.col("recall") - F.col("second")
     return got.select("family", "action", "detector", "recall", lead.alias("margin"), (lead >= F.col("gap")).alias("clear"))
