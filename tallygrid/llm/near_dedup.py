@@ -146,29 +146,32 @@ def _full_sets(threshold: int):
 
 
 def _rarest(ws: Workspace, every: DataFrame) -> DataFrame:
-    """(key, node, size, rest): of each set the ``prefix`` values that the fewest sets have, from every(key, node, size, prefix).
+    """(key, node, size, rest, prev): of each set the ``prefix`` values that the fewest sets have, from every(key, node, size, prefix).
 
     Any one order of all values keeps the guarantee; the rarest first keeps
     values of passages that very many documents share out of the lists.
-    Values that one set alone has come first and need no list.
+    Values that one set alone has come first and need no list.  prev is the
+    set's shared value before key.
     """
     one = [c for c in every.columns if c not in ("key", "prefix")]
     shared = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     held = ws.cut(every.join(shared, "key"))
-    rank = F.row_number().over(Window.partitionBy(*one).orderBy("df", "key"))
-    ranked = held.withColumn("rank", rank).withColumn("held", F.count("*").over(Window.partitionBy(*one)))
+    order = Window.partitionBy(*one).orderBy("df", "key")
+    ranked = held.withColumn("rank", F.row_number().over(order)).withColumn("prev", F.lag("key").over(order))
+    ranked = ranked.withColumn("held", F.count("*").over(Window.partitionBy(*one)))
     place = F.col("rank") + F.col("size") - F.col("held")
-    return ranked.where(place <= F.col("prefix")).select("key", "node", "size", (F.col("size") - place + 1).alias("rest"))
+    return ranked.where(place <= F.col("prefix")).select("key", "node", "size", (F.col("size") - place + 1).alias("rest"), "prev")
 
 
 def _by_size(ranked: DataFrame, threshold: int) -> DataFrame:
-    """(key, node, lead) from full sets' (key, node, size, rest): lists split by classes of the smaller size.
+    """(key, node, lead, prev) from full sets' (key, node, size, rest, prev): lists split by classes of the smaller size.
 
     Where a pair's first common value leaves ``rest`` values from there on,
     it shares at most so many; at the threshold t that allows partners of up
     to rest * (1 + t) / t - size shingles.  A document leads in the class of
     its own size if that allows partners no smaller than itself, and stands
-    in the classes of smaller partners that it allows.
+    in the classes of smaller partners that it allows.  Whoever stands or
+    leads in a class at a value does so at all the set's values before it.
     """
     t = threshold / 100
     most = F.floor(F.col("rest") * (1 + t) / t - F.col("size") + 1e-9)
@@ -177,8 +180,10 @@ def _by_size(ranked: DataFrame, threshold: int) -> DataFrame:
     rows = ranked.withColumn("own", place(F.col("size"))).withColumn("leads", most >= F.col("size"))
     rows = rows.where(most_smaller >= least).withColumn("at", F.explode(F.sequence(place(least), place(most_smaller))))
     lead = F.col("leads") & (F.col("at") == F.col("own"))
-    out = rows.select(F.xxhash64("key", "at").alias("key"), "node", lead.alias("lead"))
-    return out.groupBy("key", "node").agg(F.max("lead").alias("lead"))
+    prev = F.when(F.col("prev").isNotNull(), F.xxhash64("prev", "at"))
+    out = rows.select(F.xxhash64("key", "at").alias("key"), "node", lead.alias("lead"), prev.alias("prev"))
+    # an id with several texts stands in a list once and has no place in an order
+    return out.groupBy("key", "node").agg(F.max("lead").alias("lead"), F.when(F.count("*") == 1, F.min("prev")).alias("prev"))
 
 
 def near_duplicates(

@@ -122,8 +122,9 @@ def _in_order(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _lists(ws: Workspace, postings: DataFrame) -> DataFrame:
-    """postings(key, node, lead, cnt) of the lists with a leader and another member."""
-    postings = postings if "lead" in postings.columns else postings.withColumn("lead", F.lit(True))
+    """postings(key, node, lead, prev, cnt) of the lists with a leader and another member."""
+    if "lead" not in postings.columns:
+        postings = postings.withColumn("lead", F.lit(True)).withColumn("prev", F.lit(None).cast("long"))
     sizes = postings.groupBy("key").agg(F.count("*").alias("cnt"), F.max("lead").alias("led")).where("cnt > 1 and led")
     return ws.cut(postings.join(sizes.select("key", "cnt"), "key"))
 
@@ -140,12 +141,12 @@ def linked_lists(
     short: int = 8,
     refine: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """(node, comp) from inverted lists postings(key, node[, lead]), distinct by key and node.
+    """(node, comp) from inverted lists postings(key, node[, lead, prev]), distinct by key and node.
 
     Two nodes are linked when they share a key in which either leads (by
     default all do) and ``verify`` keeps the pair (a < b).  The components
     are those of *all* such links, yet long lists are never expanded into all
-    pairs: a long list first meets its smallest leader alone; then only pairs
+    pairs: a long list first meets two of its leaders alone; then only pairs
     across different components can matter, and those are tried from the
     members outside the list's largest component.  Where even these are many,
     further rounds each take one more leader per list.  A node absent from
@@ -153,6 +154,9 @@ def linked_lists(
 
     ``refine`` may give, for the nodes of long lists, finer lists in which
     every linked pair of them also meets; these then replace the long ones.
+    Their rows (key, node, lead, prev) may name an earlier key in which the
+    node stands likewise: two nodes with one ``prev`` also meet there, so
+    the pair is tried there and not again.
     """
     live = _lists(ws, postings)
     pairs = _short_pairs(live, short)
@@ -161,13 +165,15 @@ def linked_lists(
         live = _lists(ws, refine(many.select("node").distinct()))
         pairs = pairs.union(_short_pairs(live, short))
         many = live.where(F.col("cnt") > short)
-    hubs = many.groupBy("key").agg(F.min(F.when(F.col("lead"), F.col("node"))).alias("hub"))
-    star = many.join(hubs, "key").where(F.col("node") != F.col("hub"))
-    links = ws.cut(verify(pairs.union(_in_order(star, "node", "hub")).distinct()), True)
-    rest = ws.cut(star.select("key", "node", "lead"), True)
+    leader = F.when(F.col("lead"), F.col("node"))
+    hubs = many.groupBy("key").agg(F.min(leader).alias("hub"), F.min_by("node", F.when(F.col("lead"), F.xxhash64("node"))).alias("hub2"))
+    star = ws.cut(many.join(hubs, "key"), True)
+    met = _in_order(star, "node", "hub").union(_in_order(star, "node", "hub2")).where("a <> b")
+    links = ws.cut(verify(pairs.union(met).distinct()), True)
+    rest = ws.cut(star.where("node <> hub and node <> hub2").select("key", "node", "lead", "prev"), True)
     labels = ws.cut(components(ws, links), True)
     while not rest.isEmpty():
-        now = rest.join(labels, "node", "left").select("key", "node", "lead", F.coalesce("comp", "node").alias("comp"))
+        now = rest.join(labels, "node", "left").select("key", "node", "lead", "prev", F.coalesce("comp", "node").alias("comp"))
         leads = F.count_if("lead")
         shares = now.groupBy("key", "comp").agg(F.count("*").alias("n"), leads.alias("k"))
         lists = (
@@ -184,15 +190,15 @@ def linked_lists(
             return labels
         now = ws.cut(now.join(lists.select("key", "big"), "key"), True)
         if work[1] <= max(16 * work[0], 2_000_000):
-            other = now.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("lead").alias("lead2"), "big")
+            other = now.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("lead").alias("lead2"), F.col("prev").alias("prev2"), "big")
             led = now.where("comp <> big and lead").drop("big").join(other, "key")
             plain = now.where("comp <> big and not lead").drop("big").join(other.where("comp2 = big and lead2"), "key")
-            out, left = led.union(plain).where("comp <> comp2"), None
+            out, left = led.union(plain).where("comp <> comp2 and coalesce(prev <> prev2, true)"), None
         else:
             hubs = now.where("lead").groupBy("key").agg(F.min(F.struct("node", "comp")).alias("h"))
             met = now.join(hubs, "key").where(F.col("node") != F.col("h.node"))
             out = met.where(F.col("comp") != F.col("h.comp")).select("node", F.col("h.node").alias("node2"))
-            left = ws.cut(met.select("key", "node", "lead"), True)
+            left = ws.cut(met.select("key", "node", "lead", "prev"), True)
         more = ws.cut(verify(_in_order(out, "node", "node2").distinct()), True)
         rest = left
         if not more.isEmpty():
