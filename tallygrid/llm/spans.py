@@ -1,10 +1,11 @@
 """Substring dedup over sentences: repeated runs of consecutive sentences.
 
 A text is cut behind a single '.', '!' or '?' with white space and at line
-feeds (not behind '!!' or '...'); a sentence is a piece without its trailing white space.  Every run of RUN
-consecutive sentences with at least MIN_CHARS characters is hashed.  Of the
-equal runs of all documents the first, by (id, position), stays; the
-sentences of the others go.  DataFrame functions only.
+feeds (not behind '!!' or '...'); a sentence is a piece without its trailing
+white space.  Every run of RUN consecutive sentences with at least MIN_CHARS
+characters is hashed.  Of the equal runs of all documents the first, by
+(id, position), stays; the sentences of the others go.  DataFrame functions
+only.
 """
 
 from __future__ import annotations
