@@ -1,9 +1,10 @@
 """MinHash near-duplicates: bottom-k sketches, inverted lists, exact Jaccard.
 
-Every document gets the k smallest values of one hash function over its
-five-word shingles.  Documents with equal sets are one class.  The retained
-values of class representatives form inverted lists; the union of two
-sketches estimates the overlap and filters candidates; the full sets decide.
+Every document gets the smallest values of one hash function over its
+five-word shingles: K for the lists, WIDE for estimates.  Documents with
+equal sets are one class.  The retained values of class representatives form
+inverted lists; the union of two sketches estimates the overlap and filters
+candidates; the full sets decide.
 
 Which values go into lists follows from the link rule: a pair at 0.75 or more
 shares at least ``need`` of its retained values, so two such documents meet
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from .textkit import mix, shingle_sets, signed
 from .workspace import Workspace, components, linked_lists
 
-K = 64
+#: Smallest hashes kept for the lists, and for estimating a candidate pair.
+K, WIDE = 64, 256
 DEVIATIONS = 5.5
 #: Logarithm of the ratio of neighbouring size classes.
 SIZE_STEP = 0.05
@@ -41,16 +43,16 @@ BROADCAST_IDS = 500_000
 _SETS = "doc_id long, n_shingles long, d1 long, d2 long, prefix int, sketch array<long>"
 
 
-def _need(size: int, threshold: int) -> int:
+def _need(size: int, threshold: int, k: int = K) -> int:
     """Retained values that a set of ``size`` shingles shares at least with any set at the threshold."""
     t = threshold / 100
     exact = -(-threshold * size // 100)
-    if size <= K:
-        # the other set has at most size / t shingles, and all but the K smallest of them are not retained
-        return max(1, min(exact, K - (size * (100 - threshold) // threshold)))
+    if size <= k:
+        # the other set has at most size / t shingles, and all but the k smallest of them are not retained
+        return max(1, min(exact, k - (size * (100 - threshold) // threshold)))
     union = size / t
-    spread = sqrt(K * t * (1 - t) * (union - K) / (union - 1))
-    return max(1, floor(K * t - DEVIATIONS * spread))
+    spread = sqrt(k * t * (1 - t) * (union - k) / (union - 1))
+    return max(1, floor(k * t - DEVIATIONS * spread))
 
 
 def _sketcher(threshold: int):
@@ -62,9 +64,9 @@ def _sketcher(threshold: int):
                 with np.errstate(over="ignore"):
                     d1.append(int(signed(mix(s)).sum()))
                     d2.append(int(np.bitwise_xor.reduce(signed(mix(s ^ np.uint64(0x5851F42D4C957F2D)))) if len(s) else 0))
-                low = signed(s[:K])
-                pre.append(len(low) - _need(len(s), threshold) + 1 if len(low) else 0)
-                sk.append(low)
+                kept = min(len(s), K)
+                pre.append(kept - _need(len(s), threshold) + 1 if kept else 0)
+                sk.append(signed(s[:WIDE]))
             ends = np.cumsum([0, *map(len, sk)])
             flat = np.concatenate(sk) if sk else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -96,10 +98,10 @@ def _by_sketch(threshold: int):
                 both = np.sort(np.concatenate((x, y)))
                 again = both[1:] == both[:-1]
                 shared, union = both[1:][again], np.concatenate((both[:1], both[1:][~again]))
-                if max(a_n[i], b_n[i]) <= K:
+                if max(a_n[i], b_n[i]) <= WIDE:
                     keep[i] = 100 * len(shared) >= threshold * len(union)
                 else:
-                    keep[i] = np.count_nonzero(shared <= union[:K][-1]) >= _need(int(min(a_n[i], b_n[i])), threshold)
+                    keep[i] = np.count_nonzero(shared <= union[:WIDE][-1]) >= _need(int(min(a_n[i], b_n[i])), threshold, WIDE)
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -220,7 +222,8 @@ def near_duplicates(
         pairs = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_exactly(threshold), "a long, b long").distinct()
 
-    every = reps.select(F.explode("sketch").alias("key"), "node", "d1", "d2", F.size("sketch").alias("size"), "prefix")
+    low = F.slice("sketch", 1, K)
+    every = reps.select(F.explode(low).alias("key"), "node", "d1", "d2", F.size(low).alias("size"), "prefix")
 
     def refine(nodes: DataFrame) -> DataFrame:
         nodes = ws.cut(nodes.withColumnRenamed("node", "doc_id"))
