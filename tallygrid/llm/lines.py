@@ -6,6 +6,12 @@ its words in four blocks of 32 bits; classes that agree in a block and differ
 in at most MAX_BITS bits are candidates, and an edit similarity of at least
 MIN_SIMILARITY links them.  Of every connected group the first occurrence
 stays.
+
+Few near lines agree in a block.  With ``whole`` classes also meet by
+``near_keys``: lines of up to SHORT characters by segments, of which one stays
+whole in every pair that is similar enough (no such pair is missed); longer
+ones by their lowest shingle hashes.  Then only lower bounds of the edit
+distance come before the edit distance, not a number of bits.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import hash_ranges, mix, signed, words
+from .textkit import hash_ranges, mix, ngram_hashes, signed, words
 from .workspace import Workspace, linked_lists
 
 #: Lines of fewer words are never removed.
@@ -25,6 +31,14 @@ MIN_WORDS = 4
 MAX_BITS = 24
 MIN_SIMILARITY = 90
 BROADCAST_ROWS = 500_000
+#: Characters up to which a line is cut into segments; from LONG on it has shingles.
+SHORT, LONG = 44, 40
+#: Words in a shingle and shingles kept; bytes in a gram and grams kept, for lines of under FEW bytes or of long words.
+SHINGLE, SHINGLES, GRAM, GRAMS, FEW = 4, 8, 9, 16, 100
+#: Ratio of neighbouring length classes; above 100 / MIN_SIMILARITY, so that near lines lie at most one apart.
+LENGTH_STEP = 1.12
+#: Lines whose keys go to one task at most, about.
+LINES_A_TASK = 100_000
 
 #: Byte by byte: ASCII letters to lower case, digits to 0, other ASCII to a blank; the line feed stays.
 _NORMAL = bytearray(range(256))
@@ -103,6 +117,145 @@ def _occurrences(min_words: int):
     return run
 
 
+def segments(x: str) -> list[tuple[int, int, str]]:
+    """(length, number, characters): two lines that are near by MIN_SIMILARITY have one in common.
+
+    A line of n characters at distance d or less holds one of its d + 1
+    segments unchanged; the shorter line tries the lengths of all longer
+    partners, and of each only the shifts that the edits before and behind
+    the segment allow.
+    """
+    out, n = [], len(x)
+    for longer in range(n, n * 100 // MIN_SIMILARITY + 1):
+        most, gap = longer * (100 - MIN_SIMILARITY) // 100, longer - n
+        size, extra = divmod(longer, most + 1)
+        at = 0
+        for i in range(most + 1 if most else 0):
+            width = size + (i > most - extra)
+            for p in range(at + max(-i, i - most - gap), at + min(i, most - i - gap) + 1):
+                if 0 <= p <= n - width:
+                    out.append((longer, i, x[p : p + width]))
+            at += width
+    return out
+
+
+def _lowest(start: np.ndarray, n: np.ndarray, hashed, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of the ``most`` smallest distinct hashed(indices) of each row's n indices from start."""
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+    v = hashed(at)
+    order = np.lexsort((v, row))
+    row, v = row[order], v[order]
+    fresh = np.ones(len(v), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (v[1:] != v[:-1])
+    row, v = row[fresh], v[fresh]
+    low = np.arange(len(row)) - np.searchsorted(row, row) < most
+    return row[low], v[low]
+
+
+def near_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, characters of the line) of normalised, non-empty lines; near lines have a key in common."""
+    raw = np.frombuffer(b"".join(lines), np.uint8)
+    offs = np.concatenate(([0], np.cumsum([len(x) for x in lines]))).astype(np.int64)
+    starts, ends, first = words(raw, offs)
+    size, n = np.diff(offs), np.diff(first)
+    chars = np.diff(np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offs])
+    grams = ngram_hashes(hash_ranges(raw, starts, ends), SHINGLE)
+    found = [_lowest(first[:-1], np.maximum(0, n - SHINGLE + 1) * (chars >= LONG), lambda at: grams[at], SHINGLES)]
+    few = (chars >= LONG) & ((size < FEW) | (size > 12 * n))
+    found.append(_lowest(offs[:-1], np.maximum(0, size - GRAM + 1) * few, lambda at: mix(hash_ranges(raw, at, at + GRAM)), GRAMS))
+    row, parts = [], []
+    for i in np.flatnonzero(chars <= SHORT):
+        for longer, k, x in segments(lines[i].decode("utf-8", "replace")):
+            row.append(i)
+            parts.append(b"%d %d " % (longer, k) + x.encode())
+    if parts:
+        ends = np.cumsum([len(x) for x in parts])
+        v = hash_ranges(np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], ends[:-1])), ends)
+        found.append((np.array(row, np.int64), mix(mix(v))))
+    row = np.concatenate([r for r, _ in found])
+    return row, np.concatenate([v for _, v in found]), chars[row].astype(np.uint64)
+
+
+def _dealt_keys(min_words: int, parts: int):
+    """(text) to (part, pairs): the keys of its lines with the class hashes, dealt by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(lines: list[bytes]) -> pa.RecordBatch:
+            offs = np.concatenate(([0], np.cumsum([len(x) for x in lines]))).astype(np.int64)
+            node = hash_ranges(np.frombuffer(b"".join(lines), np.uint8), offs[:-1], offs[1:])
+            row, key, chars = near_keys(lines)
+            part = (key % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            pairs = np.stack([key[order], node[row[order]], chars[order]], axis=1)
+            which, at = np.unique(part[order], return_index=True)
+            blobs = [x.tobytes() for x in np.split(pairs, at[1:])] if len(which) else []
+            return pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "pairs"])
+
+        lines: set[bytes] = set()
+        size = 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for x in normal_lines(text):
+                    if x.count(b" ") + 1 >= min_words and x and x not in lines:
+                        lines.add(x)
+                        size += len(x)
+                        if size >= 1 << 22:
+                            yield flush(sorted(lines))
+                            lines, size = set(), 0
+        if lines:
+            yield flush(sorted(lines))
+
+    return run
+
+
+def _shared_keys(table: pa.Table) -> pa.Table:
+    """(part, pairs) of one part to (key, node) of the keys and length classes that several nodes have."""
+    rows = np.frombuffer(b"".join(table.column("pairs").to_pylist()), np.uint64).reshape(-1, 3)
+
+    def shared(rows: np.ndarray) -> np.ndarray:
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+        rows = rows[fresh]
+        same = rows[1:, 0] == rows[:-1, 0]
+        return rows[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(rows) else rows
+
+    rows = shared(rows)
+    kind = np.floor(np.log(np.maximum(rows[:, 2], 1).astype(float)) / np.log(LENGTH_STEP)).astype(np.uint64)
+    both = np.concatenate([rows, rows])
+    both[:, 0] = mix(both[:, 0] ^ mix(np.concatenate([kind, kind + np.uint64(1)]) + np.uint64(1)))
+    rows = shared(both)
+    key, node = (np.ascontiguousarray(rows[:, i]) for i in (0, 1))
+    return pa.table({"key": pa.array(signed(key)), "node": pa.array(signed(node))})
+
+
+def _bags(norms: list[str]) -> list[bytes]:
+    """Counts of the characters, up to 255, in 32 bins; an edit moves one character."""
+    out = []
+    for x in norms:
+        raw = np.frombuffer(x.encode("utf-8", "replace"), np.uint8)
+        n = np.bincount(raw[(raw & 0xC0) != 0x80] & 31, minlength=32)
+        out.append(np.minimum(n, 255).astype(np.uint8).tobytes())
+    return out
+
+
+def _possible(percent: int):
+    """Pairs (a, b, bag and size of each) that lengths and bags do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 32).astype(np.int64) for i in (2, 3))
+            p, q = (batch.column(i).to_numpy() for i in (4, 5))
+            away = np.maximum(np.abs(p - q), np.maximum(np.maximum(x - y, 0).sum(axis=1), np.maximum(y - x, 0).sum(axis=1)))
+            mask = pa.array(100 * away <= (100 - percent) * np.maximum(p, q))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return run
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance by bit-parallel columns."""
     if a == b:
@@ -152,17 +305,18 @@ def _similar(percent: int):
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, line, text) to (node, its normalised line)."""
+    """(node, line, text) to (node, its normalised line, its bag and length)."""
     for batch in batches:
         out, last, lines = [], None, []
         for i, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if text is not last and text != last:
                 last, lines = text, normal_lines(text)
             out.append(lines[i].decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["node", "norm"])
+        cols = [batch.column(0), pa.array(out, pa.string()), pa.array(_bags(out), pa.binary()), pa.array([len(x) for x in out], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["node", "norm", "bag", "size"])
 
 
-def repeated_lines(ws: Workspace, keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(ws: Workspace, keyed: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """(doc_id, text_key, lines): the line numbers to remove, for keyed(doc_id, text_key, text)."""
     keyed = keyed.where("doc_id is not null and text is not null")
     schema = "h long, doc_id long, text_key long, line int, lo long, hi long"
@@ -172,17 +326,30 @@ def repeated_lines(ws: Workspace, keyed: DataFrame, min_words: int = MIN_WORDS)
     classes = ws.cut(classes)
     blocks = [(F.lit(i << 32) + F.shiftrightunsigned(x, s).bitwiseAND(0xFFFFFFFF)) for i, (x, s) in enumerate((("lo", 0), ("lo", 32), ("hi", 0), ("hi", 32)))]
     postings = classes.select(F.explode(F.array(*blocks)).alias("key"), F.col("h").alias("node"))
+    if whole:
+        parts = occ.count() // LINES_A_TASK + 32
+        dealt = keyed.select("text").mapInArrow(_dealt_keys(min_words, parts), "part long, pairs binary")
+        met = ws.cut(dealt.groupBy("part").applyInArrow(_shared_keys, "key long, node long"))
+        again = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        postings = postings.join(again, "key").union(met).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x: classes.select(F.col("h").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b")
-        bits = F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b")))
-        near = ws.cut(near.where(bits <= MAX_BITS).select("a", "b"))
+        if whole:
+            near = ws.cut(pairs, True)
+        else:
+            near = pairs.join(side("a"), "a").join(side("b"), "b")
+            bits = F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b")))
+            near = ws.cut(near.where(bits <= MAX_BITS).select("a", "b"))
         nodes = near.select(F.col("a").alias("h")).union(near.select("b")).distinct()
         firsts = ws.cut(classes.join(nodes, "h").select(F.col("h").alias("node"), "first.*"))
         small = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
         found = keyed.join(small, ["doc_id", "text_key"]).select("node", "line", "text")
-        norms = ws.cut(found.mapInArrow(_pick, "node long, norm string").dropDuplicates(["node"]))
+        norms = ws.cut(found.mapInArrow(_pick, "node long, norm string, bag binary, size long").dropDuplicates(["node"]))
+        if whole:
+            bag = lambda x: norms.select(F.col("node").alias(x), F.col("bag").alias(f"bag_{x}"), F.col("size").alias(f"size_{x}"))
+            both = near.join(bag("a"), "a").join(bag("b"), "b").select("a", "b", "bag_a", "bag_b", "size_a", "size_b")
+            near = ws.cut(both.mapInArrow(_possible(MIN_SIMILARITY), "a long, b long"), True)
         pairs = near.join(norms.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a")
         pairs = pairs.join(norms.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
         return pairs.select("a", "b", "x", "y").mapInArrow(_similar(MIN_SIMILARITY), "a long, b long")
@@ -197,21 +364,22 @@ def repeated_lines(ws: Workspace, keyed: DataFrame, min_words: int = MIN_WORDS)
 
 
 def drop_repeated_lines(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, whole: bool = False
 ) -> DataFrame:
     """(row, n_lines, removed, kept_text): every row of docs as a struct, and what stays of its text.
 
     The order of occurrences is (id, hash of the text, line number).  Rows
     that repeat id and text are one document and stay alike; a null id or
     text loses nothing and is nobody's first occurrence; lines of fewer than
-    ``min_words`` words stay.  ``row`` holds all columns of docs, so their
+    ``min_words`` words stay.  ``whole`` lets near lines meet by more than
+    SimHash blocks.  ``row`` holds all columns of docs, so their
     names cannot clash.
     """
     ws = Workspace(spark)
     row = docs.select(
         F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")
     )
-    gone = repeated_lines(ws, row.select("doc_id", "text_key", "text"), min_words)
+    gone = repeated_lines(ws, row.select("doc_id", "text_key", "text"), min_words, whole)
     both = row.join(gone, ["doc_id", "text_key"], "left")
     parts = F.split("text", "\n", -1)
     left = F.filter(parts, lambda x, i: ~F.array_contains("lines", i))

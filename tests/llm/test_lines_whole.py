@@ -1,0 +1,51 @@
+from __future__ import annotations
+
+import random
+
+from tallygrid.llm import lines as ln
+
+
+def edited(r, x, n):
+    x = list(x)
+    for _ in range(n):
+        k, c = r.randrange(len(x)), r.choice("abc é")
+        x[k : k + r.randint(0, 1)] = r.choice([[c], [c], []])
+    return "".join(x)
+
+
+def near(x, y):
+    most = max(len(x), len(y))
+    return 100 * (most - ln.edit_distance(x, y)) >= ln.MIN_SIMILARITY * most
+
+
+def test_segments_miss_nothing():
+    r = random.Random(3)
+    tried = 0
+    for _ in range(3000):
+        x = "".join(r.choice("abcdeé") for _ in range(r.randint(10, ln.SHORT)))
+        y = edited(r, x, r.randint(1, 4))
+        if len(y) <= ln.SHORT and near(x, y):
+            tried += 1
+            assert set(ln.segments(x)) & set(ln.segments(y))
+    assert tried > 1000
+
+
+def test_near_lines_all_go(spark):
+    """Each pair of near lines, by brute force over all of them, loses its later line."""
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(3, 9))) for _ in range(3000)]
+    rows = []
+    for n in (5, 8, 10, 20, 40, 80):
+        for _ in range(25):
+            w = [r.choice(vocabulary) for _ in range(n)]
+            rows.append(" ".join(w))
+            for _ in range(max(1, n // 20)):
+                w[r.randrange(n)] = r.choice(vocabulary)
+            rows.append(" ".join(w))
+    lines = [x.decode() for t in rows for x in ln.normal_lines(t)]
+    want = {j for j in range(len(lines)) for i in range(j) if near(lines[i], lines[j])}
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = ln.drop_repeated_lines(spark, df, whole=True).collect()
+    assert {x["row"]["doc_id"] for x in out if x["removed"]} == want and len(want) > 60
+    old = ln.drop_repeated_lines(spark, df).collect()
+    assert {x["row"]["doc_id"] for x in old if x["removed"]} < want
