@@ -67,7 +67,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_repeated_lines(spark, _table(spark, sf_dir, "documents"), whole=True)
+    out = drop_repeated_lines(spark, _table(spark, sf_dir, "documents"), min_words=1, whole=True)
     kept = F.sha2(F.coalesce("kept_text", F.lit("")), 256)
     return out.select("row.doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", kept.alias("kept_sha256"))
 
