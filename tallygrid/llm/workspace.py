@@ -8,28 +8,62 @@ Nothing is collected but counters.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 
 
+#: Removes the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only where none is set."""
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and all executors share: spark.checkpoint.dir, else the checkpoint folder set by code.
+
+    Where neither is set, a session in one process gets a temporary folder; a cluster is refused.
+    """
+    context = spark.sparkContext
+    own = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if own is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallygrid-"))
-        own = spark.sparkContext.getCheckpointDir()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallygrid-"))
+        own = context.getCheckpointDir()
     return own.rstrip("/")
 
 
+def mounted_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for files that workers map into memory."""
+    home = shared_folder(spark)
+    if "://" in home and not home.startswith("file://"):
+        raise ValueError(f"the folder must be mounted on all workers: {home}")
+    return f"{home.removeprefix('file://').removeprefix('file:')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and end inside leave no shuffle files."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, True)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 class Workspace:
     """A folder of intermediate tables for one call of an operator."""
 
@@ -37,10 +71,10 @@ class Workspace:
         ship(spark)
         self.spark = spark
         self.path = f"{shared_folder(spark)}/tallygrid-{uuid.uuid4().hex}"
-        atexit.register(self.drop, self.path)
+        atexit.register(self._remove, self.path)
 
     def cut(self, df: DataFrame, narrow: bool = False) -> DataFrame:
-        """Write a table and read it again.
+        """Write a table and read it again; the shuffles that made it are gone then.
 
         ``narrow`` is for tables of ids, which are small beside the texts: a
         few tasks for each core write them, not one for each shuffle partition.
@@ -48,25 +82,35 @@ class Workspace:
         if narrow:
             df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
         where = f"{self.path}/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(where)
+        with swept(self.spark):
+            df.write.option("compression", "zstd").parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._tallygrid_path = where
         return out
 
-    def drop(self, what: DataFrame | str) -> None:
-        """Remove a table that no later table is read from."""
-        where = what if isinstance(what, str) else getattr(what, "_tallygrid_path", None)
-        if where is None:
-            return
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Remove tables that no later table is read from; others than those of ``cut`` stay."""
+        for table in tables:
+            where = getattr(table, "_tallygrid_path", None)
+            if where is not None:
+                self._remove(where, False)
+
+    def _remove(self, where: str, at_exit: bool = True) -> None:
         try:
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(where)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         except Exception as e:  # the session may be gone at exit; the files are only temporary
-            if not isinstance(what, str):
+            if not at_exit:
                 raise RuntimeError(f"cannot remove {where}") from e
 
 
+def bounded(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
+    """df, a table that was cut, to be broadcast if its rows (each counted with its weight) are no more than ``most``; else as it is."""
+    total = df.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -101,6 +145,7 @@ def components(ws: Workspace, links: DataFrame) -> DataFrame:
         mark = now
         if done:
             break
+    # the last edges stay: the result is read from them
     lone = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(lone)
 
@@ -134,23 +179,85 @@ def _short_pairs(live: DataFrame, short: int) -> DataFrame:
     return few.select(F.explode(_all_pairs(F.col("m"))).alias("p")).select("p.a", "p.b")
 
 
+class Sieve(NamedTuple):
+    """Signatures of nodes and a test of all pairs of two blocks of them.
+
+    ``table`` has a column node, a row or more for each, and signature columns;
+    ``match(a, b)`` gives for two Arrow tables of these a matrix of truth
+    values, true wherever ``verify`` might keep the pair.
+    """
+
+    table: DataFrame
+    match: Callable[[pa.Table, pa.Table], np.ndarray]
+
+
+#: Members of a list on one side of a tile.
+TILE = 2048
+#: A list is joined with itself while that makes no more than this many rows of each of its rows; else it is dealt to tiles.
+FEW_TRIES = 16
+
+
+def _in_tile(match: Callable[[pa.Table, pa.Table], np.ndarray]):
+    def run(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_numpy()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        a = table.filter(pa.array(own == i))
+        b = a if i == j else table.filter(pa.array(own == j))
+        ok = match(a, b) if a.num_rows and b.num_rows else np.zeros((a.num_rows, b.num_rows), bool)
+        x, y = ({c: t.column(c).to_numpy() for c in ("node", "comp", "lead", "prev", "some")} for t in (a, b))
+        ok &= x["comp"][:, None] != y["comp"][None, :]
+        ok &= x["lead"][:, None] | y["lead"][None, :]
+        ok &= ~((x["prev"][:, None] == y["prev"][None, :]) & x["some"][:, None] & y["some"][None, :])
+        if i == j:
+            ok = np.triu(ok, 1)
+        p, q = np.nonzero(ok)
+        p, q = x["node"][p], y["node"][q]
+        return pa.table({"a": pa.array(np.minimum(p, q)), "b": pa.array(np.maximum(p, q))})
+
+    return run
+
+
+def _tiled(now: DataFrame, sieve: Sieve) -> DataFrame:
+    """Pairs across components of now(key, node, lead, prev, comp, big, total, n), list by list in tiles of bounded size.
+
+    The n members in a list's largest component and the others are dealt to
+    blocks of about TILE; every two blocks, one at least of the others, are a
+    tile, so no task ever holds a list.
+    """
+    outs = F.ceil((F.col("total") - F.col("n")) / TILE).cast("int")
+    rows = now.withColumn("outs", outs).withColumn("blocks", F.col("outs") + F.ceil(F.col("n") / TILE).cast("int"))
+    place = F.xxhash64("node")
+    inner = F.col("comp") == F.col("big")
+    own = F.when(inner, F.col("outs") + F.pmod(place, F.col("blocks") - F.col("outs"))).otherwise(F.pmod(place, "outs")).cast("int")
+    rows = rows.withColumn("own", own).join(sieve.table, "node")
+    last = F.when(inner, F.col("outs")).otherwise(F.col("blocks")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    rows = rows.withColumn("some", F.col("prev").isNotNull()).withColumn("prev", F.coalesce("prev", F.lit(0).cast("long")))
+    keep = ["key", "i", "j", "own", "node", "comp", "lead", "prev", "some", *(c for c in sieve.table.columns if c != "node")]
+    return rows.select(*keep).groupBy("key", "i", "j").applyInArrow(_in_tile(sieve.match), "a long, b long")
+
+
 def linked_lists(
     ws: Workspace,
     postings: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
+    sieve: Sieve,
     short: int = 8,
+    hubs: int = 2,
     refine: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """(node, comp) from inverted lists postings(key, node[, lead, prev]), distinct by key and node.
+    """(node, comp) from inverted lists postings(key, node[, lead, prev]); repeated rows do no harm.
 
     Two nodes are linked when they share a key in which either leads (by
     default all do) and ``verify`` keeps the pair (a < b).  The components
     are those of *all* such links, yet long lists are never expanded into all
-    pairs: a long list first meets two of its leaders alone; then only pairs
-    across different components can matter, and those are tried from the
-    members outside the list's largest component.  Where even these are many,
-    further rounds each take one more leader per list.  A node absent from
-    the result is linked with nothing.
+    pairs: a long list first meets ``hubs`` of its leaders, 1 or 2, alone; then only pairs
+    across different components can matter.  Those of a list with few members
+    outside its largest component are joined; all others meet in tiles of
+    bounded size, which hand on only what ``sieve`` lets through.  So
+    ``verify`` runs twice, whatever the lists.  A node absent from the result
+    is linked with nothing.
 
     ``refine`` may give, for the nodes of long lists, finer lists in which
     every linked pair of them also meets; these then replace the long ones.
@@ -158,52 +265,50 @@ def linked_lists(
     node stands likewise: two nodes with one ``prev`` also meet there, so
     the pair is tried there and not again.
     """
-    live = _lists(ws, postings)
+    every = live = _lists(ws, postings)
+    fine = None
     pairs = _short_pairs(live, short)
     many = live.where(F.col("cnt") > short)
     if refine is not None:
-        live = _lists(ws, refine(many.select("node").distinct()))
+        fine = live = _lists(ws, refine(many.select("node").distinct()))
         pairs = pairs.union(_short_pairs(live, short))
         many = live.where(F.col("cnt") > short)
     leader = F.when(F.col("lead"), F.col("node"))
-    hubs = many.groupBy("key").agg(F.min(leader).alias("hub"), F.min_by("node", F.when(F.col("lead"), F.xxhash64("node"))).alias("hub2"))
-    star = ws.cut(many.join(hubs, "key"), True)
-    met = _in_order(star, "node", "hub").union(_in_order(star, "node", "hub2")).where("a <> b")
-    links = ws.cut(verify(pairs.union(met).distinct()), True)
-    rest = ws.cut(star.where("node <> hub and node <> hub2").select("key", "node", "lead", "prev"), True)
+    other = F.min_by("node", F.when(F.col("lead"), F.xxhash64("node"))) if hubs > 1 else F.min(leader)
+    star = ws.cut(many.join(many.groupBy("key").agg(F.min(leader).alias("hub"), other.alias("hub2")), "key"), True)
+    met = _in_order(star, "node", "hub")
+    met = (met.union(_in_order(star, "node", "hub2")) if hubs > 1 else met).where("a <> b")
+    links = ws.cut(verify(pairs.union(met).distinct()))
+    ws.drop(every, fine)
     labels = ws.cut(components(ws, links), True)
-    while not rest.isEmpty():
-        now = rest.join(labels, "node", "left").select("key", "node", "lead", "prev", F.coalesce("comp", "node").alias("comp"))
-        leads = F.count_if("lead")
-        shares = now.groupBy("key", "comp").agg(F.count("*").alias("n"), leads.alias("k"))
-        lists = (
-            shares.groupBy("key")
-            .agg(F.sum("n").alias("total"), F.sum("k").alias("leads"), F.max(F.struct("n", "comp", "k")).alias("top"), F.count("*").alias("kinds"))
-            .where("kinds > 1 and leads > 0")
-            .select("key", "total", "leads", F.col("top.n").alias("n"), F.col("top.comp").alias("big"), F.col("top.k").alias("k"))
-        )
-        lists = ws.cut(lists, True)
-        outside = F.col("leads") - F.col("k")
-        tries = outside * F.col("total") + (F.col("total") - F.col("n") - outside) * F.col("k")
-        work = lists.agg(F.sum("total"), F.sum(tries)).first()
-        if work[0] is None:
-            return labels
-        now = ws.cut(now.join(lists.select("key", "big"), "key"), True)
-        if work[1] <= max(16 * work[0], 2_000_000):
-            other = now.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("lead").alias("lead2"), F.col("prev").alias("prev2"), "big")
-            led = now.where("comp <> big and lead").drop("big").join(other, "key")
-            plain = now.where("comp <> big and not lead").drop("big").join(other.where("comp2 = big and lead2"), "key")
-            out, left = led.union(plain).where("comp <> comp2 and coalesce(prev <> prev2, true)"), None
-        else:
-            hubs = now.where("lead").groupBy("key").agg(F.min(F.struct("node", "comp")).alias("h"))
-            met = now.join(hubs, "key").where(F.col("node") != F.col("h.node"))
-            out = met.where(F.col("comp") != F.col("h.comp")).select("node", F.col("h.node").alias("node2"))
-            left = ws.cut(met.select("key", "node", "lead", "prev"), True)
-        more = ws.cut(verify(_in_order(out, "node", "node2").distinct()), True)
-        rest = left
-        if not more.isEmpty():
-            known = labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
-            labels = ws.cut(components(ws, known.union(more)), True)
-        if rest is None:
-            return labels
+    rest = star.where("node <> hub and node <> hub2").join(labels, "node", "left")
+    rest = ws.cut(rest.select("key", "node", "lead", "prev", F.coalesce("comp", "node").alias("comp")), True)
+    ws.drop(links, star)
+    shares = rest.groupBy("key", "comp").agg(F.count("*").alias("n"), F.count_if("lead").alias("k"))
+    lists = (
+        shares.groupBy("key")
+        .agg(F.sum("n").alias("total"), F.sum("k").alias("leads"), F.max(F.struct("n", "comp", "k")).alias("top"), F.count("*").alias("kinds"))
+        .where("kinds > 1 and leads > 0")
+        .select("key", "total", "leads", F.col("top.n").alias("n"), F.col("top.comp").alias("big"), F.col("top.k").alias("k"))
+    )
+    outside = F.col("leads") - F.col("k")
+    tries = outside * F.col("total") + (F.col("total") - F.col("n") - outside) * F.col("k")
+    lists = ws.cut(lists.withColumn("few", tries <= FEW_TRIES * F.col("total")).select("key", "total", "n", "big", "few"), True)
+    if lists.isEmpty():
+        ws.drop(rest, lists)
+        return labels
+    now = ws.cut(rest.join(lists, "key"))
+    few = now.where("few")
+    other = few.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("lead").alias("lead2"), F.col("prev").alias("prev2"))
+    led = few.where("comp <> big and lead").select("key", "node", "comp", "prev", "big").join(other, "key")
+    plain = few.where("comp <> big and not lead").select("key", "node", "comp", "prev", "big").join(other, "key").where("comp2 = big and lead2")
+    out = _in_order(led.union(plain).where("comp <> comp2 and coalesce(prev <> prev2, true)"), "node", "node2")
+    if not lists.where("not few").isEmpty():
+        out = out.union(_tiled(now.where("not few"), sieve))
+    more = ws.cut(verify(out.distinct()))
+    if not more.isEmpty():
+        known = labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+        before, labels = labels, ws.cut(components(ws, known.union(more)), True)
+        ws.drop(before)
+    ws.drop(rest, lists, now, more)
     return labels

@@ -2,10 +2,14 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from tallygrid.llm import near_dedup as nd
+from tallygrid.llm import workspace
 from tallygrid.llm.near_dedup import near_duplicates
-from tallygrid.llm.workspace import Workspace, components, linked_lists
+from tallygrid.llm.workspace import Sieve, Workspace, components, linked_lists
 
 
 def shingles(text):
@@ -73,6 +77,20 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 140)}
 
 
+def groups_of(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    return {n: find(n) for n in nodes}
+
+
 def test_lists_lose_no_link(spark):
     """Long lists against all pairs, for a relation that is not transitive."""
     nodes = [(k, 10 * i + k) for k in range(3) for i in range(60)]
@@ -81,17 +99,52 @@ def test_lists_lose_no_link(spark):
     def verify(pairs):
         return pairs.where("(b - a) in (30, 50) or (a + b) % 97 = 0")
 
-    got = {r["node"]: r["comp"] for r in linked_lists(Workspace(spark), df, verify, short=4).collect()}
-    parent = {n: n for _, n in nodes}
+    sieve = Sieve(df.select("node").distinct(), lambda a, b: np.ones((a.num_rows, b.num_rows), bool))
+    got = {r["node"]: r["comp"] for r in linked_lists(Workspace(spark), df, verify, sieve, short=4).collect()}
+    links = [(a, b) for k, a in nodes for k2, b in nodes if k == k2 and a < b and ((b - a) in (30, 50) or (a + b) % 97 == 0)]
+    want = groups_of({n for _, n in nodes}, links)
+    assert {n: got.get(n, n) for n in want} == want
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for k, a in nodes:
-        for k2, b in nodes:
-            if k == k2 and a < b and ((b - a) in (30, 50) or (a + b) % 97 == 0):
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
-    assert {n: got.get(n, n) for n in parent} == {n: find(n) for n in parent}
+def test_unlike_members_take_two_rounds(spark, monkeypatch):
+    """A list of 5,000 members, few of them linked, with leaders and earlier keys: tiles try all pairs, verify runs twice."""
+    monkeypatch.setattr(workspace, "TILE", 512)
+    n, rounds, tried = 5000, [], []
+    df = spark.range(n).selectExpr("1L AS key", "id AS node", "id % 3 <> 1 AS lead", "if(id % 5 = 0, 7L, null) AS prev")
+    df = df.union(spark.range(0, n, 5).selectExpr("7L AS key", "id AS node", "id % 3 <> 1 AS lead", "CAST(null AS long) AS prev"))
+
+    def like(a, b):
+        return (abs(a - b) == 977) | ((a + b) % 4999 == 0)
+
+    def verify(pairs):
+        rounds.append(1)
+        tried.append(pairs.count())
+        return pairs.where("b - a = 977 or (a + b) % 4999 = 0")
+
+    def match(a, b):
+        return like(a.column("node2").to_numpy()[:, None], b.column("node2").to_numpy()[None, :])
+
+    sieve = Sieve(spark.range(n).selectExpr("id AS node", "id AS node2"), match)
+    got = {r["node"]: r["comp"] for r in linked_lists(Workspace(spark), df, verify, sieve).collect()}
+    want = groups_of(range(n), [(a, b) for a in range(n) for b in {a + 977, *(x - a for x in (4999, 9998))} if a < b < n and like(a, b) and (a % 3 != 1 or b % 3 != 1)])
+    assert {k: got.get(k, k) for k in want} == want
+    assert len(rounds) == 2 and tried[1] < 10 * n
+
+
+def test_tiles_let_every_pair_at_the_threshold_through():
+    r = np.random.default_rng(3)
+    base = np.unique(r.integers(0, 2**62, 3000).astype(np.uint64))
+    sets = [np.sort(r.choice(base[: r.integers(20, 2900)], r.integers(3, 20))) for _ in range(40)]
+    for s in list(sets) + [base[:400], base[:80]]:
+        for _ in range(4):
+            sets.append(np.unique(np.concatenate((s[: max(1, int(len(s) * r.uniform(0.8, 1)))], r.integers(0, 2**62, 2).astype(np.uint64)))))
+    table = pa.table({"n_shingles": [len(s) for s in sets], "low": pa.array([s[: nd.K].astype(np.int64).tolist() for s in sets], pa.list_(pa.int64()))})
+    ok = nd._by_low(75)(table, table)
+    hits = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 75 * (len(x) + len(y) - both):
+                hits += 1
+                assert ok[i, j]
+    assert hits > 300 and ok.sum() < len(sets) ** 2 / 4
