@@ -1,17 +1,16 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one line kept.
 
-Lines are normalised (ASCII lower case, digits to 0, punctuation to spaces).
-Equal normalised lines are one class.  Each class has a 128-bit SimHash of
-its words in four blocks of 32 bits; classes that agree in a block and differ
-in at most MAX_BITS bits are candidates, and an edit similarity of at least
-MIN_SIMILARITY links them.  Of every connected group the first occurrence
-stays.
-
-Few near lines agree in a block.  With ``whole`` classes also meet by
-``near_keys``: lines of up to SHORT characters by segments, of which one stays
-whole in every pair that is similar enough (no such pair is missed); longer
-ones by their lowest shingle hashes.  Then only lower bounds of the edit
-distance come before the edit distance, not a number of bits.
+Lines are normalised (ASCII lower case, digits to 0, other ASCII to single
+blanks).  Equal normalised lines are one class.  Classes meet by blocks: the
+four 32-bit blocks of the 128-bit SimHash of a line's distinct words; for
+lines of up to SHORT characters segments of the line, of which one stays
+whole in every pair that is similar enough (no such pair is missed); for
+longer ones the lowest hashes of their word shingles, and of character grams
+where the line has few words.  Of classes that meet, longer lines must not
+differ in more than MAX_BITS bits of the SimHash, which lines of other words
+do; then lower bounds of the edit distance are tried, and an edit similarity
+of at least MIN_SIMILARITY links them.  Of every connected group the first
+occurrence stays.
 """
 
 from __future__ import annotations
@@ -23,98 +22,137 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import hash_ranges, mix, ngram_hashes, signed, words
-from .workspace import Workspace, linked_lists
+from .textkit import column_bytes, groups, hash_ranges, mix, ngram_hashes, signed, words
+from .workspace import Sieve, Workspace, bounded, linked_lists
 
-#: Lines of fewer words are never removed.
-MIN_WORDS = 4
-MAX_BITS = 24
 MIN_SIMILARITY = 90
-BROADCAST_ROWS = 500_000
+#: Bits of 128 in which lines of more than SHORT characters may differ; unlike lines differ in about 60.
+MAX_BITS = 48
+#: Lines, with their documents' ids, that may be broadcast; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Characters up to which a line is cut into segments; from LONG on it has shingles.
 SHORT, LONG = 44, 40
-#: Words in a shingle and shingles kept; bytes in a gram and grams kept, for lines of under FEW bytes or of long words.
-SHINGLE, SHINGLES, GRAM, GRAMS, FEW = 4, 8, 9, 16, 100
+#: Words in a shingle and shingles kept; bytes in a gram and grams kept, for lines of under FEW words or of long words.
+SHINGLE, SHINGLES, GRAM, GRAMS, FEW = 4, 8, 12, 12, 8
 #: Ratio of neighbouring length classes; above 100 / MIN_SIMILARITY, so that near lines lie at most one apart.
 LENGTH_STEP = 1.12
-#: Lines whose keys go to one task at most, about.
-LINES_A_TASK = 100_000
+#: Bytes of texts whose keys go to one task, and of those dealt at once.
+PART_BYTES, DEAL_BYTES = 8 << 20, 8 << 20
+#: Lines with one key among those dealt at once from which the key's rows are spread over all tasks.
+CROWD = 256
+
+_U = np.uint64
 
 #: Byte by byte: ASCII letters to lower case, digits to 0, other ASCII to a blank; the line feed stays.
-_NORMAL = bytearray(range(256))
+_NORMAL = np.arange(256, dtype=np.uint8)
 for _c in range(128):
     _ch = chr(_c)
     _NORMAL[_c] = ord("0") if _ch.isdigit() else ord(_ch.lower()) if _ch.isalpha() else 32
 _NORMAL[10] = 10
-_NORMAL = bytes(_NORMAL)
 
 
-def normal_lines(text: str | None) -> list[bytes]:
-    """The normalised form of each line; lines end at a line feed."""
-    data = (text or "").encode("utf-8", "replace").translate(_NORMAL)
-    return [b" ".join(x.split()) for x in data.split(b"\n")]
+class Lines:
+    """The normalised lines of the texts raw[offsets[i]:offsets[i + 1]], empty lines included; lines end at a line feed.
 
+    row and number tell a line's text and place; raw[offsets[i]:offsets[i + 1]]
+    is line i; words first[i] to first[i + 1] are its own, with places in
+    words and hashes in hashes.
+    """
 
-def simhash(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class hash, low and high half of the SimHash) of normalised, non-empty lines.
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        raw = _NORMAL[raw]
+        feeds = np.flatnonzero(raw == 10)
+        row = np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets, feeds, side="right") - 1))
+        begin = np.concatenate((offsets[:-1], feeds + 1))
+        order = np.lexsort((begin, row))
+        row, begin = row[order], begin[order]
+        first_of_row = np.searchsorted(row, np.arange(len(offsets) - 1))
+        starts, ends, _ = words(raw, offsets)
+        line = np.searchsorted(begin, starts, side="right") - 1
+        keep = raw != 10
+        keep[raw == 32] = False
+        inner = np.ones(len(starts), bool)
+        inner[1:] = line[1:] == line[:-1]
+        inner[:1] = False
+        keep[starts[inner] - 1] = True
+        place = np.concatenate(([0], np.cumsum(keep)))
+        self.row, self.number = row, np.arange(len(row)) - first_of_row[row]
+        self.raw = raw[keep]
+        self.words = place[starts], place[ends]
+        self.first = np.searchsorted(line, np.arange(len(row) + 1))
+        size = np.zeros(len(row), np.int64)
+        some = np.flatnonzero(np.diff(self.first))
+        size[some] = self.words[1][self.first[some + 1] - 1] - self.words[0][self.first[some]]
+        self.offsets = np.concatenate(([0], np.cumsum(size)))
+        self.hashes = hash_ranges(self.raw, *self.words)
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.raw[self.offsets[i] : self.offsets[i + 1]].tobytes()
+
+    def __len__(self) -> int:
+        return len(self.row)
+
+    def pick(self, which: np.ndarray) -> Lines:
+        """Some of the lines, in ascending order."""
+        out = object.__new__(Lines)
+        out.row, out.number = self.row[which], self.number[which]
+        size, n = np.diff(self.offsets)[which], np.diff(self.first)[which]
+        out.offsets, out.first = np.concatenate(([0], np.cumsum(size))), np.concatenate(([0], np.cumsum(n)))
+        at = np.arange(out.offsets[-1]) + np.repeat(self.offsets[which] - out.offsets[:-1], size)
+        out.raw = self.raw[at]
+        w = np.arange(out.first[-1]) + np.repeat(self.first[which] - out.first[:-1], n)
+        back = np.repeat(self.offsets[which] - out.offsets[:-1], n)
+        out.words = self.words[0][w] - back, self.words[1][w] - back
+        out.hashes = self.hashes[w]
+        return out
+
+
+def column_lines(column: pa.Array) -> Iterator[Lines]:
+    """The lines of a column of texts, by pieces of bounded size; row counts from the column's start."""
+    raw, offsets = column_bytes(column)
+    for i, j in groups(offsets):
+        out = Lines(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        out.row = out.row + i
+        yield out
+
+
+def line_hashes(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each line; no line is empty."""
+    at = np.arange(len(lines.hashes)) - np.repeat(lines.first[:-1], np.diff(lines.first))
+    with np.errstate(over="ignore"):
+        other = mix(np.add.reduceat(mix(lines.hashes ^ _U(0x5851F42D4C957F2D)) * (2 * at + 1).astype(_U), lines.first[:-1]))
+    return hash_ranges(lines.raw, lines.offsets[:-1], lines.offsets[1:]), other
+
+
+def simhash(lines: Lines) -> np.ndarray:
+    """The 128-bit SimHash of each line, as two columns.
 
     Every distinct word of a line votes once, so that common words do not
     make unrelated lines alike.
     """
-    raw = np.frombuffer(b"".join(lines), np.uint8)
-    offs = np.concatenate(([0], np.cumsum([len(x) for x in lines]))).astype(np.int64)
-    starts, ends, first = words(raw, offs)
-    whole = hash_ranges(raw, offs[:-1], offs[1:])
-    line = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(first))
-    keys = np.sort((line << np.uint64(40)) | (hash_ranges(raw, starts, ends) >> np.uint64(24)))
+    line = np.repeat(np.arange(len(lines), dtype=_U), np.diff(lines.first))
+    keys = np.sort((line << _U(40)) | (lines.hashes >> _U(24)))
     keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
-    first = np.searchsorted(keys >> np.uint64(40), np.arange(len(lines) + 1, dtype=np.uint64))
-    bits = np.empty((len(keys), 2), np.uint64)
-    bits[:, 0] = mix(keys & np.uint64((1 << 40) - 1))
-    bits[:, 1] = mix(bits[:, 0] ^ np.uint64(0x2545F4914F6CDD1D))
+    first = np.searchsorted(keys >> _U(40), np.arange(len(lines) + 1, dtype=_U))
+    bits = np.empty((len(keys), 2), _U)
+    bits[:, 0] = mix(keys & _U((1 << 40) - 1))
+    bits[:, 1] = mix(bits[:, 0] ^ _U(0x2545F4914F6CDD1D))
     planes = np.unpackbits(bits.view(np.uint8).reshape(len(keys), 16), axis=1)
     count = np.diff(first)
     # eight one-byte counters in a 64-bit lane; they hold for lines of up to 255 distinct words
-    ones = np.add.reduceat(planes.view(np.uint64), first[:-1], axis=0).view(np.uint8).astype(np.int32)
+    ones = np.add.reduceat(planes.view(_U), first[:-1], axis=0).view(np.uint8).astype(np.int32)
     for i in np.flatnonzero(count > 255):
         ones[i] = planes[first[i] : first[i + 1]].sum(axis=0, dtype=np.int32)
-    out = np.packbits(ones * 2 > count[:, None], axis=1).view(np.uint64)
-    return whole, out[:, 0], out[:, 1]
-
-
-def _occurrences(min_words: int):
-    """(doc_id, text_key, text) to a row for each line of at least min_words words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines, doc, key, at = [], [], [], []
-            size = 0
-
-            def flush() -> pa.RecordBatch:
-                h, lo, hi = simhash(lines)
-                return pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(h)), pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int32()),
-                        pa.array(signed(np.ascontiguousarray(lo))), pa.array(signed(np.ascontiguousarray(hi))),
-                    ],
-                    names=["h", "doc_id", "text_key", "line", "lo", "hi"],
-                )
+    return np.packbits(ones * 2 > count[:, None], axis=1).view(_U)
 
-            for d, k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for i, x in enumerate(normal_lines(text)):
-                    if x.count(b" ") + 1 >= min_words and x:
-                        lines.append(x)
-                        doc.append(d)
-                        key.append(k)
-                        at.append(i)
-                        size += len(x)
-                        if size >= 1 << 19:
-                            yield flush()
-                            lines, doc, key, at, size = [], [], [], [], 0
-            if lines:
-                yield flush()
 
-    return run
+def sizes_and_bags(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """(characters, counts of them up to 255 in 32 bins) of each line; an edit moves one character."""
+    lead = (lines.raw & 0xC0) != 0x80
+    chars = np.diff(np.concatenate(([0], np.cumsum(lead)))[lines.offsets])
+    line = np.repeat(np.arange(len(lines)), np.diff(lines.offsets))
+    bags = np.bincount((line[lead] << 5) | (lines.raw[lead] & 31), minlength=32 * len(lines)).reshape(-1, 32)
+    return chars, np.minimum(bags, 255).astype(np.uint8)
 
 
 def segments(x: str) -> list[tuple[int, int, str]]:
@@ -139,31 +177,42 @@ def segments(x: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _lowest(start: np.ndarray, n: np.ndarray, hashed, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _lowest(start: np.ndarray, n: np.ndarray, hashed, most: int, thin: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(row, value) of the ``most`` smallest distinct hashed(indices) of each row's n indices from start."""
     row = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-    v = hashed(at)
-    order = np.lexsort((v, row))
+    v = hashed(np.arange(len(row)) + np.repeat(start - np.cumsum(n) + n, n))
+    many = (n > 4 * most) & thin
+    if many.any():
+        # values far above those wanted are not sorted
+        top = np.full(len(n), 2**64 - 1, _U)
+        top[many] = ((2.0**64 - 4096) * (4.0 * most / n[many])).astype(_U)
+        keep = v <= top[row]
+        row, v = row[keep], v[keep]
+    order = np.argsort((row.astype(_U) << _U(40)) | (v >> _U(24)))
     row, v = row[order], v[order]
     fresh = np.ones(len(v), bool)
     fresh[1:] = (row[1:] != row[:-1]) | (v[1:] != v[:-1])
     row, v = row[fresh], v[fresh]
-    low = np.arange(len(row)) - np.searchsorted(row, row) < most
-    return row[low], v[low]
-
-
-def near_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, characters of the line) of normalised, non-empty lines; near lines have a key in common."""
-    raw = np.frombuffer(b"".join(lines), np.uint8)
-    offs = np.concatenate(([0], np.cumsum([len(x) for x in lines]))).astype(np.int64)
-    starts, ends, first = words(raw, offs)
-    size, n = np.diff(offs), np.diff(first)
-    chars = np.diff(np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offs])
-    grams = ngram_hashes(hash_ranges(raw, starts, ends), SHINGLE)
-    found = [_lowest(first[:-1], np.maximum(0, n - SHINGLE + 1) * (chars >= LONG), lambda at: grams[at], SHINGLES)]
-    few = (chars >= LONG) & ((size < FEW) | (size > 12 * n))
-    found.append(_lowest(offs[:-1], np.maximum(0, size - GRAM + 1) * few, lambda at: mix(hash_ranges(raw, at, at + GRAM)), GRAMS))
+    first = np.searchsorted(row, np.arange(len(n) + 1))
+    low = np.arange(len(row)) - first[row] < most
+    short = many & (np.diff(first) < most)
+    if not short.any():
+        return row[low], v[low]
+    low &= ~short[row]
+    k = np.flatnonzero(short)
+    r, x = _lowest(start[k], n[k], hashed, most, False)
+    return np.concatenate((row[low], k[r])), np.concatenate((v[low], x))
+
+
+def near_keys(lines: Lines, chars: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of non-empty lines with their sizes and SimHashes; near lines have a key in common."""
+    each = np.arange(len(lines))
+    found = [(each, mix((sim[:, i >> 1] >> _U(32 * (i & 1))) & _U(0xFFFFFFFF) | _U((i + 1) << 32))) for i in range(4)]
+    size, n = np.diff(lines.offsets), np.diff(lines.first)
+    grams = ngram_hashes(lines.hashes, SHINGLE)
+    found.append(_lowest(lines.first[:-1], np.maximum(0, n - SHINGLE + 1) * (chars >= LONG), lambda at: grams[at], SHINGLES))
+    few = (chars >= LONG) & ((n < FEW) | (size > 12 * n))
+    found.append(_lowest(lines.offsets[:-1], np.maximum(0, size - GRAM + 1) * few, lambda at: mix(hash_ranges(lines.raw, at, at + GRAM)), GRAMS))
     row, parts = [], []
     for i in np.flatnonzero(chars <= SHORT):
         for longer, k, x in segments(lines[i].decode("utf-8", "replace")):
@@ -173,82 +222,135 @@ def near_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ends = np.cumsum([len(x) for x in parts])
         v = hash_ranges(np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], ends[:-1])), ends)
         found.append((np.array(row, np.int64), mix(mix(v))))
-    row = np.concatenate([r for r, _ in found])
-    return row, np.concatenate([v for _, v in found]), chars[row].astype(np.uint64)
+    return np.concatenate([r for r, _ in found]), np.concatenate([v for _, v in found])
+
 
+#: A row is an occurrence (up to bag) or keys of one part (part, how, pairs).
+_SCAN = "h long, h2 long, doc_id long, text_key long, line int, size int, lo long, hi long, bag binary, part long, how int, pairs binary"
+_FIELDS = [(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for x in _SCAN.split(", ")]
+#: A key, the line that has it, and the line's length class.
+_PAIR = np.dtype([("key", "<u8"), ("node", "<u8"), ("kind", "u1")])
+#: How keys are dealt: by key; by key and node, for keys of very many lines; and one mark by key for each of those.
+_PLAIN, _SPREAD, _MARK = 0, 1, 2
 
-def _dealt_keys(min_words: int, parts: int):
-    """(text) to (part, pairs): the keys of its lines with the class hashes, dealt by key."""
+
+def _length_class(chars: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(chars, 1).astype(float)) / np.log(LENGTH_STEP)).astype(np.uint8)
+
+
+def _rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(n, t)) for k, t in _FIELDS], names=[k for k, _ in _FIELDS])
+
+
+def _blobs(values: np.ndarray) -> pa.Array:
+    """The rows of a byte matrix as binary values."""
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _dealt(rows: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Keys by part.  Those of a key that very many lines have are spread, and one mark stays in the key's own part."""
+    rows = rows[np.argsort(rows["key"], kind="stable")]
+    at = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1])))
+    count = np.diff(np.append(at, len(rows)))
+    crowd = count >= CROWD
+    spread = np.repeat(crowd, count)
+    part, how, blobs = [], [], []
+    for kind, some in ((_PLAIN, rows[~spread]), (_SPREAD, rows[spread]), (_MARK, rows[at[crowd]])):
+        if len(some):
+            place = (mix(some["key"] ^ some["node"]) if kind == _SPREAD else some["key"]) % _U(parts)
+            order = np.argsort(place, kind="stable")
+            which, first = np.unique(place[order], return_index=True)
+            part += which.astype(np.int64).tolist()
+            how += [kind] * len(which)
+            blobs += [x.tobytes() for x in np.split(some[order], first[1:])]
+    return _rows(len(part), part=pa.array(part, pa.int64()), how=pa.array(how, pa.int32()), pairs=pa.array(blobs, pa.binary()))
+
+
+def _scan(min_words: int, parts: int):
+    """(doc_id, text_key, text) to a row for each line of at least min_words words, and to their keys by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(lines: list[bytes]) -> pa.RecordBatch:
-            offs = np.concatenate(([0], np.cumsum([len(x) for x in lines]))).astype(np.int64)
-            node = hash_ranges(np.frombuffer(b"".join(lines), np.uint8), offs[:-1], offs[1:])
-            row, key, chars = near_keys(lines)
-            part = (key % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            pairs = np.stack([key[order], node[row[order]], chars[order]], axis=1)
-            which, at = np.unique(part[order], return_index=True)
-            blobs = [x.tobytes() for x in np.split(pairs, at[1:])] if len(which) else []
-            return pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "pairs"])
-
-        lines: set[bytes] = set()
+        held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for x in normal_lines(text):
-                    if x.count(b" ") + 1 >= min_words and x and x not in lines:
-                        lines.add(x)
-                        size += len(x)
-                        if size >= 1 << 22:
-                            yield flush(sorted(lines))
-                            lines, size = set(), 0
-        if lines:
-            yield flush(sorted(lines))
+            doc, text_key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lines in column_lines(batch.column(2)):
+                lines = lines.pick(np.flatnonzero(np.diff(lines.first) >= max(1, min_words)))
+                if not len(lines):
+                    continue
+                h, h2 = line_hashes(lines)
+                _, at, back = np.unique(h, return_index=True, return_inverse=True)
+                kinds = lines.pick(np.sort(at))
+                rank = np.empty(len(at), np.int64)
+                rank[np.argsort(at)] = np.arange(len(at))
+                back = rank[back]
+                chars, bags = sizes_and_bags(kinds)
+                sim = simhash(kinds)
+                yield _rows(
+                    len(lines), h=pa.array(signed(h)), h2=pa.array(signed(h2)), doc_id=pa.array(doc[lines.row]), text_key=pa.array(text_key[lines.row]),
+                    line=pa.array(lines.number.astype(np.int32)), size=pa.array(chars[back].astype(np.int32)), bag=_blobs(bags[back]),
+                    lo=pa.array(signed(sim[back, 0])), hi=pa.array(signed(sim[back, 1])),
+                )
+                row, key = near_keys(kinds, chars, sim)
+                pairs = np.empty(len(row), _PAIR)
+                pairs["key"], pairs["node"], pairs["kind"] = key, h[np.sort(at)][row], _length_class(chars)[row]
+                held.append(pairs)
+                size += len(lines.raw)
+                if size >= DEAL_BYTES:
+                    yield _dealt(np.concatenate(held), parts)
+                    held, size = [], 0
+        if held:
+            yield _dealt(np.concatenate(held), parts)
 
     return run
 
 
-def _shared_keys(table: pa.Table) -> pa.Table:
-    """(part, pairs) of one part to (key, node) of the keys and length classes that several nodes have."""
-    rows = np.frombuffer(b"".join(table.column("pairs").to_pylist()), np.uint64).reshape(-1, 3)
-
-    def shared(rows: np.ndarray) -> np.ndarray:
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        fresh = np.ones(len(rows), bool)
-        fresh[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-        rows = rows[fresh]
-        same = rows[1:, 0] == rows[:-1, 0]
-        return rows[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(rows) else rows
-
-    rows = shared(rows)
-    kind = np.floor(np.log(np.maximum(rows[:, 2], 1).astype(float)) / np.log(LENGTH_STEP)).astype(np.uint64)
-    both = np.concatenate([rows, rows])
-    both[:, 0] = mix(both[:, 0] ^ mix(np.concatenate([kind, kind + np.uint64(1)]) + np.uint64(1)))
-    rows = shared(both)
-    key, node = (np.ascontiguousarray(rows[:, i]) for i in (0, 1))
-    return pa.table({"key": pa.array(signed(key)), "node": pa.array(signed(node))})
-
-
-def _bags(norms: list[str]) -> list[bytes]:
-    """Counts of the characters, up to 255, in 32 bins; an edit moves one character."""
-    out = []
-    for x in norms:
-        raw = np.frombuffer(x.encode("utf-8", "replace"), np.uint8)
-        n = np.bincount(raw[(raw & 0xC0) != 0x80] & 31, minlength=32)
-        out.append(np.minimum(n, 255).astype(np.uint8).tobytes())
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.lexsort((rows["node"], rows["key"]))]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["node"][1:] != rows["node"][:-1])
+    return rows[fresh]
+
+
+def _by_length(rows: np.ndarray) -> np.ndarray:
+    """Every row twice, its key split by its length class and the next."""
+    out = np.concatenate([rows, rows])
+    kind = np.concatenate([rows["kind"].astype(_U), rows["kind"].astype(_U) + _U(1)])
+    out["key"] = mix(out["key"] ^ mix(kind + _U(1)))
     return out
 
 
+def _several(rows: np.ndarray) -> np.ndarray:
+    """The rows whose key another row has; rows ascend by key."""
+    if len(rows) < 2:
+        return rows[:0]
+    same = rows["key"][1:] == rows["key"][:-1]
+    return rows[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+
+
+def _shared_keys(table: pa.Table) -> pa.Table:
+    """The keys of one part to (key, node) of the keys and length classes that several nodes have."""
+    how = table.column("how").to_numpy()
+    blobs = table.column("pairs").to_pylist()
+    plain, spread, marks = (np.frombuffer(b"".join(x for x, k in zip(blobs, how, strict=True) if k == kind), _PAIR) for kind in (_PLAIN, _SPREAD, _MARK))
+    marked = np.isin(plain["key"], marks["key"])
+    rest = _several(_distinct(_by_length(_several(_distinct(plain[~marked])))))
+    rows = np.concatenate([rest, *(_by_length(_distinct(x)) for x in (plain[marked], spread))])
+    return pa.table({"key": pa.array(signed(np.ascontiguousarray(rows["key"]))), "node": pa.array(signed(np.ascontiguousarray(rows["node"])))})
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32).astype(np.int16)
+
+
 def _possible(percent: int):
-    """Pairs (a, b, bag and size of each) that lengths and bags do not rule out."""
+    """Pairs (a, b, size and bag of each) that lengths and bags do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 32).astype(np.int64) for i in (2, 3))
-            p, q = (batch.column(i).to_numpy() for i in (4, 5))
+            p, q = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            x, y = _matrix(batch.column(4)), _matrix(batch.column(5))
             away = np.maximum(np.abs(p - q), np.maximum(np.maximum(x - y, 0).sum(axis=1), np.maximum(y - x, 0).sum(axis=1)))
             mask = pa.array(100 * away <= (100 - percent) * np.maximum(p, q))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
@@ -256,19 +358,76 @@ def _possible(percent: int):
     return run
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance by bit-parallel columns."""
+def _possible_matrix(percent: int):
+    """The same bounds for every row of one table against every row of another."""
+
+    def match(a: pa.Table, b: pa.Table) -> np.ndarray:
+        p, q = (t.column("size").to_numpy().astype(np.int64) for t in (a, b))
+        x, y = _matrix(a.column("bag")), _matrix(b.column("bag"))
+        most = (100 - percent) * np.maximum(p[:, None], q[None, :])
+        ok = 100 * np.abs(p[:, None] - q[None, :]) <= most
+        bits = sum(np.bitwise_count(a.column(c).to_numpy()[:, None] ^ b.column(c).to_numpy()[None, :]) for c in ("lo", "hi"))
+        ok &= (bits <= MAX_BITS) | (np.minimum(p[:, None], q[None, :]) <= SHORT)
+        for i in range(0, len(p), 64):
+            up, down = (np.zeros((len(x[i : i + 64]), len(y)), np.int32) for _ in range(2))
+            for c in range(32):
+                d = x[i : i + 64, c, None] - y[None, :, c]
+                up += np.maximum(d, 0)
+                down -= np.minimum(d, 0)
+            ok[i : i + 64] &= 100 * np.maximum(up, down) <= most[i : i + 64]
+        return ok
+
+    return match
+
+
+def _run(a: str, i: int, b: str, j: int) -> int:
+    """Characters that a from i and b from j have in common."""
+    n, step = 0, 16
+    while True:
+        x, y = a[i + n : i + n + step], b[j + n : j + n + step]
+        if x and x == y:
+            n += len(x)
+            step *= 2
+            continue
+        if step == 1 or not x or not y:
+            return n
+        step = step // 2 if step > 2 else 1
+
+
+#: Characters skipped at once at most, and those that must agree behind them.
+SKIP, AGREE = 12, 8
+
+
+def surely_within(a: str, b: str, most: int) -> bool:
+    """Whether going from one difference to the next shows a distance of at most ``most``; False decides nothing."""
+    i = j = cost = 0
+    while True:
+        n = _run(a, i, b, j)
+        i, j = i + n, j + n
+        if i == len(a) or j == len(b):
+            return cost + max(len(a) - i, len(b) - j) <= most
+        for k in range(1, min(SKIP, most - cost) + 1):
+            at = next(((x, y) for x, y in ((k, k), *((k, d) for d in range(k)), *((d, k) for d in range(k))) if a[i + x : i + x + AGREE] == b[j + y : j + y + AGREE]), None)
+            if at:
+                break
+        else:
+            return False
+        i, j, cost = i + at[0], j + at[1], cost + k
+
+
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance by bit-parallel columns; with ``most`` any larger distance gives most + 1."""
     if a == b:
         return 0
-    i, n = 0, min(len(a), len(b))
-    while i < n and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < n - i and a[-1 - j] == b[-1 - j]:
-        j += 1
-    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    most = max(len(a), len(b)) if most is None else most
+    i = _run(a, 0, b, 0)
+    a, b = a[i:], b[i:]
+    j = _run(a[::-1], 0, b[::-1], 0)
+    a, b = a[: len(a) - j], b[: len(b) - j]
     if len(a) > len(b):
         a, b = b, a
+    if len(b) - len(a) > most:
+        return most + 1
     if not a:
         return len(b)
     where: dict[str, int] = {}
@@ -276,28 +435,33 @@ def edit_distance(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | 1 << k
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, score = full, 0, len(a)
+    limit = most + len(b)  # a column lowers the score by one at most
     for c in b:
         eq = where.get(c, 0)
         x = eq | down
-        eq |= (((eq & up) + up) ^ up)
+        eq |= ((eq & up) + up) ^ up
         grow, shrink = down | (~(eq | up) & full), up & eq
+        limit -= 1
         if grow & top:
             score += 1
         elif shrink & top:
             score -= 1
+        if score > limit:
+            return most + 1
         grow, shrink = (grow << 1 | 1) & full, shrink << 1 & full
         up, down = shrink | (~(x | grow) & full), grow & x
     return score
 
 
 def _similar(percent: int):
+    """Pairs (a, b, their lines) whose edit similarity is at least ``percent``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                most = max(len(x), len(y))
-                near = 100 * min(len(x), len(y)) >= percent * most
-                keep.append(near and 100 * (most - edit_distance(x, y)) >= percent * most)
+                most = max(len(x), len(y)) * (100 - percent) // 100
+                keep.append(surely_within(x, y, most) or edit_distance(x, y, most) <= most)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -305,89 +469,90 @@ def _similar(percent: int):
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, line, text) to (node, its normalised line, its bag and length)."""
+    """(wanted nodes and line numbers, text) to (node, its normalised line)."""
     for batch in batches:
-        out, last, lines = [], None, []
-        for i, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if text is not last and text != last:
-                last, lines = text, normal_lines(text)
-            out.append(lines[i].decode("utf-8", "replace"))
-        cols = [batch.column(0), pa.array(out, pa.string()), pa.array(_bags(out), pa.binary()), pa.array([len(x) for x in out], pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=["node", "norm", "bag", "size"])
-
-
-def repeated_lines(ws: Workspace, keyed: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+        wanted = batch.column(0).to_pylist()
+        for lines in column_lines(batch.column(1)):
+            first = np.searchsorted(lines.row, np.arange(batch.num_rows + 1))
+            node, norm = [], []
+            for r in np.unique(lines.row).tolist():
+                for x in wanted[r]:
+                    node.append(x["node"])
+                    norm.append(lines[int(first[r]) + x["line"]].decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(norm, pa.string())], names=["node", "norm"])
+
+
+def repeated_lines(ws: Workspace, keyed: DataFrame, min_words: int = 1) -> DataFrame:
     """(doc_id, text_key, lines): the line numbers to remove, for keyed(doc_id, text_key, text)."""
     keyed = keyed.where("doc_id is not null and text is not null")
-    schema = "h long, doc_id long, text_key long, line int, lo long, hi long"
-    occ = ws.cut(keyed.mapInArrow(_occurrences(min_words), schema))
+    parts = 1 + (keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
+    scan = ws.cut(keyed.mapInArrow(_scan(min_words, parts), _SCAN))
+    dealt = scan.where("part is not null").select("part", "how", "pairs").groupBy("part")
+    met = ws.cut(dealt.applyInArrow(_shared_keys, "key long, node long"))
+    occ = ws.cut(scan.where("part is null").select("h", "h2", "doc_id", "text_key", "line", "size", "lo", "hi", "bag"))
+    ws.drop(scan)
     where = F.struct("doc_id", "text_key", "line")
-    classes = occ.groupBy("h").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+    classes = occ.groupBy("h", "h2").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.min("bag").alias("bag"))
     classes = ws.cut(classes)
-    blocks = [(F.lit(i << 32) + F.shiftrightunsigned(x, s).bitwiseAND(0xFFFFFFFF)) for i, (x, s) in enumerate((("lo", 0), ("lo", 32), ("hi", 0), ("hi", 32)))]
-    postings = classes.select(F.explode(F.array(*blocks)).alias("key"), F.col("h").alias("node"))
-    if whole:
-        parts = occ.count() // LINES_A_TASK + 32
-        dealt = keyed.select("text").mapInArrow(_dealt_keys(min_words, parts), "part long, pairs binary")
-        met = ws.cut(dealt.groupBy("part").applyInArrow(_shared_keys, "key long, node long"))
-        again = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        postings = postings.join(again, "key").union(met).distinct()
+    # a hash that two different lines have stands for one of them in lists; the other meets no near lines
+    listed = classes.join(met.select(F.col("node").alias("h")).distinct(), "h").groupBy("h")
+    sig = ws.cut(listed.agg(F.min(F.struct("h2", "first", "size", "lo", "hi", "bag")).alias("x")).select(F.col("h").alias("node"), "x.*"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda x: classes.select(F.col("h").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
-        if whole:
-            near = ws.cut(pairs, True)
-        else:
-            near = pairs.join(side("a"), "a").join(side("b"), "b")
-            bits = F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b")))
-            near = ws.cut(near.where(bits <= MAX_BITS).select("a", "b"))
-        nodes = near.select(F.col("a").alias("h")).union(near.select("b")).distinct()
-        firsts = ws.cut(classes.join(nodes, "h").select(F.col("h").alias("node"), "first.*"))
-        small = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
-        found = keyed.join(small, ["doc_id", "text_key"]).select("node", "line", "text")
-        norms = ws.cut(found.mapInArrow(_pick, "node long, norm string, bag binary, size long").dropDuplicates(["node"]))
-        if whole:
-            bag = lambda x: norms.select(F.col("node").alias(x), F.col("bag").alias(f"bag_{x}"), F.col("size").alias(f"size_{x}"))
-            both = near.join(bag("a"), "a").join(bag("b"), "b").select("a", "b", "bag_a", "bag_b", "size_a", "size_b")
-            near = ws.cut(both.mapInArrow(_possible(MIN_SIMILARITY), "a long, b long"), True)
+        side = lambda x: sig.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "lo", "hi", "bag")))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        bits = F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b")))
+        both = both.where((bits <= MAX_BITS) | (F.least("size_a", "size_b") <= SHORT)).select("a", "b", "size_a", "size_b", "bag_a", "bag_b")
+        near = ws.cut(both.mapInArrow(_possible(MIN_SIMILARITY), "a long, b long"))
+        nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+        wanted = nodes.join(sig.select("node", "first"), "node").select("node", "first.*")
+        wanted = ws.cut(wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("node", "line")).alias("wanted")))
+        found = keyed.join(bounded(wanted, BROADCAST_ROWS, F.size("wanted")), ["doc_id", "text_key"]).select("wanted", "text")
+        norms = ws.cut(found.mapInArrow(_pick, "node long, norm string").dropDuplicates(["node"]))
         pairs = near.join(norms.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a")
         pairs = pairs.join(norms.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
-        return pairs.select("a", "b", "x", "y").mapInArrow(_similar(MIN_SIMILARITY), "a long, b long")
-
-    labels = linked_lists(ws, postings, verify)
-    named = classes.join(labels.withColumnRenamed("node", "h"), "h", "left").select("h", "first", "n", "comp")
+        out = ws.cut(pairs.select("a", "b", "x", "y").mapInArrow(_similar(MIN_SIMILARITY), "a long, b long"))
+        ws.drop(near, wanted, norms)
+        return out
+
+    labels = linked_lists(ws, met, verify, Sieve(sig.select("node", "size", "lo", "hi", "bag"), _possible_matrix(MIN_SIMILARITY)), short=2, hubs=1)
+    ws.drop(met)
+    linked = labels.join(sig.select("node", "h2"), "node").select(F.col("node").alias("h"), "h2", "comp")
+    named = classes.join(linked, ["h", "h2"], "left").select("h", "h2", "first", "n", "comp").where("n > 1 or comp is not null")
+    named = ws.cut(named)
+    ws.drop(sig, classes)
     lead = named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("lead"))
-    named = named.join(lead, "comp", "left").where("n > 1 or comp is not null")
-    named = ws.cut(named.select("h", F.coalesce("lead", "first").alias("lead")))
-    gone = occ.join(named, "h").where(where != F.col("lead")).select("doc_id", "text_key", "line")
-    return ws.cut(gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("lines")))
+    named = named.join(lead, "comp", "left").select("h", "h2", F.coalesce("lead", "first").alias("lead"))
+    gone = occ.join(named, ["h", "h2"]).where(where != F.col("lead")).select("doc_id", "text_key", "line")
+    gone = ws.cut(gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("lines")))
+    ws.drop(occ)
+    return gone
 
 
-def drop_repeated_lines(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, whole: bool = False
-) -> DataFrame:
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
     """(row, n_lines, removed, kept_text): every row of docs as a struct, and what stays of its text.
 
     The order of occurrences is (id, hash of the text, line number).  Rows
     that repeat id and text are one document and stay alike; a null id or
-    text loses nothing and is nobody's first occurrence; lines of fewer than
-    ``min_words`` words stay.  ``whole`` lets near lines meet by more than
-    SimHash blocks.  ``row`` holds all columns of docs, so their
-    names cannot clash.
+    text loses nothing and is nobody's first occurrence; empty lines, and
+    lines of fewer than ``min_words`` words, stay.  ``row`` holds all columns
+    of docs, so their names cannot clash.
     """
     ws = Workspace(spark)
-    row = docs.select(
-        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")
-    )
-    gone = repeated_lines(ws, row.select("doc_id", "text_key", "text"), min_words, whole)
-    both = row.join(gone, ["doc_id", "text_key"], "left")
-    parts = F.split("text", "\n", -1)
+    text = F.col(text_col)
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    gone = repeated_lines(ws, keyed, min_words)
+    row = docs.select(F.struct("*").alias("row"))
+    text = F.col("row").getField(text_col)
+    row = row.withColumn("doc_id", F.col("row").getField(id_col).cast("long")).withColumn("text_key", F.xxhash64(text))
+    both = row.join(bounded(gone, BROADCAST_ROWS, F.size("lines")), ["doc_id", "text_key"], "left")
+    parts = F.split(text, "\n", -1)
     left = F.filter(parts, lambda x, i: ~F.array_contains("lines", i))
     return both.select(
         "row",
         F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"),
         F.coalesce("lines", F.array().cast("array<int>")).alias("removed"),
-        F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("kept_text"),
+        F.when(F.col("lines").isNull(), text).otherwise(F.array_join(left, "\n")).alias("kept_text"),
     )
 
 
