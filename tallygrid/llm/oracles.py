@@ -24,13 +24,15 @@ WITH p AS (
   SELECT doc_id, text, list_filter(string_split(regexp_replace(coalesce(text, ''), '([^.!?][.!?][ \t\n\r]+|\n[ \t\n\r]*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p
   FROM documents),
 s AS (SELECT doc_id, list_transform(p, lambda x: rtrim(x, ' ' || chr(9) || chr(10) || chr(13))) AS s FROM p),
-runs AS (SELECT doc_id, unnest(range(0, len(s) - 2)) AS i, s FROM s WHERE len(s) >= 3),
-long_runs AS (
-  SELECT doc_id, i, s[i+1] || chr(2) || s[i+2] || chr(2) || s[i+3] AS run FROM runs
-  WHERE length(s[i+1]) + length(s[i+2]) + length(s[i+3]) >= 60),
+runs AS (
+  SELECT doc_id, i, 3 AS n, s[i+1] || chr(2) || s[i+2] || chr(2) || s[i+3] AS run
+  FROM (SELECT doc_id, unnest(range(0, len(s) - 2)) AS i, s FROM s WHERE len(s) >= 3)
+  UNION ALL
+  SELECT doc_id, i, 2 AS n, s[i+1] || chr(2) || s[i+2] AS run
+  FROM (SELECT doc_id, unnest(range(0, len(s) - 1)) AS i, s FROM s WHERE len(s) >= 2) WHERE length(s[i+1]) + length(s[i+2]) >= 200),
 again AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM long_runs) WHERE k > 1),
-gone AS (SELECT doc_id, list(DISTINCT j ORDER BY j) AS gone FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS j FROM again) GROUP BY doc_id)
+  SELECT doc_id, i, n FROM (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, i) AS k FROM runs) WHERE k > 1),
+gone AS (SELECT doc_id, list(DISTINCT j ORDER BY j) AS gone FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM again) GROUP BY doc_id)
 SELECT doc_id, len(p)::INT AS n_sentences, coalesce(len(gone), 0)::INT AS n_removed, coalesce(array_to_string(gone, ','), '') AS removed,
   sha256(CASE WHEN gone IS NULL THEN coalesce(text, '') ELSE coalesce(array_to_string(list_filter(p, lambda x, k: NOT list_contains(gone, k-1)), ''), '') END) AS kept_sha256
 FROM p LEFT JOIN gone USING (doc_id)

@@ -2,10 +2,10 @@
 
 A text is cut behind a single '.', '!' or '?' with white space and at line
 feeds (not behind '!!' or '...'); a sentence is a piece without its trailing
-white space.  Every run of RUN consecutive sentences with at least MIN_CHARS
-characters is hashed.  Of the equal runs of all documents the first, by
-(id, position), stays; the sentences of the others go.  DataFrame functions
-only.
+white space.  Every run of 3 consecutive sentences is hashed, and every run of
+2 that has at least 200 characters.  Of the equal runs of all documents the
+first, by (id, position), stays; the sentences of the others go.  DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -15,40 +15,43 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-RUN = 3
-MIN_CHARS = 60
-_MARK = "\u0001"
+#: Sentences in a run, and characters that they have at least.
+RUNS = ((3, 0), (2, 200))
+_PIECE = r"(?s).*?(?:[^.!?][.!?][ \t\n\r]+|\n[ \t\n\r]*)|.+"
 
 
 def pieces(text: Column) -> Column:
-    """The text's pieces, white space included; together they are the text (without U+0001)."""
-    marked = F.regexp_replace(text, r"([^.!?][.!?][ \t\n\r]+|\n[ \t\n\r]*)", f"$1{_MARK}")
-    return F.filter(F.split(marked, _MARK, -1), lambda x: x != "")
+    """The text's pieces, white space included; together they are the text."""
+    return F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
 
 
 def _sentences(p: Column) -> Column:
     return F.transform(p, lambda x: F.rtrim(x, F.lit(" \t\n\r")))
 
 
-def _runs(s: Column, run: int, min_chars: int) -> Column:
-    """array<struct<i, h1, h2>> of the runs of sentences that are long enough."""
+def _runs_of(s: Column, run: int, min_chars: int) -> Column:
     shifted = F.arrays_zip(*(F.slice(s, 1 + j, F.size(s)).alias(f"s{j}") for j in range(run)))
 
     def one(z: Column, i: Column) -> Column:
         each = [z[f"s{j}"] for j in range(run)]
         size = sum((F.length(x) for x in each[1:]), F.length(each[0]))
-        return F.struct(i.alias("i"), F.xxhash64(*each).alias("h1"), F.hash(*each).alias("h2"), F.coalesce(size >= min_chars, F.lit(False)).alias("long"))
+        long = F.coalesce(size >= min_chars, F.lit(False))  # null behind the last whole run
+        return F.struct(i.alias("i"), F.lit(run).alias("n"), F.xxhash64(*each).alias("h1"), F.hash(*each).alias("h2"), long.alias("long"))
 
     return F.filter(F.transform(shifted, one), lambda x: x["long"])
 
 
+def _runs(s: Column, runs: tuple[tuple[int, int], ...]) -> Column:
+    """array<struct<i, n, h1, h2>> of the runs of n sentences from i that are long enough."""
+    return F.concat(*(_runs_of(s, n, least) for n, least in runs))
+
+
 def repeated_spans(
     spark: SparkSession,
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    run: int = RUN,
-    min_chars: int = MIN_CHARS,
+    runs: tuple[tuple[int, int], ...] = RUNS,
 ) -> DataFrame:
     """(row, n_sentences, removed, kept_text), one row for each row of docs.
 
@@ -62,15 +65,15 @@ def repeated_spans(
     ws = Workspace(spark)
     row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cut = row.where("doc_id is not null and text is not null").select("doc_id", _sentences(pieces(F.col("text"))).alias("s"))
-    spans = cut.select("doc_id", F.explode(_runs(F.col("s"), run, min_chars)).alias("r")).select("doc_id", "r.i", "r.h1", "r.h2")
-    firsts = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.max(F.struct("doc_id", "i")).alias("last"))
-    firsts = ws.cut(firsts.where("first <> last").select("h1", "h2", "first"))
-    again = spans.join(firsts, ["h1", "h2"]).where(F.struct("doc_id", "i") != F.col("first"))
-    gone = again.groupBy("doc_id").agg(F.collect_set(F.struct("i", "h1")).alias("gone"))
+    spans = cut.select("doc_id", F.explode(_runs(F.col("s"), runs)).alias("r")).select("doc_id", "r.i", "r.n", "r.h1", "r.h2")
+    firsts = spans.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.max(F.struct("doc_id", "i")).alias("last"))
+    firsts = ws.cut(firsts.where("first <> last").select("n", "h1", "h2", "first"))
+    again = spans.join(firsts, ["n", "h1", "h2"]).where(F.struct("doc_id", "i") != F.col("first"))
+    gone = again.groupBy("doc_id").agg(F.collect_set(F.struct("i", "n", "h1")).alias("gone"))
     gone = ws.cut(gone)
     both = row.join(gone, "doc_id", "left").withColumn("p", pieces(F.col("text"))).withColumn("s", _sentences(F.col("p")))
-    mine = F.filter(_runs(F.col("s"), run, min_chars), lambda r: F.array_contains("gone", F.struct(r["i"], r["h1"])))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(mine, lambda r: F.sequence(r["i"], r["i"] + (run - 1))))))
+    mine = F.filter(_runs(F.col("s"), runs), lambda r: F.array_contains("gone", F.struct(r["i"], r["n"], r["h1"])))
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(mine, lambda r: F.sequence(r["i"], r["i"] + r["n"] - 1)))))
     none = F.array().cast("array<int>")
     both = both.withColumn("removed", F.when(F.col("gone").isNull(), none).otherwise(covered))
     left = F.filter("p", lambda x, i: ~F.array_contains("removed", i))
