@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.shipping import ship
 from .langid import held_out
 from .textkit import column_bytes, groups, mix, pack_sorted, unpack_sorted, word_hashes
-from .workspace import shared_folder
+from .workspace import mounted_folder, swept
 
 _U = np.uint64
 #: The hash that stands for the end of a text.
@@ -35,6 +35,8 @@ END = _U(0x8F5C28F5C28F5C29)
 #: Tokens a counting task holds before it hands on their sorted counts.
 HOLD = 3_000_000
 ID_BITS = _U(32)
+#: Bytes of text whose counts share a file, at least a half of it.
+PART_BYTES = 32 << 20
 #: Words whose context counts share a file.
 CONTEXTS = 1 << 16
 
@@ -105,15 +107,26 @@ def _save(folder: str, name: str, values: np.ndarray) -> None:
 _maps: dict[str, np.ndarray] = {}
 
 
-def _map(folder: str, name: str, kind: str) -> np.ndarray:
+def _map(folder: str, name: str, kind: str, n: int) -> np.ndarray:
+    """A stored array of n values; one that is missing or of another length is an error."""
+    if not n:
+        return np.zeros(0, kind)
     path = f"{folder}/{name}"
     if path not in _maps:
         if len(_maps) > 4096:
             _maps.clear()
-        _maps[path] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+        _maps[path] = np.memmap(path, kind, "r")
+    if len(_maps[path]) != n:
+        raise OSError(f"{path} has {len(_maps[path])} values, not {n}")
     return _maps[path]
 
 
+def part_bits(texts: DataFrame, part_bytes: int = PART_BYTES) -> int:
+    """Bits of a hash that tell its part, so that a part belongs to about ``part_bytes`` of the texts(text)."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(total // part_bytes).bit_length()
+
+
 @dataclass
 class Model:
     folder: str
@@ -126,6 +139,8 @@ class Model:
     low_discounts: tuple = (0.0, 0.0, 0.0)  # of continuation counts
     low_counts: tuple = (0, 0, 0)  # words with 1, 2, 3+ continuations
     span: int = CONTEXTS  # ids in a context file
+    pair_sizes: dict[int, int] = field(default_factory=dict)  # pairs in each pair file
+    contexts: set[int] = field(default_factory=set)  # the context files
 
     @property
     def types(self) -> int:
@@ -138,14 +153,15 @@ class Model:
         edge = np.searchsorted(part, np.arange((1 << self.bits) + 1))
         for p in np.flatnonzero(np.diff(edge)):
             a, b = edge[p], edge[p + 1]
-            keys = _map(self.folder, f"{kind}{p}.keys", "<u8")
-            if not len(keys):
+            n = self.offsets[p + 1] - self.offsets[p] if kind == "w" else self.pair_sizes.get(int(p), 0)
+            if not n:
                 continue
+            keys = _map(self.folder, f"{kind}{p}.keys", "<u8", n)
             k = np.searchsorted(keys, h[a:b])
             k[k == len(keys)] = 0
             hit = np.flatnonzero(keys[k] == h[a:b])
             at[a:b][hit] = k[hit] + (self.offsets[p] if kind == "w" else 0)
-            count[a:b][hit] = _map(self.folder, f"{kind}{p}.counts", "<u4")[k[hit]]
+            count[a:b][hit] = _map(self.folder, f"{kind}{p}.counts", "<u4", n)[k[hit]]
         return at, count
 
     def tokens_of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,10 +178,9 @@ class Model:
         part = u // self.span
         for p in np.unique(part[u >= 0]):
             here = np.flatnonzero(part == p)
-            rows = _map(self.folder, f"c{p}", "<u4").reshape(-1, 4)
-            k = u[here] - p * self.span
-            ok = k < len(rows)
-            got[here[ok]] = rows[k[ok]]
+            if int(p) in self.contexts:
+                rows = _map(self.folder, f"c{p}", "<u4", 4 * self.span).reshape(-1, 4)
+                got[here] = rows[u[here] - p * self.span]
         out[:] = got[back]
         return out
 
@@ -313,18 +328,15 @@ def fit(spark: SparkSession, texts: DataFrame, folder: str | None = None) -> Mod
     bounded size to one task per range of hashes.
     """
     ship(spark)
-    home = shared_folder(spark)
-    if "://" in home and not home.startswith("file://"):
-        raise ValueError(f"the model's folder must be mounted on all workers: {home}")
-    folder = folder or f"{home.removeprefix('file://').removeprefix('file:')}/kneser-{uuid.uuid4().hex}"
+    folder = folder or mounted_folder(spark, "kneser")
     os.makedirs(folder, exist_ok=True)
     for path in (folder, f"{folder}-rows"):
         atexit.register(shutil.rmtree, path, ignore_errors=True)  # scores are made later, so not before the end
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(0, (2 * parts - 1).bit_length())
     texts = texts.select(F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_count_words(bits), _BLOBS).groupBy("part")
-    got = sorted(tuple(r) for r in found.applyInArrow(_store_words(folder), "part long, n long, tokens long").collect())
+    bits = part_bits(texts)
+    with swept(spark):
+        found = texts.mapInArrow(_count_words(bits), _BLOBS).groupBy("part")
+        got = sorted(tuple(r) for r in found.applyInArrow(_store_words(folder), "part long, n long, tokens long").collect())
     sizes = np.zeros(1 << bits, np.int64)
     for p, n, _ in got:
         sizes[p] = n
@@ -333,18 +345,24 @@ def fit(spark: SparkSession, texts: DataFrame, folder: str | None = None) -> Mod
         return model
     end = np.array([END], _U)
     p = int(end[0] >> _U(64 - bits)) if bits else 0
-    k = int(np.searchsorted(_map(folder, f"w{p}.keys", "<u8"), end)[0])
-    model.n_docs = int(_map(folder, f"w{p}.counts", "<u4")[k])
+    k = int(np.searchsorted(_map(folder, f"w{p}.keys", "<u8", int(sizes[p])), end)[0])
+    model.n_docs = int(_map(folder, f"w{p}.counts", "<u4", int(sizes[p]))[k])
     if model.types >= 1 << 32:
         raise ValueError("more than 2**32 distinct words")
     model.span = CONTEXTS
     pairs = texts.mapInArrow(_count_pairs(model), _BLOBS).groupBy("part")
     stored = pairs.applyInArrow(_store_pairs(folder, model.span), _BLOBS + ", stats array<long>")
-    stored.write.parquet(f"{shared_folder(spark)}/{os.path.basename(folder)}-rows")
-    stored = spark.read.parquet(f"{shared_folder(spark)}/{os.path.basename(folder)}-rows")
-    stats = [r[0][1:] for r in stored.where("stats is not null").select("stats").collect()]
-    contexts = stored.select("part", "keys", "counts").groupBy("part")
-    low = contexts.applyInArrow(_store_contexts(folder, model.span), "part long, stats array<long>").collect()
+    with swept(spark):
+        stored.write.parquet(f"file://{folder}-rows")
+    stored = spark.read.parquet(f"file://{folder}-rows")
+    stats = [r[0] for r in stored.where("stats is not null").select("stats").collect()]
+    model.pair_sizes = {s[0]: s[1] for s in stats}
+    stats = [s[1:] for s in stats]
+    with swept(spark):
+        contexts = stored.select("part", "keys", "counts").groupBy("part")
+        low = contexts.applyInArrow(_store_contexts(folder, model.span), "part long, stats array<long>").collect()
+    model.contexts = {r[0] for r in low}
+    shutil.rmtree(f"{folder}-rows", ignore_errors=True)
     model.pairs = sum(s[0] for s in stats)
     model.discounts = _discounts(*(sum(s[i] for s in stats) for i in (1, 2, 3, 4)))
     n = [sum(r[1][i] for r in low) for i in range(5)]

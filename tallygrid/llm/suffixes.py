@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import os
 import shutil
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import column_segments
-from .kneser import _map, _save
+from .kneser import _map, _save, part_bits
 from .textkit import hash_ranges, mix, pack_sorted, signed, unpack_sorted
-from .workspace import Workspace, shared_folder
+from .workspace import Workspace, mounted_folder, swept
 
 WINDOW, ANCHOR, SPLITS = 100, 50, 4
 HOLD = 2_000_000
 #: Symbols of one suffix array; a larger group of one core is decided by hashes of whole windows.
-BLOCK = 1 << 14
+BLOCK = 1 << 17
 _U = np.uint64
 
 
@@ -182,26 +181,27 @@ def _store_repeated(folder: str):
     return run
 
 
-def _known(folder: str, name: str, bits: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(h is in the stored keys, part and place of it) for hashes in any order."""
+def _known(folder: str, name: str, sizes: dict[int, int], bits: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(h is in the stored keys, and marked as mixed) for hashes in any order; sizes: keys in each part."""
     u, back = np.unique(h, return_inverse=True)
     part = (u >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(u), np.int64)
     edge = np.searchsorted(part, np.arange((1 << bits) + 1))
     found, mixed = np.zeros(len(u), bool), np.zeros(len(u), bool)
     for p in np.flatnonzero(np.diff(edge)):
-        keys = _map(folder, f"{name}{p}.keys", "<u8")
-        if len(keys):
+        n = sizes.get(int(p), 0)
+        if n:
+            keys = _map(folder, f"{name}{p}.keys", "<u8", n)
             a, b = edge[p], edge[p + 1]
             k = np.searchsorted(keys, u[a:b])
             k[k == len(keys)] = 0
             hit = keys[k] == u[a:b]
             found[a:b] = hit
             if name == "r":
-                mixed[a:b] = hit & (_map(folder, f"r{p}.mixed", np.uint8)[k] > 0)
+                mixed[a:b] = hit & (_map(folder, f"r{p}.mixed", np.uint8, n)[k] > 0)
     return found[back], mixed[back]
 
 
-def _repeated_segments(folder: str, bits: int):
+def _repeated_segments(folder: str, sizes: dict[int, int], bits: int):
     """(doc_id, text_key, text) to a row for each segment whose anchor repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def _repeated_segments(folder: str, bits: int):
             for row, first, count, h, g, *_ in column_segments(batch.column(2), WINDOW, ANCHOR):
                 if not len(h):
                     continue
-                found, mixed = _known(folder, "r", bits, h)
+                found, mixed = _known(folder, "r", sizes, bits, h)
                 k = np.flatnonzero(found)
                 if len(k):
                     cols = (signed(h[k]), signed(g[k]), doc[row[k]], key[row[k]], first[k], count[k].astype(np.int32), mixed[k])
@@ -261,7 +261,7 @@ def _ranges() -> list[tuple[int, int]]:
     return [(a, b - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _cores(folder: str, bits: int):
+def _cores(folder: str, sizes: dict[int, int], firsts: dict[int, int], bits: int):
     """(doc_id, text_key, text) to a row for each range of windows of a first, contested segment.
 
     core: hash of the bytes that all windows of the range have, with the
@@ -274,10 +274,10 @@ def _cores(folder: str, bits: int):
             for row, first, count, h, g, begin, lead, raw in column_segments(batch.column(2), WINDOW, ANCHOR):
                 if not len(h):
                     continue
-                k = np.flatnonzero(_known(folder, "r", bits, h)[1])
+                k = np.flatnonzero(_known(folder, "r", sizes, bits, h)[1])
                 if len(k):
                     places = _place_key(signed(h[k]), signed(g[k]), doc[row[k]], key[row[k]], first[k])
-                    k = k[_known(folder, "f", bits, places)[0]]
+                    k = k[_known(folder, "f", firsts, bits, places)[0]]
                 if len(k):
                     yield _split(doc[row[k]], key[row[k]], first[k], count[k], h[k], begin[k], lead[k], raw)
 
@@ -441,29 +441,30 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     table gives an empty result.
     """
     ws = Workspace(spark)
-    folder = f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/suffixes-{uuid.uuid4().hex}"
-    if "://" in folder:
-        raise ValueError(f"the folder of anchors must be mounted on all workers: {folder}")
+    folder = mounted_folder(spark, "suffixes")
     os.makedirs(folder, exist_ok=True)
-    bits = max(0, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("text_key", F.coalesce(F.xxhash64("text"), F.lit(0)))
     real = docs.where("doc_id is not null and octet_length(text) >= 100").select("doc_id", "text_key", "text")
 
-    counted = real.select("text").mapInArrow(_count_segments(bits), "part long, keys binary, segs binary, many binary")
-    counted.groupBy("part").applyInArrow(_store_repeated(folder), "part long, n long").agg(F.sum("n")).first()
+    bits = part_bits(real)
+    with swept(spark):
+        counted = real.select("text").mapInArrow(_count_segments(bits), "part long, keys binary, segs binary, many binary")
+        stored = counted.groupBy("part").applyInArrow(_store_repeated(folder), "part long, n long")
+        sizes = {r["part"]: r["n"] for r in stored.collect()}
 
     place = F.struct("doc_id", "text_key", "p")
-    found = ws.cut(real.mapInArrow(_repeated_segments(folder, bits), _SEGMENTS))
+    found = ws.cut(real.mapInArrow(_repeated_segments(folder, sizes, bits), _SEGMENTS))
     firsts = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("mixed").alias("mixed"))
     firsts = ws.cut(firsts)
     later = found.join(firsts.where("first <> last").select("h", "g", "first"), ["h", "g"]).where(place != F.col("first"))
     spans = later.select("doc_id", "text_key", F.col("p").alias("s"), (F.col("p") + F.col("n") + (WINDOW - 1)).alias("e"))
 
     mixed = firsts.where("mixed").select("h", "g", "first.doc_id", "first.text_key", "first.p")
-    dealt = mixed.mapInArrow(_deal_places(bits), "part long, keys binary").groupBy("part")
-    dealt.applyInArrow(_store_places(folder), "part long, n long").agg(F.sum("n")).first()
-    cores = ws.cut(real.mapInArrow(_cores(folder, bits), _CORES))
+    with swept(spark):
+        dealt = mixed.mapInArrow(_deal_places(bits), "part long, keys binary").groupBy("part")
+        leads = {r["part"]: r["n"] for r in dealt.applyInArrow(_store_places(folder), "part long, n long").collect()}
+    cores = ws.cut(real.mapInArrow(_cores(folder, sizes, leads, bits), _CORES))
     kinds = cores.groupBy("core", "side").agg(
         F.min(place).alias("first"), F.max(place).alias("last"), F.min("span").alias("span"),
         F.min("n").alias("n"), F.min("left").alias("left"), F.min("right").alias("right"),
@@ -475,8 +476,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     crowds = kinds.groupBy("core").agg(F.count("*").alias("kinds"), width.alias("width")).where("kinds > 1")
     rest = ws.cut(kinds.join(crowds.select("core", "width"), "core"))
     columns = ["core", "span", "first.doc_id", "first.text_key", "first.p", "n", "left", "right"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = rest.where(F.col("width") <= BLOCK).select(*columns).repartition(parts, "core").sortWithinPartitions("core")
+    small = rest.where(F.col("width") <= BLOCK).select(*columns).repartition("core").sortWithinPartitions("core")
     spans = spans.union(small.mapInArrow(_blocks, _SPANS))
     large = rest.where(F.col("width") > BLOCK).select(*columns)
     single = ws.cut(large.mapInArrow(_single_windows, "core long, h1 long, h2 long, doc_id long, text_key long, p long"))
@@ -484,8 +484,8 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     more = single.join(least.drop("last"), ["core", "h1", "h2"]).where(place != F.col("first"))
     spans = spans.union(more.select("doc_id", "text_key", F.col("p").alias("s"), (F.col("p") + WINDOW).alias("e")))
 
-    gone = spans.groupBy("doc_id", "text_key").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
-    gone = ws.cut(gone)
+    gone = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("s", "e")).alias("x"))
+    gone = ws.cut(gone.select("doc_id", "text_key", "x.s", "x.e"))
     for table in (found, firsts, cores, kinds, rest, single):
         ws.drop(table)
     shutil.rmtree(folder, ignore_errors=True)
