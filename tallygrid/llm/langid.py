@@ -20,38 +20,49 @@ from pyspark.sql import Window
 
 from ..functions.shipping import ship
 
-#: Labelled documents per language whose text may enter a dictionary, bytes taken from each, and languages at most.
-SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 384, 256, 500
+#: Labelled documents per language whose text may enter a dictionary, and bytes taken from each.
+SAMPLE_DOCS, SAMPLE_BYTES = 384, 256
+#: Languages whose dictionaries fit into a task; more are refused.
+MAX_LANGUAGES = 2000
 CHUNK = 4096
 #: Byte lead over the next language below which a document is rejected: this many bytes and this share of its size.
 MIN_LEAD, MIN_SHARE = 1, 0.002
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # or another sign that counts as a number, such as a half
 _SCHEMA = "doc_id long, lang_pred string, score double, lead long, size long, rejected boolean"
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 def fit_dictionaries(
     spark: SparkSession, labelled: DataFrame, docs: int = SAMPLE_DOCS, each: int = SAMPLE_BYTES
 ) -> dict[str, bytes]:
     """A dictionary per language from rows (doc_id, text, lang) of a bounded sample.
 
     The sample is the ``docs`` rows of each language with the smallest hash
-    of their id and text, ``each`` bytes of each: a fixed, order-free choice.
-    Rows with a null text or language teach nothing.
+    of their id and text, ``each`` bytes of each from a place that the hash
+    tells: a fixed, order-free choice.  Rows with a null text or language
+    teach nothing.  More than MAX_LANGUAGES languages are an error.
     """
     ship(spark)
     labelled = labelled.where("text is not null and lang is not null")
     labelled = labelled.select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if not sizes:
         return {}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     span = float(2**64)
     cut = [(r["lang"], int(min(2.0**63 - 1024, -(2.0**63) + span * 4 * (docs + 16) / r["count"]))) for r in sizes]
     near = labelled.join(F.broadcast(spark.createDataFrame(cut, "lang string, top long")), "lang").where("h <= top")
     order = Window.partitionBy("lang").orderBy("h", "text")
-    rows = near.withColumn("i", F.row_number().over(order)).where(F.col("i") <= docs).select("lang", "i", "text")
+    rows = near.withColumn("i", F.row_number().over(order)).where(F.col("i") <= docs)
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - each, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.select("lang", "i", F.col("text").substr(start, F.lit(each)).alias("text"))
     parts: dict[str, list[tuple[int, bytes]]] = {}
-    for r in rows.select("lang", "i", F.substring("text", 1, each).alias("text")).collect():
+    for r in rows.collect():
         parts.setdefault(r["lang"], []).append((r["i"], r["text"].lower().encode("utf-8", "replace")[:each]))
     return {k: b"\n".join(x for _, x in sorted(v, reverse=True)) for k, v in sorted(parts.items())}
 
@@ -84,7 +95,7 @@ def _predictor(dictionaries: dict[str, bytes], level: int, fine: int):
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
-                if not names or text is None or not _LETTER.search(text):
+                if not names or text is None or not has_letter(text):
                     out.append(("und", 0.0, 0, 0, True))
                     continue
                 data = text.lower().encode("utf-8", "replace")

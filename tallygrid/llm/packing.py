@@ -130,14 +130,14 @@ def pack(
     texts take one.  A document longer than the capacity is cut into full
     pieces and a rest; nothing is dropped.  ``clusters(doc_id, cluster)``
     names duplicate clusters; without it equal texts are one.  A null source
-    never conflicts.  Ties go by id; rows that repeat an id are separate
+    never conflicts, nor do null and empty texts without ``clusters``.  Ties go by id; rows that repeat an id are separate
     documents.  An empty table gives an empty result.
     """
     ship(spark)
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")).alias("source"),
-        F.xxhash64("text").alias("cluster"),
+        F.when(F.octet_length("text") > 0, F.xxhash64("text")).alias("cluster"),
         F.col("text").cast("string").alias("text"),
     )
     if clusters is not None:

@@ -47,3 +47,9 @@ def test_undecided(spark, labelled, nothing, odd):
 def test_filter_keeps_columns(spark, labelled):
     left = li.keep_identified(spark, labelled)
     assert left.columns == labelled.columns and left.count() >= 398
+
+
+def test_numbers_are_no_letters():
+    from tallygrid.llm.langid import has_letter
+
+    assert not any(map(has_letter, ("", "½ ² ③ 12", "_ -", "Ⅷ"))) and all(map(has_letter, ("1a", "½é", "ʰ", "語")))
