@@ -9,12 +9,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallygrid.llm.decontam import without_leaks
 from tallygrid.llm.langid import keep_identified
 from tallygrid.llm.lines import without_repeated_lines
-from tallygrid.llm.near_dedup import near_duplicates
+from tallygrid.llm.near_dedup import without_near_duplicates
 from tallygrid.llm.packing import pack
 from tallygrid.llm.workspace import shared_folder
 
@@ -28,9 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias("id")).distinct()
-    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    return row.join(kept, "id", "left_anti").select("row.*")
+    return without_near_duplicates(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
