@@ -85,10 +85,12 @@ def run(a: argparse.Namespace) -> None:
     raw = co.read_raw(spark, a.data)
     docs = co.load(spark, a.data, a.slice, a.limit)
     if a.pseudonymise:
-        from .functions.text import pseudonymise_outside
+        from .functions.text import pseudonym_map, pseudonymise_outside
 
         moved = pseudonymise_outside(F.col("text"), F.col("inj_span.a"), F.col("inj_span.b"))
-        docs = docs.withColumn("m", moved).withColumn("text", F.col("m.text")).drop("m")
+        found = pseudonym_map(docs)
+        span = F.when(F.col("inj_span").isNotNull(), F.struct(F.col("m.a").alias("a"), F.col("m.b").alias("b")))
+        docs = docs.withColumn("m", moved).withColumn("text", F.col("m.text")).withColumn("inj_span", span).drop("m")
     policy, window, overlap = det.aperture()
     settings = {
         "detector": det.name, "version": det.version, "display": det.display, "slice": a.slice, "policy": policy, "window": window,
@@ -111,6 +113,8 @@ def run(a: argparse.Namespace) -> None:
     clean = co.scored(scores, docs).where("label = 'clean'")
     ev.check_score_floor(clean, a.fpr, det.binary)
     _store(spark, a.out, run_id, settings, measure(docs, scores, det.binary, a.fpr))
+    if a.pseudonymise:
+        st.derive(found, a.out, "pseudonyms", run_id)
     print(run_id if a.no_report else _page(spark, a.out, run_id, settings))
 
 
@@ -166,18 +170,28 @@ def rescore(a: argparse.Namespace) -> None:
 
 
 def latency(a: argparse.Namespace) -> None:
-    """Single documents on the driver: only the sample is drawn by Spark."""
+    """The detector alone, a document at a time in this process: Spark draws the sample only."""
     _adapters(a.adapters)
     spark, det = _session(), _detector(a.detector)
     texts = [r["text"] for r in lt.mixed_sample(co.load(spark, a.data, a.slice), a.n + a.warmup).collect()]
-
-    def one(text: str) -> float:
-        return sc.score_documents(spark.createDataFrame([("x", text)], "id string, text string"), det).first()["score"]
-
-    ms = lt.measure(one, texts, a.warmup)
-    sizes = sorted(map(len, texts))
-    record = {"detector": det.name, "n": len(ms), "warmup": a.warmup, "median_chars": sizes[len(sizes) // 2] if sizes else 0}
-    record |= {f"p{round(p * 100)}_ms": round(lt.percentile(ms, p), 1) for p in (0.5, 0.95, 0.99)}
+    det.setup()
+    try:
+        every = lt.measure(det.score_text, texts)
+    except NotImplementedError:
+        raise SystemExit(f"{det.name} has no score_text to be timed") from None
+    finally:
+        det.teardown()
+    ms, sizes = every[a.warmup :], list(map(len, texts[a.warmup :]))
+    policy, window, overlap = det.aperture()
+    record = {"detector": det.name, "version": det.version, "notes": det.notes, "n": len(ms), "warmup": a.warmup, "median_chars": round(lt.percentile(sizes, 0.5))}
+    record |= {f"p{round(p * 100)}_ms": round(lt.percentile(ms, p), 3) for p in (0.5, 0.95, 0.99)}
+    record |= {"min_ms": round(min(ms, default=0.0), 3), "max_ms": round(max(ms, default=0.0), 3), "cold_first_ms": round(every[0], 3) if every else None}
+    record |= {"gpu_processes": lt.gpu_processes(), "aperture": {"policy": policy, "size": window, "overlap": overlap}}
+    record |= {"dataset": co.fingerprint(co.read_raw(spark, a.data)).first()[0], "run_at": time.strftime("%Y-%m-%d %H:%M:%S")}
+    if a.out:
+        folder = Path(a.out) / "latency"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{det.name}.json").write_text(json.dumps(record, indent=1))
     print(json.dumps(record))
 
 
@@ -202,7 +216,7 @@ def main(argv: list[str] | None = None) -> None:
         q.add_argument(flag, **kw)
     q = sub.add_parser("latency")
     q.set_defaults(f=latency)
-    for flag, kw in {"--detector": {"default": "floor"}, "--n": {"type": int, "default": 200}, "--warmup": {"type": int, "default": 10}, "--slice": {"default": "all"}, "--data": {"required": True}, "--adapters": {"action": "append"}}.items():
+    for flag, kw in {"--detector": {"default": "floor"}, "--n": {"type": int, "default": 200}, "--warmup": {"type": int, "default": 10}, "--slice": {"default": "all"}, "--data": {"required": True}, "--adapters": {"action": "append"}, "--out": {}}.items():
         q.add_argument(flag, **kw)
     a = p.parse_args(argv)
     a.f(a)

@@ -6,14 +6,16 @@ every policy.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A sentence ends behind . ! or ? where blanks and a capital, quote or bracket follow; the blanks open the next one.
+#: Fixed pattern: a sentence ends behind . ! or ? where blanks and a capital, quote or bracket follow; the blanks open the next one.
 SENTENCE_END = r"""(?<=[.!?])(?=[ \t]+[A-Z"'(])"""
 #: Fixed values of the e-mail pseudonyms: address pattern, domain, separator and digits of the suffix.
 EMAIL = r"([A-Za-z0-9._%+-]+)@([A-Za-z0-9.-]+\.[A-Za-z]{2,})"
@@ -91,33 +93,28 @@ def windows_truncate(text: Column, size: int) -> Column:
 
 
 def chunk_bounds(lengths: list[int], size: int, sentences_back: int | None, share: float | None) -> list[tuple[int, int]]:
-    """Greedy packing of sentence lengths into windows of at most size characters.
+    """Windows of whole sentences, each as long as ``size`` characters allow, one sentence at least.
 
-    The next window starts ``sentences_back`` sentences before the end of the
+    The next window opens ``sentences_back`` sentences before the end of the
     last one, or at the first sentence past a step of ``1 - share`` windows.
     """
-    ends, at = [], 0
-    for n in lengths:
-        at += n
-        ends.append(at)
+    ends = list(accumulate(lengths))
     starts = [0, *ends[:-1]]
-    out, i, n = [], 0, len(ends)
-    step = max(size - int(size * share), size // 4) if share is not None else 0
-    while i < n:
-        j = i
-        while j < n and ends[j] - starts[i] <= size:
-            j += 1
-        j = max(j, i + 1)
+    step = 0 if share is None else max(size - int(size * share), size // 4)
+
+    def follows(i: int, j: int) -> int:
+        """The first sentence of the window after that of sentences i to j - 1."""
+        if share is None:
+            return max(i + 1, j - (sentences_back or 0))
+        return min(j, bisect_left(starts, starts[i] + step, i + 1))
+
+    out, i = [], 0
+    while ends:
+        j = max(i + 1, bisect_right(ends, starts[i] + size, i))
         out.append((starts[i], ends[j - 1]))
-        if j >= n:
+        if j == len(ends):
             break
-        if share is not None:
-            k = i + 1
-            while k < j and starts[k] < starts[i] + step:
-                k += 1
-            i = min(k, j)
-        else:
-            i = max(j - (sentences_back or 0), i + 1)
+        i = follows(i, j)
     return out
 
 
@@ -146,7 +143,7 @@ def pseudonymise(text: Column, salt: str = "") -> Column:
     between = F.split(text, EMAIL, -1)
     found = F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda a: pseudonym(a, salt))
     pairs = F.zip_with(between, found, lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
-    return F.array_join(pairs, "")
+    return F.when(F.contains(text, F.lit("@")), F.array_join(pairs, "")).otherwise(text)
 
 
 def pseudonymise_outside(text: Column, a: Column, b: Column, salt: str = "") -> Column:

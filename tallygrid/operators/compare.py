@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluate import CURVE, thresholds
+
 #: How far over a budget a verdict may lie; leads that count as clear in small and in large cells.
 TOLERANCE = 0.25
 SMALL_CELL, CLEAR_SMALL, CLEAR_LARGE = 80, 0.12, 0.08
@@ -15,6 +19,42 @@ def within_budget(fpr: Column, budget: Column) -> Column:
     return F.coalesce(fpr, F.lit(0.0)) <= budget * (1 + TOLERANCE)
 
 
+def run_curves(rows: DataFrame, targets: Iterable[float] = CURVE) -> DataFrame:
+    """(run_id, target, fpr, recall) of all runs in rows(run_id, label, score), in one pass without more rows."""
+    targets = list(targets)
+    tau = thresholds(rows.where("label = 'clean'"), targets, by="run_id")
+    table = rows.sparkSession.createDataFrame([(g, [tau[g, t] for t in targets]) for g in sorted({g for g, _ in tau})], "run_id string, taus array<double>")
+    both = rows.join(F.broadcast(table), "run_id")
+    fired = lambda side, i: F.count_if((F.col("label") == side) & (F.col("score") >= F.col("taus")[i]))
+    points = [F.struct(F.lit(t).alias("target"), fired("clean", i).alias("fp"), fired("injected", i).alias("tp")) for i, t in enumerate(targets)]
+    sizes = [F.count_if(F.col("label") == x).alias(x) for x in ("clean", "injected")]
+    got = both.groupBy("run_id").agg(F.array(*points).alias("points"), *sizes).where("clean > 0 and injected > 0")
+    got = got.select("run_id", "clean", "injected", F.explode("points").alias("p"))
+    return got.select("run_id", "p.target", (F.col("p.fp") / F.col("clean")).alias("fpr"), (F.col("p.tp") / F.col("injected")).alias("recall"))
+
+
+def peers(rows: DataFrame, runs: DataFrame, subjects: DataFrame, same_detector: bool = False) -> DataFrame:
+    """(subject, run_id, recall): every run of rows(run_id, label, score) moved to the rate of each of subjects(run_id, detector, fpr_pooled).
+
+    runs(run_id, detector) names the scored runs; those of a subject's own
+    detector take part only with ``same_detector``.
+    """
+    rates = [tuple(r) for r in subjects.select("run_id", "detector", "fpr_pooled").collect()]
+    who = {r["run_id"]: r["detector"] for r in runs.select("run_id", "detector").collect()}
+    tau = thresholds(rows.where("label = 'clean'"), sorted({r[2] for r in rates}), by="run_id")
+    moved = [(s, g, tau[g, t]) for s, det, t in rates for g in who if (g, t) in tau and (same_detector or who[g] != det)]
+    table = F.broadcast(rows.sparkSession.createDataFrame(moved, "subject string, run_id string, tau double"))
+    got = rows.where("label = 'injected'").join(table, "run_id").groupBy("subject", "run_id")
+    return got.agg((F.count_if(F.col("score") >= F.col("tau")) / F.count("*")).alias("recall"))
+
+
+def roster(registry: DataFrame, runs: DataFrame) -> DataFrame:
+    """(detector, run_id, status) of every registered detector with its whole measurements."""
+    whole = runs.where(F.coalesce("limit_n", F.lit(0)) == 0).select("detector", "run_id")
+    both = registry.join(whole, "detector", "left")
+    return both.select("detector", "run_id", F.when(F.col("run_id").isNull(), "not measured").otherwise("measured").alias("status"))
+
+
 def interval_auc(curve: DataFrame, hi: float = 0.01, by: str = "run_id") -> DataFrame:
     """Mean recall over log10(fpr) of each run's curve points with 0 < fpr <= hi; null without points."""
     inside = curve.where((F.col("fpr") > 0) & (F.col("fpr") <= hi))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import rate, threshold_rank, wilson
 
 #: Budgets of the curve, operating points, axes of the marginals.
-CURVE = (0.00005, 0.0001, 0.0002, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.1)
+CURVE = (0.00001, 0.00002, 0.00005, 0.0001, 0.0002, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1)
 POINTS = (0.001, 0.01)
 AXES = ("family", "action", "host_type", "host_source", "spliced_at", "obfuscation")
 _CELLS, _FEW = 2048, 20_000

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import importlib.util
+import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -43,6 +44,12 @@ class Detector:
     def score_batch(self, texts: pd.Series, ids: pd.Series) -> pd.Series:
         raise NotImplementedError
 
+    def score_text(self, text: str, doc_id: str = "") -> float:
+        """One whole text scored in this process; the expression tier has no default for it."""
+        if self.native:
+            raise NotImplementedError
+        return float(self.score_batch(pd.Series([text]), pd.Series([doc_id])).iloc[0])
+
     def aperture(self) -> tuple[str, int | None, float | None]:
         if not self.max_chars or self.policy == "full":
             return "full", None, None
@@ -81,9 +88,12 @@ class Floor(Detector):
     def score_expr(self, text: Column, doc_id: Column) -> Column:
         return F.when(text.rlike(self.pattern), 1.0).otherwise(0.0)
 
+    def score_text(self, text: str, doc_id: str = "") -> float:
+        return float(re.search(self.pattern, text) is not None)
+
 
 class Graded(Detector):
-    """A deterministic test detector: the id's hash, raised where a payload stands in the text."""
+    """A deterministic test detector with fixed values: the id's hash, raised where a payload stands in the text."""
 
     name, version = "graded", "test"
     payload = "audit@example.invalid"
@@ -149,10 +159,13 @@ def fold(docs: DataFrame, scored: DataFrame, how: Callable[[str], Column] = F.ma
 
 
 def score_documents(docs: DataFrame, detector: Detector) -> DataFrame:
-    """One score per document.  A native detector reading whole documents needs no shuffle."""
+    """One score per document: the greatest of its windows, 0 without one.  A native detector needs no shuffle."""
     docs = docs.withColumn("id", F.col("id").cast("string"))
     if detector.native and detector.aperture()[0] == "full":
         return docs.select("id", detector.score_expr(F.col("text"), F.col("id")).alias("score"))
+    if detector.native:
+        each = F.transform(detector.windows(F.col("text")), lambda s: detector.score_expr(tx.cut(F.col("text"), s), F.col("id")))
+        return docs.select("id", F.coalesce(F.array_max(each), F.lit(0.0)).alias("score"))
     return fold(docs, score_windows(docs, detector))
 
 

@@ -442,9 +442,7 @@ def _with_tau(spark, d, ids, targets):
 
 
 def _run_curve(spark, d):
-    rows = _with_tau(spark, d, _SCORED, ev.CURVE)
-    side = lambda x: F.count_if((F.col("label") == x) & (F.col("score") >= F.col("tau"))) / F.count_if(F.col("label") == x)
-    return rows.groupBy("run_id", "target").agg(side("clean").alias("fpr"), side("injected").alias("recall"))
+    return cmp.run_curves(tb.scores(spark, d, _SCORED))
 
 
 def _placed(spark, d, target=0.01):
@@ -550,15 +548,8 @@ _PEERS = """SELECT s.subject, m.run_id, count(*) FILTER (m.label='injected' AND
 
 
 def _peers(spark, d, subjects: DataFrame, same_detector: bool):
-    """Every scored run moved to each subject's rate: (subject, run_id, recall)."""
-    rates = [(r["run_id"], r["detector"], r["fpr_pooled"]) for r in subjects.select("run_id", "detector", "fpr_pooled").collect()]
-    rows = tb.scores(spark, d, _SCORED)
-    tau = ev.thresholds(rows.where("label = 'clean'"), sorted({r[2] for r in rates}), by="run_id")
-    who = {r[0]: r[1] for r in tb.RUNS}
-    moved = [(s, g, tau[g, t]) for s, det, t in rates for g in _SCORED if same_detector or who[g] != det]
-    table = F.broadcast(spark.createDataFrame(moved, "subject string, run_id string, tau double"))
-    got = rows.where("label = 'injected'").join(table, "run_id").groupBy("subject", "run_id")
-    return got.agg((F.count_if(F.col("score") >= F.col("tau")) / F.count("*")).alias("recall"))
+    runs = tb.runs(spark).where(F.col("run_id").isin(*_SCORED))
+    return cmp.peers(tb.scores(spark, d, _SCORED), runs, subjects, same_detector)
 
 
 @query(_PEERS % "p.run_id = 'r01' AND (SELECT detector FROM runs x WHERE x.run_id = c.run_id) <> 'alpha'")
@@ -574,9 +565,8 @@ def own_point(spark, d):
 
 @query("""SELECT g.detector, r.run_id, CASE WHEN r.run_id IS NULL THEN 'not measured' ELSE 'measured' END AS status FROM registry g LEFT JOIN (SELECT * FROM runs WHERE coalesce(limit_n,0)=0) r USING (detector)""")
 def roster(spark, d):
-    runs = tb.runs(spark).where(F.coalesce("limit_n", F.lit(0)) == 0).select("detector", "run_id")
-    both = tb.registry(spark).join(runs, "detector", "left")
-    return both.select("detector", "run_id", F.when(F.col("run_id").isNull(), "not measured").otherwise("measured").alias("status"))
+    return cmp.roster(tb.registry(spark), tb.runs(spark))
+
 
 
 # -- rescoring ---------------------------------------------------------------------

@@ -54,7 +54,8 @@ def pick_tau(scores: str, target: str, by: str | None = None) -> str:
 
 
 AXES = ("family", "action", "host_type", "host_source", "spliced_at", "obfuscation")
-CURVE = "(VALUES (0.00005::DOUBLE),(0.0001::DOUBLE),(0.0002::DOUBLE),(0.0005::DOUBLE),(0.001::DOUBLE),(0.002::DOUBLE),(0.005::DOUBLE),(0.01::DOUBLE),(0.02::DOUBLE),(0.03::DOUBLE),(0.05::DOUBLE),(0.08::DOUBLE),(0.1::DOUBLE)) AS tt(t)"
+#: The budgets of the curve.
+CURVE = "(VALUES (0.00001::DOUBLE),(0.00002::DOUBLE),(0.00005::DOUBLE),(0.0001::DOUBLE),(0.0002::DOUBLE),(0.0005::DOUBLE),(0.001::DOUBLE),(0.002::DOUBLE),(0.005::DOUBLE),(0.01::DOUBLE),(0.02::DOUBLE),(0.05::DOUBLE),(0.1::DOUBLE)) AS tt(t)"
 POINTS = "(VALUES (0.001::DOUBLE),(0.01::DOUBLE)) AS tt(t)"
 
 _SCORED = [r for r in RUNS if r[0] in ("r01", "r02", "r03", "r04", "r05")]

@@ -34,7 +34,7 @@ def derive(df: DataFrame, root: str, table: str, run_id: str) -> None:
 def read_json_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Run records from JSON files, one each; files that cannot be parsed are skipped."""
     got = spark.read.schema(schema + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return got.cache().where("_corrupt_record is null").drop("_corrupt_record")
+    return got.where("_corrupt_record is null").drop("_corrupt_record")
 
 
 def measurements(runs: DataFrame, slice_name: str = "all") -> DataFrame:
