@@ -26,7 +26,8 @@ from .textkit import column_bytes, groups, hash_ranges, mix, ngram_hashes, signe
 from .workspace import Sieve, Workspace, bounded, linked_lists
 
 MIN_SIMILARITY = 90
-#: Bits of 128 in which lines of more than SHORT characters may differ; unlike lines differ in about 60.
+#: Bits of 128 in which lines of more than SHORT characters and FEW words or more may differ; unlike lines differ in about
+#: 60.  For lines of fewer or very long words 0 stands for the SimHash, and no bits are compared.
 MAX_BITS = 48
 #: Lines, with their documents' ids, that may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -204,6 +205,12 @@ def _lowest(start: np.ndarray, n: np.ndarray, hashed, most: int, thin: bool = Tr
     return np.concatenate((row[low], k[r])), np.concatenate((v[low], x))
 
 
+def _few_words(lines: Lines) -> np.ndarray:
+    """Lines whose words tell little: few ones, or very long ones as where no blanks are written."""
+    n = np.diff(lines.first)
+    return (n < FEW) | (np.diff(lines.offsets) > 12 * n)
+
+
 def near_keys(lines: Lines, chars: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) of non-empty lines with their sizes and SimHashes; near lines have a key in common."""
     each = np.arange(len(lines))
@@ -211,7 +218,7 @@ def near_keys(lines: Lines, chars: np.ndarray, sim: np.ndarray) -> tuple[np.ndar
     size, n = np.diff(lines.offsets), np.diff(lines.first)
     grams = ngram_hashes(lines.hashes, SHINGLE)
     found.append(_lowest(lines.first[:-1], np.maximum(0, n - SHINGLE + 1) * (chars >= LONG), lambda at: grams[at], SHINGLES))
-    few = (chars >= LONG) & ((n < FEW) | (size > 12 * n))
+    few = (chars >= LONG) & _few_words(lines)
     found.append(_lowest(lines.offsets[:-1], np.maximum(0, size - GRAM + 1) * few, lambda at: mix(hash_ranges(lines.raw, at, at + GRAM)), GRAMS))
     row, parts = [], []
     for i in np.flatnonzero(chars <= SHORT):
@@ -287,12 +294,13 @@ def _scan(min_words: int, parts: int):
                 back = rank[back]
                 chars, bags = sizes_and_bags(kinds)
                 sim = simhash(kinds)
+                row, key = near_keys(kinds, chars, sim)
+                sim[_few_words(kinds)] = 0
                 yield _rows(
                     len(lines), h=pa.array(signed(h)), h2=pa.array(signed(h2)), doc_id=pa.array(doc[lines.row]), text_key=pa.array(text_key[lines.row]),
                     line=pa.array(lines.number.astype(np.int32)), size=pa.array(chars[back].astype(np.int32)), bag=_blobs(bags[back]),
                     lo=pa.array(signed(sim[back, 0])), hi=pa.array(signed(sim[back, 1])),
                 )
-                row, key = near_keys(kinds, chars, sim)
                 pairs = np.empty(len(row), _PAIR)
                 pairs["key"], pairs["node"], pairs["kind"] = key, h[np.sort(at)][row], _length_class(chars)[row]
                 held.append(pairs)
@@ -367,7 +375,8 @@ def _possible_matrix(percent: int):
         most = (100 - percent) * np.maximum(p[:, None], q[None, :])
         ok = 100 * np.abs(p[:, None] - q[None, :]) <= most
         bits = sum(np.bitwise_count(a.column(c).to_numpy()[:, None] ^ b.column(c).to_numpy()[None, :]) for c in ("lo", "hi"))
-        ok &= (bits <= MAX_BITS) | (np.minimum(p[:, None], q[None, :]) <= SHORT)
+        bare = [(t.column("lo").to_numpy() | t.column("hi").to_numpy()) == 0 for t in (a, b)]
+        ok &= (bits <= MAX_BITS) | (np.minimum(p[:, None], q[None, :]) <= SHORT) | bare[0][:, None] | bare[1][None, :]
         for i in range(0, len(p), 64):
             up, down = (np.zeros((len(x[i : i + 64]), len(y)), np.int32) for _ in range(2))
             for c in range(32):
@@ -502,7 +511,8 @@ def repeated_lines(ws: Workspace, keyed: DataFrame, min_words: int = 1) -> DataF
         side = lambda x: sig.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "lo", "hi", "bag")))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         bits = F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b")))
-        both = both.where((bits <= MAX_BITS) | (F.least("size_a", "size_b") <= SHORT)).select("a", "b", "size_a", "size_b", "bag_a", "bag_b")
+        bare = (F.col("lo_a").bitwiseOR(F.col("hi_a")) == 0) | (F.col("lo_b").bitwiseOR(F.col("hi_b")) == 0)
+        both = both.where((bits <= MAX_BITS) | (F.least("size_a", "size_b") <= SHORT) | bare).select("a", "b", "size_a", "size_b", "bag_a", "bag_b")
         near = ws.cut(both.mapInArrow(_possible(MIN_SIMILARITY), "a long, b long"))
         nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
         wanted = nodes.join(sig.select("node", "first"), "node").select("node", "first.*")
