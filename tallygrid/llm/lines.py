@@ -462,16 +462,92 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     return score
 
 
+#: Edits, and characters of a pair, up to which pairs of lines are measured many at once, and cells of one step of that.
+WIDE, REACH, CELLS = 256, 1 << 14, 1 << 16
+
+
+def _coded(texts: list[str], front: int, height: int) -> np.ndarray:
+    """The code points of each text down a column, from row ``front`` on."""
+    size = np.array([len(x) for x in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    out = np.zeros((len(texts), height), np.uint16 if codes.max(initial=0) < 1 << 16 else np.uint32)
+    out[np.repeat(np.arange(len(texts)), size), front + np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)] = codes
+    return np.ascontiguousarray(out.T)
+
+
+def _within_band(xs: list[str], ys: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether each pair's distance is at most its ``most``, by the antidiagonals of all their tables at once.
+
+    Pairs descend by their summed lengths, and no pair's lengths differ by
+    more than its ``most``.  Only the diagonals -k to k are filled, k being
+    the largest ``most``; those of one parity in each step, a column a pair.
+    """
+    k = max(1, int(most.max()))
+    m, n = (np.array([len(x) for x in side]) for side in (xs, ys))
+    front, last = k // 2 + 2, m + n
+    height = front + (int(last[0]) + k) // 2 + 2
+    a, b = _coded(xs, front, height), _coded(ys, front, height)
+    out, which = np.zeros(len(xs), bool), np.arange(len(xs))
+    far = np.int16(1 << 13)
+    # rows of a step stand for every second diagonal; a border of ``far`` is on both sides of those of even steps' partners
+    even, odd = np.full((k + 1, len(xs)), far, np.int16), np.full((k + 2, len(xs)), far, np.int16)
+    for t in range(int(last[0]) + 1):
+        p = (t + k) & 1
+        here, beside = (odd[1:-1], even) if p else (even, odd)
+        if t:
+            i, j, width = front - 1 + (t + k - p) // 2, front - 1 + (t - k + p) // 2, len(here)
+            here += a[i - width + 1 : i + 1][::-1] != b[j : j + width]
+            np.minimum(here, np.minimum(beside[:-1], beside[1:]) + np.int16(1), out=here)
+        else:
+            here[(k - p) // 2] = 0
+        live = len(which)
+        while live and last[live - 1] == t:
+            live -= 1
+        if live < len(which):
+            done = np.arange(live, len(which))
+            out[which[done]] = here[(n[done] - m[done] + k - p) // 2, done] <= most[done]
+        keep = slice(live) if live < len(which) else None
+        if t % 32 == 31 and live:
+            hopeful = np.minimum(even[:, :live].min(axis=0), odd[:, :live].min(axis=0)) <= most[:live]
+            if 4 * np.count_nonzero(hopeful) < 3 * live:
+                keep = np.flatnonzero(hopeful)
+        if keep is not None:
+            which, m, n, last, most = (x[keep] for x in (which, m, n, last, most))
+            even, odd = even[:, keep], odd[:, keep]
+            a, b = a[:, keep], b[:, keep]
+            if not len(which):
+                break
+    return out
+
+
+def all_within(xs: list[str], ys: list[str], percent: int) -> np.ndarray:
+    """Whether the edit similarity of each pair is at least ``percent``; for pairs of long lines one by one."""
+    m, n = (np.array([len(x) for x in side], np.int64) for side in (xs, ys))
+    most = np.maximum(m, n) * (100 - percent) // 100
+    out = np.zeros(len(xs), bool)
+    close = np.abs(m - n) <= most
+    small = (most <= WIDE) & (m + n <= REACH)
+    for i in np.flatnonzero(close & ~small).tolist():
+        out[i] = surely_within(xs[i], ys[i], int(most[i])) or edit_distance(xs[i], ys[i], int(most[i])) <= most[i]
+    order = np.flatnonzero(close & small)
+    order = order[np.argsort(-(m + n)[order], kind="stable")]
+    at = 0
+    while at < len(order):
+        some = order[at : at + max(16, CELLS // (int(most[order[at]]) + 2))]
+        if len(some) < 8:
+            out[some] = [edit_distance(xs[i], ys[i], int(most[i])) <= most[i] for i in some]
+        else:
+            out[some] = _within_band([xs[i] for i in some], [ys[i] for i in some], most[some])
+        at += len(some)
+    return out
+
+
 def _similar(percent: int):
     """Pairs (a, b, their lines) whose edit similarity is at least ``percent``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                most = max(len(x), len(y)) * (100 - percent) // 100
-                keep.append(surely_within(x, y, most) or edit_distance(x, y, most) <= most)
-            mask = pa.array(keep, pa.bool_())
+            mask = pa.array(all_within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return run

@@ -63,6 +63,24 @@ def removed(out):
     return {(r["row"]["doc_id"], i) for r in out for i in r["removed"]}
 
 
+def test_edit_distance_of_many_pairs():
+    r = random.Random(8)
+    for letters in ("ab", "abcdefgh ijkl", "aé漢\U0001f600b"):
+        pairs = [("", ""), ("a", ""), ("", "b")]
+        for _ in range(400):
+            x = [r.choice(letters) for _ in range(r.choice([1, 5, 9, 10, 19, 20, 60, 200, 700]))]
+            y = list(x)
+            for _ in range(r.randint(0, len(x) // 7 + 2)):
+                at = r.randint(0, len(y))
+                y[at : at + r.randint(0, 1)] = r.choice([[], [r.choice(letters)]])
+            pairs.append(("".join(x), "".join(y)))
+        for percent in (75, 90):
+            want = [levenshtein(x, y) * 100 <= (100 - percent) * max(len(x), len(y)) if len(x) < 100 else ln.edit_distance(x, y) * 100 <= (100 - percent) * max(len(x), len(y)) for x, y in pairs]
+            assert ln.all_within(*map(list, zip(*pairs, strict=True)), percent).tolist() == want
+            assert 0 < sum(want) < len(want)
+    assert ln.all_within([], [], 90).tolist() == []
+
+
 def test_edit_distance():
     r = random.Random(4)
     for _ in range(600):
