@@ -374,7 +374,7 @@ def _possible_matrix(percent: int):
         x, y = _matrix(a.column("bag")), _matrix(b.column("bag"))
         most = (100 - percent) * np.maximum(p[:, None], q[None, :])
         ok = 100 * np.abs(p[:, None] - q[None, :]) <= most
-        bits = sum(np.bitwise_count(a.column(c).to_numpy()[:, None] ^ b.column(c).to_numpy()[None, :]) for c in ("lo", "hi"))
+        bits = sum(np.bitwise_count(a.column(c).to_numpy().view(_U)[:, None] ^ b.column(c).to_numpy().view(_U)[None, :]) for c in ("lo", "hi"))
         bare = [(t.column("lo").to_numpy() | t.column("hi").to_numpy()) == 0 for t in (a, b)]
         ok &= (bits <= MAX_BITS) | (np.minimum(p[:, None], q[None, :]) <= SHORT) | bare[0][:, None] | bare[1][None, :]
         for i in range(0, len(p), 64):

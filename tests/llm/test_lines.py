@@ -63,6 +63,15 @@ def removed(out):
     return {(r["row"]["doc_id"], i) for r in out for i in r["removed"]}
 
 
+def test_bounds_of_tiles_count_the_bits_of_signed_hashes():
+    bag = np.zeros(32, np.uint8).tobytes()
+    row = lambda lo: pa.table({"size": pa.array([60], pa.int32()), "lo": pa.array([lo], pa.int64()), "hi": pa.array([1], pa.int64()), "bag": pa.array([bag])})
+    match = ln._possible_matrix(ln.MIN_SIMILARITY)
+    assert match(row(5), row(5 - 2**63))[0, 0]
+    assert match(row(-2), row(-1))[0, 0]
+    assert not match(row(1 << 62), row(-1 - (1 << 62)))[0, 0]
+
+
 def test_edit_distance_of_many_pairs():
     r = random.Random(8)
     for letters in ("ab", "abcdefgh ijkl", "aé漢\U0001f600b"):
