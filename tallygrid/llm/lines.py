@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textkit import column_bytes, groups, hash_ranges, mix, ngram_hashes, signed, words
-from .workspace import Sieve, Workspace, bounded, linked_lists
+from .workspace import TILE, Sieve, Workspace, bounded, linked_lists
 
 MIN_SIMILARITY = 90
 #: Bits of 128 in which lines of more than SHORT characters and FEW words or more may differ; unlike lines differ in about
@@ -39,6 +39,8 @@ SHINGLE, SHINGLES, GRAM, GRAMS, FEW = 4, 8, 12, 12, 8
 LENGTH_STEP = 1.12
 #: Bytes of texts whose keys go to one task, and of those dealt at once.
 PART_BYTES, DEAL_BYTES = 8 << 20, 8 << 20
+#: Lines of one side of a tile whose pairs are tried at once.
+STRIP = 32
 #: Lines with one key among those dealt at once from which the key's rows are spread over all tasks.
 CROWD = 256
 
@@ -372,18 +374,22 @@ def _possible_matrix(percent: int):
     def match(a: pa.Table, b: pa.Table) -> np.ndarray:
         p, q = (t.column("size").to_numpy().astype(np.int64) for t in (a, b))
         x, y = _matrix(a.column("bag")), _matrix(b.column("bag"))
-        most = (100 - percent) * np.maximum(p[:, None], q[None, :])
-        ok = 100 * np.abs(p[:, None] - q[None, :]) <= most
-        bits = sum(np.bitwise_count(a.column(c).to_numpy().view(_U)[:, None] ^ b.column(c).to_numpy().view(_U)[None, :]) for c in ("lo", "hi"))
-        bare = [(t.column("lo").to_numpy() | t.column("hi").to_numpy()) == 0 for t in (a, b)]
-        ok &= (bits <= MAX_BITS) | (np.minimum(p[:, None], q[None, :]) <= SHORT) | bare[0][:, None] | bare[1][None, :]
-        for i in range(0, len(p), 64):
-            up, down = (np.zeros((len(x[i : i + 64]), len(y)), np.int32) for _ in range(2))
-            for c in range(32):
-                d = x[i : i + 64, c, None] - y[None, :, c]
-                up += np.maximum(d, 0)
-                down -= np.minimum(d, 0)
-            ok[i : i + 64] &= 100 * np.maximum(up, down) <= most[i : i + 64]
+        sides = [[t.column(c).to_numpy().view(_U) for c in ("lo", "hi")] for t in (a, b)]
+        bare = [(lo | hi) == 0 for lo, hi in sides]
+        ok = np.zeros((len(p), len(q)), bool)
+        # a strip of rows at a time: the numbers behind a truth value take far more room than it
+        for i in range(0, len(p), STRIP):
+            s = slice(i, i + STRIP)
+            longer = np.maximum(p[s, None], q[None, :])
+            bits = sum(np.bitwise_count(u[s, None] ^ v[None, :]) for u, v in zip(*sides, strict=True))
+            rough = 100 * np.abs(p[s, None] - q[None, :]) <= (100 - percent) * longer
+            rough &= (bits <= MAX_BITS) | (np.minimum(p[s, None], q[None, :]) <= SHORT) | bare[0][s, None] | bare[1][None, :]
+            r, c = np.nonzero(rough)
+            for k in range(0, len(r), STRIP * TILE):
+                m, n = r[k : k + STRIP * TILE], c[k : k + STRIP * TILE]
+                d = x[i + m] - y[n]
+                away = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1))
+                ok[i + m, n] = 100 * away <= (100 - percent) * longer[m, n]
         return ok
 
     return match
