@@ -37,3 +37,28 @@ def test_stages_against_their_operators(spark, sf, tmp_path):
 
 def test_run(spark, sf):
     assert cp.run(spark, sf).columns == ["shard", "bin", "position", "doc_id", "start", "n_tokens", "used"]
+
+
+def test_edge_rows_through_every_stage(spark, sf, documents, odd, nothing):
+    """Null ids and texts, blank, repeated and very long rows, and clashing columns, given to each stage itself."""
+    for table in (documents, odd, documents.limit(0), nothing):
+        rows = [r.asDict() for r in table.collect()]
+        for name, stage in cp.STAGES:
+            out = stage(spark, table, sf)
+            got = [r.asDict() for r in out.collect()]
+            if not rows:
+                assert not got, name
+            if name == "packing":
+                size = lambda t: len((t or "").encode().split()) + 1
+                assert sum(r["n_tokens"] for r in got) == sum(size(r["text"]) for r in rows), name
+                continue
+            assert out.columns == table.columns, name
+            rest = lambda r: tuple(v for k, v in r.items() if k not in ("text", "n_chars"))
+            before = [rest(r) for r in rows]
+            assert all(rest(r) in before for r in got) and len(got) <= len(rows), name
+            if name != "language_id":
+                unread = [r for r in rows if r["text"] is None or not r["text"].strip()]
+                for r in unread:
+                    assert got.count(r) == rows.count(r), (name, r)
+            if name == "decontamination":
+                assert len(got) == len(rows)
