@@ -16,8 +16,11 @@ from .langid import language_id
 from .lines import drop_repeated_lines
 from .near_dedup import near_duplicates
 from .packing import pack
+from .sharding import shard_documents
 from .spans import repeated_spans
 from .suffixes import repeated_bytes
+from .target import target_resample
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +79,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, _table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resample(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -87,10 +102,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_target_resampling": op12_target_resampling,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": oracles.NEAR_DEDUP,
     "op3_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_suffix_array_dedup": oracles.SUFFIX_ARRAY_DEDUP,
+    "op12_target_resampling": oracles.TARGET_RESAMPLING,
 }
