@@ -12,8 +12,10 @@ from ..functions import text as tx
 from ..functions.shipping import ship
 from ..operators import compare as cmp
 from ..operators import evaluate as ev
+from ..operators import score_index as si
 from ..operators import scoring as sc
 from ..sources import corpus as co
+from ..sources import files as fl
 from ..sources import store as st
 from ..sources import tables as tb
 from .sqltext import AXES, recall, sql
@@ -547,20 +549,64 @@ _PEERS = """SELECT s.subject, m.run_id, count(*) FILTER (m.label='injected' AND
     JOIN scored m USING (run_id) GROUP BY ALL"""
 
 
-def _peers(spark, d, subjects: DataFrame, same_detector: bool):
-    runs = tb.runs(spark).where(F.col("run_id").isin(*_SCORED))
-    return cmp.peers(tb.scores(spark, d, _SCORED), runs, subjects, same_detector)
+def _index(spark, d) -> si.Index:
+    """The stored index of the runs, kept beside the checkpoints as long as the scores are the same files."""
+    rows = tb.scores(spark, d, _SCORED + _VERDICTS)
+    root = f"{fl.scratch(spark)}/score-index-{si.LAYOUT}-{fl.state(rows)}"
+    if not fl.exists(spark, f"{root}/counts/_SUCCESS"):
+        si.write(rows, root, _SCORED + _VERDICTS)
+    return si.read(spark, root)
 
 
-@query(_PEERS % "p.run_id = 'r01' AND (SELECT detector FROM runs x WHERE x.run_id = c.run_id) <> 'alpha'")
+def _subjects(spark, index: si.Index, verdicts: bool) -> DataFrame:
+    """(run_id, detector, fpr_pooled): r01 at a budget of 0.01, or the verdict runs at their own point."""
+    if verdicts:
+        rates = si.counted(index, spark.createDataFrame([(r, 0.5) for r in _VERDICTS], "run_id string, tau double"))
+    else:
+        rates = si.moved_to(index, spark.createDataFrame([("r01", 0.01)], "run_id string, rate double"))
+    rates = rates.select("run_id", (F.col("clean_hits") / F.col("clean")).alias("fpr_pooled"))
+    return rates.join(tb.runs(spark).select("run_id", "detector"), "run_id")
+
+
+def _movable(spark) -> DataFrame:
+    return tb.runs(spark).where(F.col("run_id").isin(*_SCORED))
+
+
+_AT_R01 = _PEERS % "p.run_id = 'r01' AND (SELECT detector FROM runs x WHERE x.run_id = c.run_id) <> 'alpha'"
+_AT_OWN = _PEERS % "p.verdict AND p.fpr_pooled > 0.0125::DOUBLE"
+
+
+@query(_AT_R01)
 def peers_at(spark, d):
-    return _peers(spark, d, _run_pooled(spark, d).where("run_id = 'r01'"), False)
+    index = _index(spark, d)
+    return si.peers(index, _movable(spark), _subjects(spark, index, False))
 
 
-@query(_PEERS % "p.verdict AND p.fpr_pooled > 0.0125::DOUBLE")
+@query(_AT_OWN)
 def own_point(spark, d):
-    out = _run_pooled(spark, d).where("verdict and fpr_pooled > 0")
-    return _peers(spark, d, out.where(~cmp.within_budget(F.col("fpr_pooled"), F.lit(0.01))), True)
+    index = _index(spark, d)
+    out = _subjects(spark, index, True).where("fpr_pooled > 0")
+    return si.peers(index, _movable(spark), out.where(~cmp.within_budget(F.col("fpr_pooled"), F.lit(0.01))), True)
+
+
+@query(f"SELECT *, row_number() OVER (PARTITION BY subject ORDER BY recall, run_id) AS pos FROM ({_AT_R01})")
+def peers_ranked(spark, d):
+    order = Window.partitionBy("subject").orderBy("recall", "run_id")
+    return peers_at(spark, d).withColumn("pos", F.row_number().over(order))
+
+
+@query(f"SELECT *, row_number() OVER (PARTITION BY subject ORDER BY recall DESC, run_id) AS pos FROM ({_AT_OWN})")
+def own_point_ranked(spark, d):
+    order = Window.partitionBy("subject").orderBy(F.desc("recall"), "run_id")
+    return own_point(spark, d).withColumn("pos", F.row_number().over(order))
+
+
+@query("""SELECT s.run_id, t.t AS rate, tau, count(*) FILTER (label='clean' AND score>=tau) AS clean_hits, count(*) FILTER (label='clean') AS clean, count(*) FILTER (label='injected' AND score>=tau) AS hits,
+    count(*) FILTER (label='injected') AS injected FROM scored s JOIN (SELECT run_id, target AS t, tau FROM run_tau13) t USING (run_id) GROUP BY ALL""")
+def moved_to_rates(spark, d):
+    """Every scored run at all rates of the curve, from the index."""
+    wanted = spark.createDataFrame([(r, t) for r in _SCORED for t in ev.CURVE], "run_id string, rate double")
+    return si.moved_to(_index(spark, d), wanted)
 
 
 @query("""SELECT g.detector, r.run_id, CASE WHEN r.run_id IS NULL THEN 'not measured' ELSE 'measured' END AS status FROM registry g LEFT JOIN (SELECT * FROM runs WHERE coalesce(limit_n,0)=0) r USING (detector)""")
