@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import files as fl
+from . import score_index as si
+from . import scoring as sc
 from .evaluate import CURVE, thresholds
 
 #: How far over a budget a verdict may lie; leads that count as clear in small and in large cells.
@@ -131,3 +134,78 @@ def worst_cells(cells: DataFrame) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("budget"))
     got = cells.withColumn("pos", F.row_number().over(w)).withColumn("n_cells", n)
     return got.where(F.col("pos") <= F.greatest(F.lit(1), F.floor(F.col("n_cells") / 10))).drop("n_cells")
+
+
+_TABLES = {
+    "cells": "budget double, family string, action string, hits long, n long, recall double, lo double, hi double, run_id string",
+    "rates": "budget double, host_type string, hits long, n long, fpr double, lo double, hi double, run_id string",
+    "curve": "target double, threshold double, fpr double, recall double, run_id string",
+}
+
+
+def saved(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A derived table of all runs; only the folders of the runs it is joined with are read.  Empty if no run has it."""
+    kind = _TABLES[table]
+    if not fl.exists(spark, f"{root}/{table}"):
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
+
+
+def chosen_runs(runs: DataFrame, curve: DataFrame, cells: DataFrame, rates: DataFrame) -> DataFrame:
+    """runs(run_id, detector, forced, verdict, ...) with auc: a scored detector's best aperture, a verdict's apertures that differ."""
+    aucs = interval_auc(curve.join(runs.where("not verdict").select("run_id"), "run_id", "left_semi"))
+    best = choose_aperture(runs.where("not verdict").select("run_id", "detector", "forced"), aucs).where("chosen").select("run_id")
+    verdicts = runs.where("verdict").select("run_id", "detector")
+    apart = collapse_apertures(verdicts, cells.join(verdicts, "run_id", "left_semi"), rates.join(verdicts, "run_id", "left_semi")).select("run_id")
+    return runs.join(best.union(apart), "run_id").join(aucs, "run_id", "left")
+
+
+def headline(runs: DataFrame, cells: DataFrame, rates: DataFrame) -> DataFrame:
+    """(title, aperture, verdict, recall, fpr) of each run, the last two as maps of budgets, from one pass over both tables."""
+    both = cells.select("run_id", "budget", F.lit("r").alias("side"), "hits", "n").union(rates.select("run_id", "budget", F.lit("f"), "hits", "n"))
+    sums = both.join(runs.select("run_id"), "run_id", "left_semi").groupBy("run_id", "budget", "side").agg((F.sum("hits") / F.sum("n")).alias("v"))
+    side = lambda x: F.collect_list(F.when(F.col("side") == x, F.struct("budget", "v")))
+    wide = sums.groupBy("run_id").agg(side("r").alias("recall"), side("f").alias("fpr"))
+    title = F.coalesce(F.nullif("display", F.lit("")), "detector")
+    return runs.select("run_id", title.alias("title"), "aperture", "verdict").join(wide, "run_id", "left")
+
+
+def shared_order(runs: DataFrame, cells: DataFrame, axis: str = "family") -> DataFrame:
+    """(budget, key, title, recall, pos): the axis of every run, its keys in the order of the run with the greatest area, best first.
+
+    A key that the reference run lacks stands as if it had recall 0.
+    """
+    reference = runs.orderBy(F.col("auc").desc_nulls_last(), "run_id").limit(1).select("run_id", F.lit(True).alias("is_reference"))
+    by_key = cells.join(runs.select("run_id", "title"), "run_id").groupBy("run_id", "title", "budget", F.col(axis).alias("key")).agg((F.sum("hits") / F.sum("n")).alias("recall"))
+    marked = by_key.join(F.broadcast(reference), "run_id", "left")
+    own = F.max(F.when(F.col("is_reference"), F.col("recall"))).over(Window.partitionBy("budget", "key"))
+    ranked = marked.withColumn("own", F.coalesce(own, F.lit(0.0)))
+    return ranked.withColumn("pos", F.dense_rank().over(Window.partitionBy("budget").orderBy(F.desc("own"), "key"))).drop("is_reference", "own")
+
+
+def overview(spark: SparkSession, root: str, runs: DataFrame, budgets: Iterable[float]) -> dict[str, DataFrame | None]:
+    """What a comparison shows of runs(run_id, detector, display, aperture, forced, verdict, fpr_pooled) saved at root.
+
+    Every part is a query over one read of all runs' tables; none goes run by run.
+    """
+    mine = runs.select("run_id")
+    cells, rates, curve = (saved(spark, root, t).join(F.broadcast(mine), "run_id", "left_semi") for t in ("cells", "rates", "curve"))
+    chosen = chosen_runs(runs, curve, cells, rates).withColumn("title", F.coalesce(F.nullif("display", F.lit("")), "detector")).cache()
+    budgets = list(budgets)
+    own = cells.join(chosen.where("not verdict").select("run_id", "detector"), "run_id").where(F.col("budget").isin(budgets))
+    w = Window.partitionBy("budget", "family", "action")
+    best = own.withColumn("second", F.lead("recall", 1, 0.0).over(w.orderBy(F.desc("recall"), "detector"))).withColumn("rn", F.row_number().over(w.orderBy(F.desc("recall"), "detector")))
+    gap = F.when(F.min("n").over(w) <= SMALL_CELL, CLEAR_SMALL).otherwise(CLEAR_LARGE)
+    lead = F.col("recall") - F.col("second")
+    winners = best.withColumn("gap", gap).where("rn = 1").select("budget", "family", "action", "detector", "recall", lead.alias("margin"), (lead >= F.col("gap")).alias("clear"))
+    late = chosen.where(F.col("verdict") & ~within_budget(F.col("fpr_pooled"), F.lit(max(budgets)))).select("run_id", "detector", "fpr_pooled")
+    index = si.read(spark, f"{root}/index")
+    movable = chosen.where("not verdict").select("run_id", "detector").join(index.counts.select("run_id").distinct(), "run_id", "left_semi")
+    known = spark.createDataFrame([(k,) for k in sorted(sc.REGISTRY)], "detector string")
+    return {
+        "headline": headline(chosen, cells, rates).orderBy("title", "run_id"),
+        "winners": winners.orderBy("budget", "family", "action"),
+        "axes": shared_order(chosen.where("not verdict"), cells.where(F.col("budget").isin(budgets))).orderBy("budget", "pos", "title"),
+        "peers": si.peers(index, movable, late, True).orderBy("subject", F.desc("recall"), "run_id") if not late.isEmpty() else None,
+        "roster": roster(known, runs.withColumn("limit_n", F.lit(None).cast("int"))).where("run_id is null").orderBy("detector"),
+    }

@@ -115,11 +115,12 @@ def above(counts: DataFrame) -> DataFrame:
 
 def bucket_scores(index: Index, where: set[tuple[str, int]]) -> DataFrame:
     """The scores of the given (run, bucket) pairs: runs are folders, and the sorted column's filter goes to the scan."""
-    match = F.lit(False)
-    for run, bucket in sorted(where):
-        match = match | ((F.col("run_id") == run) & (F.col("bucket") == bucket))
     names, buckets = sorted({r for r, _ in where}), sorted({b for _, b in where})
-    return index.scores.where(F.col("run_id").isin(names) & F.col("bucket").isin(buckets) & match)
+    rows = index.scores.where(F.col("run_id").isin(names) & F.col("bucket").isin(buckets))
+    if len(names) < 2 or not where:
+        return rows
+    pairs = index.scores.sparkSession.createDataFrame(sorted(where), "run_id string, bucket int")
+    return rows.join(F.broadcast(pairs), ["run_id", "bucket"], "left_semi")
 
 
 def _fixed(df: DataFrame) -> DataFrame:

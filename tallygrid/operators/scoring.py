@@ -158,15 +158,23 @@ def fold(docs: DataFrame, scored: DataFrame, how: Callable[[str], Column] = F.ma
     return docs.select("id").join(by_doc, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def score_documents(docs: DataFrame, detector: Detector) -> DataFrame:
-    """One score per document: the greatest of its windows, 0 without one.  A native detector needs no shuffle."""
+def score_counted(docs: DataFrame, detector: Detector) -> DataFrame:
+    """(id, score, windows) of every document: the greatest score of its windows, 0 without one.  A native detector needs no shuffle."""
     docs = docs.withColumn("id", F.col("id").cast("string"))
     if detector.native and detector.aperture()[0] == "full":
-        return docs.select("id", detector.score_expr(F.col("text"), F.col("id")).alias("score"))
+        return docs.select("id", detector.score_expr(F.col("text"), F.col("id")).alias("score"), F.lit(1).cast("long").alias("windows"))
     if detector.native:
-        each = F.transform(detector.windows(F.col("text")), lambda s: detector.score_expr(tx.cut(F.col("text"), s), F.col("id")))
-        return docs.select("id", F.coalesce(F.array_max(each), F.lit(0.0)).alias("score"))
-    return fold(docs, score_windows(docs, detector))
+        spans = detector.windows(F.col("text"))
+        each = F.transform(spans, lambda s: detector.score_expr(tx.cut(F.col("text"), s), F.col("id")))
+        return docs.select("id", each.alias("each")).select("id", F.coalesce(F.array_max("each"), F.lit(0.0)).alias("score"), F.size("each").cast("long").alias("windows"))
+    by_doc = score_windows(docs, detector).groupBy("id").agg(F.max("score").alias("score"), F.count("*").alias("windows"))
+    both = docs.select("id").join(by_doc, "id", "left")
+    return both.select("id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("windows", F.lit(0)).cast("long").alias("windows"))
+
+
+def score_documents(docs: DataFrame, detector: Detector) -> DataFrame:
+    """(id, score) of every document."""
+    return score_counted(docs, detector).select("id", "score")
 
 
 def todo(docs: DataFrame, done: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import labels as lb
 from ..functions import text as tx
 from ..functions.shipping import ship
 from ..operators import compare as cmp
+from ..operators import delta as dl
 from ..operators import evaluate as ev
 from ..operators import score_index as si
 from ..operators import scoring as sc
@@ -647,6 +648,66 @@ def rescore_moved(spark, d):
     return sc.moved(old, fresh)
 
 
+# An edit of the corpus of r01: order lines of one customer segment's orders get the score c, and every tenth of them changes its carrier.
+
+
+def _edit(spark, d):
+    """The index of the run before the edit, its changes, and the thresholds of both sides."""
+    index = _index(spark, d)
+    rows = tb.row_corpus(spark, d).withColumn("order", F.element_at(F.split("id", "-"), 1).cast("long"))
+    edited = rows.where(F.col("order") % 97 == 5)
+    fresh = edited.select("id", F.col("c").alias("score"))
+    docs = edited.withColumn("host_type", F.when(F.col("order") % 10 == 0, "edited").otherwise(F.col("host_type")))
+    changes = dl.corrections(index, "r01", rows.select("id", F.col("a").alias("score")), fresh, docs)
+    return index, changes
+
+
+def _gains(spark, d, targets=ev.POINTS):
+    index, changes = _edit(spark, d)
+    wanted = spark.createDataFrame([("r01", t) for t in targets], "run_id string, rate double")
+    before = {r["rate"]: r["tau"] for r in si.thresholds(index, wanted).collect()}
+    after = {r["target"]: r["tau"] for r in dl.points(index, changes, "r01", targets).collect()}
+    return dl.differences(index, changes, "r01", before, after), before
+
+
+def _before(spark, d, taus):
+    clean, injected = _sides(spark, d)
+    return clean, injected, sorted(taus.items())
+
+
+@query("SELECT t.target, t.tau, count(*) FILTER (label='clean' AND score>=tau) AS clean_hits, count(*) FILTER (label='clean') AS clean, count(*) FILTER (label='injected' AND score>=tau) AS hits, count(*) FILTER (label='injected') AS injected FROM edited, edited_tau13 t GROUP BY ALL")
+def delta_points(spark, d):
+    """All budgets of the curve after an edit, from corrected counts and one bucket each."""
+    index, changes = _edit(spark, d)
+    return dl.points(index, changes, "r01", ev.CURVE)
+
+
+@query("SELECT target, tau AS threshold, (SELECT count(*) FILTER (label='clean' AND score>=tau)::DOUBLE/count(*) FILTER (label='clean') FROM edited) AS fpr, (SELECT count(*) FILTER (label='injected' AND score>=tau)::DOUBLE/count(*) FILTER (label='injected') FROM edited) AS recall FROM edited_tau13")
+def delta_curve(spark, d):
+    return dl.curve(delta_points(spark, d))
+
+
+@query(f"SELECT *, {recall()} FROM (SELECT target AS budget, family, action, count(*) FILTER (score>=tau) AS hits, count(*) AS n FROM edited, edited_tau2 WHERE label='injected' GROUP BY ALL)")
+def delta_cells(spark, d):
+    gains, taus = _gains(spark, d)
+    _, injected, before = _before(spark, d, taus)
+    return dl.cells(ev.cell_grid(injected, before), gains)
+
+
+@query(f"SELECT *, {recall()} FROM (" + " UNION ALL ".join(f"SELECT target AS budget, '{a}' AS axis, {a} AS key, count(*) FILTER (score>=tau) AS hits, count(*) AS n FROM edited, edited_tau2 WHERE label='injected' AND {a} IS NOT NULL GROUP BY ALL" for a in AXES) + ")")
+def delta_marginals(spark, d):
+    gains, taus = _gains(spark, d)
+    _, injected, before = _before(spark, d, taus)
+    return dl.marginals(ev.marginals(injected, before), gains)
+
+
+@query(f"SELECT *, {recall(name='fpr')} FROM (SELECT target AS budget, host_type, count(*) FILTER (score>=tau) AS hits, count(*) AS n FROM edited, edited_tau2 WHERE label='clean' GROUP BY ALL)")
+def delta_rates(spark, d):
+    gains, taus = _gains(spark, d)
+    clean, _, before = _before(spark, d, taus)
+    return dl.rates(ev.false_positives(clean, before), gains)
+
+
 @query("""SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) AS rn FROM row_corpus) ORDER BY rn, label DESC LIMIT 40""")
 def mixed_sample(spark, d):
     from ..operators.latency import mixed_sample as sample

@@ -99,6 +99,9 @@ CTES: dict[str, str] = {
     "run_pooled": "SELECT run_id, detector, verdict, count(*) FILTER (label='clean' AND score>=tau)::DOUBLE/count(*) FILTER (label='clean') AS fpr_pooled, count(*) FILTER (label='injected' AND score>=tau)::DOUBLE/count(*) FILTER (label='injected') AS mean_recall FROM measured JOIN run_tau USING (run_id) GROUP BY ALL",
     "auc_steps": "SELECT *, lead(fpr) OVER (PARTITION BY run_id ORDER BY fpr, target) AS f2, lead(recall) OVER (PARTITION BY run_id ORDER BY fpr, target) AS r2 FROM run_curve WHERE fpr > 0 AND fpr <= 0.01::DOUBLE",
     "aucs": "SELECT c.run_id, max(CASE WHEN width > 0 THEN area/width ELSE last END) AS auc FROM run_curve c LEFT JOIN (SELECT run_id, sum((log10(f2)-log10(fpr))*(recall+r2)/2) AS area, coalesce(sum(log10(f2)-log10(fpr)),0) AS width, arg_max(recall, fpr*1000+target) AS last FROM auc_steps GROUP BY run_id) s USING (run_id) GROUP BY c.run_id",
+    "edited": "SELECT label, CASE WHEN touched AND ok % 10 = 0 THEN 'edited' ELSE host_type END AS host_type, host_source, family, action, spliced_at, obfuscation, CASE WHEN touched THEN c ELSE a END AS score FROM (SELECT *, ok % 97 = 5 AS touched FROM (SELECT *, split_part(id, '-', 1)::BIGINT AS ok FROM row_corpus))",
+    "edited_tau2": pick_tau("(SELECT score FROM edited WHERE label='clean')", POINTS),
+    "edited_tau13": pick_tau("(SELECT score FROM edited WHERE label='clean')", CURVE),
     "pieces": "SELECT doc_id, text, unnest(p) AS piece, generate_subscripts(p, 1)-1 AS k FROM (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?])([ \\t]+[A-Z\"''(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM documents)",
     "spans": "SELECT doc_id, k, piece, length(text) AS size, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) - length(piece) AS s, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM pieces",
     "whole": "SELECT doc_id, 0 AS win, 0 AS a, length(text) AS b FROM documents WHERE length(text) <= 2000",

@@ -13,6 +13,11 @@ def table(head: Sequence[str], rows: Sequence[Sequence[str]]) -> str:
     return "\n".join([*lines, *("| " + " | ".join(r) + " |" for r in rows)])
 
 
+def shown(value: object) -> str:
+    """A cell of a table: shares as percentages, nothing for null."""
+    return "" if value is None else percent(value, 2) if isinstance(value, float) else str(value)
+
+
 def interval(lo: float, hi: float) -> str:
     return f"{lo * 100:.1f}–{hi * 100:.1f} %"
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files as fl
+
 RAW = T.StructType(
     [
         T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("label", T.StringType()),
@@ -39,6 +40,17 @@ def read_raw(spark: SparkSession, root: str | os.PathLike) -> DataFrame:
     return spark.read.schema(RAW).json(resolve(root))
 
 
+def build(spark: SparkSession, root: str | os.PathLike, out: str, name: str, per_file: int = 2000) -> str:
+    """The raw rows of a corpus as Parquet files of at most ``per_file`` documents, written once for each build; the path.
+
+    Later passes read it by column, and as a stream of files.
+    """
+    path = f"{out}/builds/{name}"
+    if not fl.exists(spark, f"{path}/_SUCCESS"):
+        read_raw(spark, root).write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(path)
+    return path
+
+
 def project(raw: DataFrame) -> DataFrame:
     """One document per row: obfuscation flattened ('none' for injected without), spans as (a, b)."""
     kind = F.when(F.col("label") == "injected", F.coalesce(F.col("obfuscation.kind"), F.lit("none")))
@@ -83,7 +95,12 @@ def limit_per_side(docs: DataFrame, n: int, order: str = "id") -> DataFrame:
 
 
 def load(spark: SparkSession, root: str, slice_name: str = "all", limit: int | None = None) -> DataFrame:
-    docs = project(read_raw(spark, root).where(slice_filter(slice_name)))
+    return sliced(read_raw(spark, root), slice_name, limit)
+
+
+def sliced(raw: DataFrame, slice_name: str = "all", limit: int | None = None) -> DataFrame:
+    """Documents of a slice, at most ``limit`` of each label."""
+    docs = project(raw.where(slice_filter(slice_name)))
     return limit_per_side(docs, limit) if limit else docs
 
 
@@ -150,11 +167,3 @@ def checkpoint_windows(lines: DataFrame) -> DataFrame:
 
 def missing(wanted: DataFrame, have: DataFrame, key: str = "id") -> DataFrame:
     return wanted.select(key).distinct().join(have.select(key), key, "left_anti")
-
-
-def settings_equal(a: str, b: str, keys: Iterable[str]) -> Column:
-    """Null-safe equality of all settings of two aliased frames."""
-    out = F.lit(True)
-    for k in keys:
-        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
-    return out

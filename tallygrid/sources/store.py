@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-SETTINGS = ("detector", "version", "slice", "policy", "window", "overlap", "forced", "dataset")
+from pyspark.sql import types as T
+
+#: What makes a pass: runs that agree in all of these measured the same.
+SETTINGS = ("detector", "version", "slice", "policy", "window", "overlap", "forced", "limit_n", "pseudonymised", "dataset")
+#: A run's record.  Columns that older records lack are null.
+RECORD = (
+    "detector string, version string, display string, slice string, policy string, window int, overlap double, forced boolean, limit_n int, "
+    "pseudonymised boolean, dataset string, verdict boolean, target_fpr double, mean_recall double, fpr_pooled double, n_injected long, n_clean long, "
+    "n_windows long, seconds double, derived_from string, inherited array<string>, run_at string"
+)
 APERTURE = ("policy", "window", "overlap", "forced")
 
 
@@ -18,12 +26,14 @@ def read_scores(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema("id string, score double, run_id string").option("basePath", f"{root}/scores").parquet(f"{root}/scores")
 
 
-def save_run(run: DataFrame, root: str, run_id: str) -> None:
-    run.write.mode("errorifexists").parquet(f"{root}/runs/run_id={run_id}")
+def save_run(spark: SparkSession, record: dict, root: str, run_id: str) -> None:
+    """The record of a new run, fields that are not given null; an existing run is refused."""
+    kind = T.StructType.fromDDL(RECORD)
+    spark.createDataFrame([tuple(record.get(f.name) for f in kind)], kind).write.mode("errorifexists").parquet(f"{root}/runs/run_id={run_id}")
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.option("mergeSchema", True).option("basePath", f"{root}/runs").parquet(f"{root}/runs")
+    return spark.read.schema(RECORD + ", run_id string").option("basePath", f"{root}/runs").parquet(f"{root}/runs")
 
 
 def derive(df: DataFrame, root: str, table: str, run_id: str) -> None:
@@ -31,12 +41,6 @@ def derive(df: DataFrame, root: str, table: str, run_id: str) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{table}/run_id={run_id}")
 
 
-def read_json_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Run records from JSON files, one each; files that cannot be parsed are skipped."""
-    got = spark.read.schema(schema + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return got.where("_corrupt_record is null").drop("_corrupt_record")
-
-
 def measurements(runs: DataFrame, slice_name: str = "all") -> DataFrame:
     """Runs with a recall, over all documents, on the slice (a missing slice is 'all')."""
     return runs.where(F.col("mean_recall").isNotNull() & (F.coalesce("limit_n", F.lit(0)) == 0) & (F.coalesce("slice", F.lit("all")) == slice_name))
@@ -72,7 +76,7 @@ def splice_refusal(parent: str) -> Column:
 def already_measured(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Wanted settings and whether a measurement with equal settings, nulls included, exists."""
     match = F.lit(True)
-    for k in SETTINGS:
+    for k in [k for k in SETTINGS if k in wanted.columns]:
         match = match & F.col(f"w.{k}").eqNullSafe(F.col(f"r.{k}"))
     hit = wanted.alias("w").join(runs.alias("r"), match, "left_semi").select("w.want_id").withColumn("measured", F.lit(True))
     return wanted.join(hit, "want_id", "left").select("want_id", F.coalesce("measured", F.lit(False)).alias("measured"))
