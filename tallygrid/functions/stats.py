@@ -32,10 +32,6 @@ def threshold_rank(n: int, target: float) -> int:
     return int(n * target) + 1
 
 
-def percentile_rank(n: int, p: float) -> float:
-    return (n - 1) * p
-
-
 def interval_area(points: list[tuple[float, float]], hi: float) -> float | None:
     """Mean recall over log10(fpr) for (fpr, recall) points with 0 < fpr <= hi."""
     pts = sorted(x for x in points if 0 < x[0] <= hi)

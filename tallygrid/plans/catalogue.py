@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,7 @@ from ..sources import corpus as co
 from ..sources import files as fl
 from ..sources import store as st
 from ..sources import tables as tb
+from ..streaming.durable import Staging, settings_key
 from .sqltext import AXES, recall, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,9 +104,9 @@ def foreign_scores(spark, d):
     return co.foreign_scores(_scores(spark, d), tb.row_corpus(spark, d).where("host_type <> 'web'"))
 
 
-@query("SELECT run_id, detector, policy, \"window\", run_at FROM runs")
+@query("SELECT run_id, detector, policy, \"window\", run_at FROM run_log")
 def runs_scan(spark, d):
-    return tb.runs(spark).select("run_id", "detector", "policy", "window", "run_at")
+    return tb.run_log(spark, d).select("run_id", "detector", "policy", "window", "run_at")
 
 
 @query(
@@ -341,57 +343,59 @@ def grid_cube(spark, d):
 
 # -- runs ------------------------------------------------------------------------
 
-_MEASURED = "(SELECT *, CASE WHEN run_id IN ('r12','r13') THEN NULL ELSE 0.5 END AS mean_recall FROM runs)"
-
-
-def _runs(spark):
-    unmeasured = F.col("run_id").isin("r12", "r13")
-    return tb.runs(spark).withColumn("mean_recall", F.when(~unmeasured, F.lit(0.5)))
-
-
-@query(f"SELECT run_id, detector FROM {_MEASURED} WHERE mean_recall IS NOT NULL AND coalesce(limit_n,0)=0 AND coalesce(slice,'all')='all'")
+@query("SELECT run_id, detector FROM run_log WHERE mean_recall IS NOT NULL AND coalesce(limit_n,0)=0 AND coalesce(slice,'all')='all'")
 def measurement_filter(spark, d):
-    return st.measurements(_runs(spark)).select("run_id", "detector")
+    return st.measurements(tb.run_log(spark, d)).select("run_id", "detector")
 
 
-@query("SELECT run_id, dataset FROM runs WHERE dataset IS DISTINCT FROM 'b2'")
+@query("SELECT run_id, dataset FROM run_log WHERE dataset IS DISTINCT FROM 'b2'")
 def stale_runs(spark, d):
-    return st.stale(tb.runs(spark), F.lit("b2")).select("run_id", "dataset")
+    return st.stale(tb.run_log(spark, d), F.lit("b2")).select("run_id", "dataset")
 
 
-@query("""SELECT run_id, CASE WHEN run_id = 'r03' THEN 'scores were not saved' WHEN detector NOT IN (SELECT detector FROM registry WHERE registered <> '') THEN 'no adapter in the registry'
-    WHEN coalesce(limit_n,0) <> 0 THEN 'smoke run, not a measurement' WHEN dataset IS DISTINCT FROM 'b2' THEN 'build ' || dataset || ', but the edit was made to b2' END AS why FROM runs""")
+@query("""SELECT run_id, CASE WHEN NOT has_scores THEN 'its scores are not in the store' WHEN detector NOT IN (SELECT detector FROM registry_log) THEN 'its detector is not registered here'
+    WHEN coalesce(limit_n,0) <> 0 THEN 'it saw a part of the corpus only' WHEN dataset IS DISTINCT FROM 'b2' THEN 'it is of build ' || coalesce(dataset, '?') || ', the edit is of b2' END AS why FROM run_log""")
 def spliceable(spark, d):
-    known = tb.registry(spark).where("registered <> ''").select("detector", F.lit(True).alias("known"))
-    rows = tb.runs(spark).join(known, "detector", "left").withColumn("registered", F.coalesce("known", F.lit(False)))
-    return rows.withColumn("has_scores", F.col("run_id") != "r03").select("run_id", st.splice_refusal("b2").alias("why"))
+    known = tb.registry_log(spark, d).select("detector", F.lit(True).alias("known"))
+    rows = tb.run_log(spark, d).join(known, "detector", "left").withColumn("registered", F.coalesce("known", F.lit(False)))
+    return rows.select("run_id", st.splice_refusal("b2").alias("why"))
 
 
-_WANT = [("w1", "alpha", "v1.0", "all", "chunk", 2000, 4, False, "b2"), ("w2", "alpha", "v1.0", None, "truncate", 2000, None, False, "b2"), ("w3", "alpha", "v2", "all", "chunk", 2000, 4, False, "b2")]
+# what is asked for: the settings of every third run, half of them of a version that was never run
+@query("""SELECT want_id, EXISTS (SELECT 1 FROM run_log r WHERE r.detector = w.detector AND r.version IS NOT DISTINCT FROM w.version AND r.slice IS NOT DISTINCT FROM w.slice AND r.policy IS NOT DISTINCT FROM w.policy
+    AND r."window" IS NOT DISTINCT FROM w."window" AND r.overlap IS NOT DISTINCT FROM w.overlap AND r.forced IS NOT DISTINCT FROM w.forced AND r.limit_n IS NOT DISTINCT FROM w.limit_n
+    AND r.pseudonymised IS NOT DISTINCT FROM w.pseudonymised AND r.dataset IS NOT DISTINCT FROM w.dataset AND r.mean_recall IS NOT NULL) AS measured
+    FROM (SELECT 'want' || substr(run_id, 4) AS want_id, * REPLACE (CASE WHEN substr(run_id, 4)::BIGINT % 2 = 0 THEN version ELSE 'v9' END AS version) FROM run_log WHERE substr(run_id, 4)::BIGINT % 3 = 0) w""")
+def already_measured(spark, d):
+    log, number = tb.run_log(spark, d), F.substring("run_id", 4, 20).cast("long")
+    want = log.where(number % 3 == 0).withColumn("want_id", F.concat(F.lit("want"), number.cast("string")))
+    want = want.withColumn("version", F.when(number % 2 == 0, F.col("version")).otherwise("v9")).select("want_id", *st.SETTINGS)
+    return st.already_measured(log.where("mean_recall is not null"), want)
 
 
-@query("""SELECT want_id, EXISTS (SELECT 1 FROM runs r WHERE r.detector IS NOT DISTINCT FROM w.detector AND r.version IS NOT DISTINCT FROM w.version AND r.slice IS NOT DISTINCT FROM w.slice
-    AND r.policy IS NOT DISTINCT FROM w.policy AND r."window" IS NOT DISTINCT FROM w.win AND r.overlap IS NOT DISTINCT FROM w.overlap AND r.forced IS NOT DISTINCT FROM w.forced AND r.dataset IS NOT DISTINCT FROM w.dataset) AS measured
-    FROM (VALUES ('w1','alpha','v1.0','all','chunk',2000,4,FALSE,'b2'),('w2','alpha','v1.0',NULL,'truncate',2000,NULL,FALSE,'b2'),('w3','alpha','v2','all','chunk',2000,4,FALSE,'b2')) AS w(want_id, detector, version, slice, policy, win, overlap, forced, dataset)""")
-def already_measured(spark, d):
-    want = spark.createDataFrame(_WANT, "want_id string, detector string, version string, slice string, policy string, window int, overlap int, forced boolean, dataset string")
-    return st.already_measured(tb.runs(spark), want)
+_KEYED = " || chr(10) || ".join(f"'{k}=' || coalesce(CAST(\"{k}\" AS VARCHAR), chr(0))" for k in sorted(st.SETTINGS))
 
 
-@query("""SELECT run_id, floor_run FROM (SELECT r.run_id, b.run_id AS floor_run, row_number() OVER (PARTITION BY r.run_id ORDER BY b.run_at DESC, b.run_id DESC) AS rn FROM runs r JOIN runs b ON b.detector='floor'
-    AND r.slice IS NOT DISTINCT FROM b.slice AND r.policy IS NOT DISTINCT FROM b.policy AND r."window" IS NOT DISTINCT FROM b."window" AND r.overlap IS NOT DISTINCT FROM b.overlap AND r.dataset IS NOT DISTINCT FROM b.dataset) WHERE rn=1""")
+@query(f"SELECT run_id, substr(sha1({_KEYED}), 1, 12) AS staging FROM run_log")
+def settings_hash(spark, d):
+    """The name of every run's staging folder."""
+    return tb.run_log(spark, d).select("run_id", settings_key({k: F.col(k) for k in st.SETTINGS}).alias("staging"))
+
+
+@query("""SELECT run_id, floor_run FROM (SELECT r.run_id, b.run_id AS floor_run, row_number() OVER (PARTITION BY r.run_id ORDER BY b.run_at DESC, b.run_id DESC) AS rn FROM run_log r JOIN (SELECT * FROM run_log WHERE detector='floor') b ON
+    r.slice IS NOT DISTINCT FROM b.slice AND r.policy IS NOT DISTINCT FROM b.policy AND r."window" IS NOT DISTINCT FROM b."window" AND r.overlap IS NOT DISTINCT FROM b.overlap AND r.dataset IS NOT DISTINCT FROM b.dataset) WHERE rn=1""")
 def floor_match(spark, d):
-    return st.floor_of(tb.runs(spark), "floor")
+    return st.floor_of(tb.run_log(spark, d), "floor")
 
 
-@query("""SELECT run_id, coalesce(version <> '', false) AND instr(replace(replace(replace(lower(coalesce(display, detector)),'-',''),' ',''),'.',''), replace(replace(replace(lower(version),'-',''),' ',''),'.','')) = 0 AS adds FROM runs""")
+@query("""SELECT run_id, coalesce(version <> '', false) AND instr(replace(replace(replace(lower(coalesce(display, detector)),'-',''),' ',''),'.',''), replace(replace(replace(lower(version),'-',''),' ',''),'.','')) = 0 AS adds FROM run_log""")
 def version_adds(spark, d):
-    return tb.runs(spark).select("run_id", lb.version_adds(F.coalesce("display", "detector"), F.col("version")).alias("adds"))
+    return tb.run_log(spark, d).select("run_id", lb.version_adds(F.coalesce("display", "detector"), F.col("version")).alias("adds"))
 
 
-@query("""SELECT run_id, coalesce(nullif(g.registered,''), nullif(r.display,''), r.detector, '?') AS title FROM runs r LEFT JOIN registry g USING (detector)""")
+@query("""SELECT run_id, coalesce(nullif(g.registered,''), nullif(r.display,''), r.detector, '?') AS title FROM run_log r LEFT JOIN registry_log g USING (detector)""")
 def title_of(spark, d):
-    both = tb.runs(spark).join(tb.registry(spark), "detector", "left")
+    both = tb.run_log(spark, d).join(tb.registry_log(spark, d), "detector", "left")
     return both.select("run_id", lb.title_of(F.col("registered"), F.col("display"), F.col("detector")).alias("title"))
 
 
@@ -399,35 +403,37 @@ _NONE = "coalesce(policy,'full') IN ('full','') OR coalesce(\"window\",0)=0"
 
 
 @query(f"""SELECT run_id, CASE WHEN {_NONE} THEN 'whole document' WHEN policy='chunk' THEN 'chunks ' || "window" || CASE WHEN coalesce(overlap,0)<>0 THEN '/' || overlap ELSE '' END
-    ELSE policy || ' ' || "window" END || CASE WHEN forced THEN ' ⚑' ELSE '' END AS label FROM runs""")
+    ELSE policy || ' ' || "window" END || CASE WHEN forced THEN ' ⚑' ELSE '' END AS label FROM run_log""")
 def aperture_label(spark, d):
-    return tb.runs(spark).select("run_id", lb.aperture_label(*map(F.col, st.APERTURE)).alias("label"))
+    return tb.run_log(spark, d).select("run_id", lb.aperture_label(*map(F.col, st.APERTURE)).alias("label"))
 
 
-@query(f"""SELECT run_id, CASE WHEN {_NONE} THEN 'full' ELSE policy || "window" || CASE WHEN policy='chunk' AND coalesce(overlap,0)<>0 THEN 'o' || overlap ELSE '' END END || CASE WHEN forced THEN 'f' ELSE '' END AS tag FROM runs""")
+@query(f"""SELECT run_id, CASE WHEN {_NONE} THEN 'full' ELSE policy || "window" || CASE WHEN policy='chunk' AND coalesce(overlap,0)<>0 THEN 'o' || overlap ELSE '' END END || CASE WHEN forced THEN 'f' ELSE '' END AS tag FROM run_log""")
 def aperture_tag(spark, d):
-    return tb.runs(spark).select("run_id", lb.aperture_tag(*map(F.col, st.APERTURE)).alias("tag"))
+    return tb.run_log(spark, d).select("run_id", lb.aperture_tag(*map(F.col, st.APERTURE)).alias("tag"))
 
 
-@query("""SELECT run_id, detector FROM (SELECT *, row_number() OVER (PARTITION BY detector, policy, "window", overlap, forced ORDER BY run_at DESC, run_id DESC) AS rn FROM runs) WHERE rn=1""")
+@query("""SELECT run_id, detector FROM (SELECT *, row_number() OVER (PARTITION BY detector, policy, "window", overlap, forced ORDER BY run_at DESC, run_id DESC) AS rn FROM run_log) WHERE rn=1""")
 def latest_runs(spark, d):
-    return st.latest(tb.runs(spark)).select("run_id", "detector")
+    return st.latest(tb.run_log(spark, d)).select("run_id", "detector")
 
 
-@query("SELECT dataset FROM runs ORDER BY run_at DESC, run_id DESC LIMIT 1")
+@query("SELECT dataset FROM run_log WHERE dataset IS NOT NULL ORDER BY run_at DESC, run_id DESC LIMIT 1")
 def current_build(spark, d):
-    return st.current_build(tb.runs(spark))
+    return st.current_build(tb.run_log(spark, d))
 
 
-@query("SELECT strftime(strptime(max(run_at), '%Y-%m-%d %H:%M'), '%Y-%m-%d %H:%M') AS measured_at FROM runs")
+@query("SELECT dataset, strftime(strptime(max(run_at), '%Y-%m-%d %H:%M'), '%Y-%m-%d %H:%M') AS measured_at FROM run_log GROUP BY dataset")
 def measured_at(spark, d):
-    return tb.runs(spark).agg(F.date_format(F.to_timestamp(F.max("run_at"), "yyyy-MM-dd HH:mm"), "yyyy-MM-dd HH:mm").alias("measured_at"))
+    newest = F.date_format(F.to_timestamp(F.max("run_at"), "yyyy-MM-dd HH:mm"), "yyyy-MM-dd HH:mm")
+    return tb.run_log(spark, d).groupBy("dataset").agg(newest.alias("measured_at"))
 
 
-@query("""SELECT CASE WHEN count(DISTINCT concat_ws('|', policy, "window", overlap, forced))=1 THEN max(policy) END AS common, count(DISTINCT concat_ws('|', policy, "window", overlap, forced)) AS kinds FROM runs""")
+@query("""SELECT detector, CASE WHEN count(DISTINCT concat_ws('|', policy, "window", overlap, forced))=1 THEN max(policy) END AS common, count(DISTINCT concat_ws('|', policy, "window", overlap, forced)) AS kinds
+    FROM run_log WHERE NOT verdict GROUP BY detector""")
 def headline_aperture(spark, d):
     kinds = F.count_distinct(F.concat_ws("|", *(F.col(c).cast("string") for c in st.APERTURE)))
-    return tb.runs(spark).agg(F.when(kinds == 1, F.max("policy")).alias("common"), kinds.alias("kinds"))
+    return tb.run_log(spark, d).where("not verdict").groupBy("detector").agg(F.when(kinds == 1, F.max("policy")).alias("common"), kinds.alias("kinds"))
 
 
 # -- comparisons -----------------------------------------------------------------
@@ -610,10 +616,18 @@ def moved_to_rates(spark, d):
     return si.moved_to(_index(spark, d), wanted)
 
 
-@query("""SELECT g.detector, r.run_id, CASE WHEN r.run_id IS NULL THEN 'not measured' ELSE 'measured' END AS status FROM registry g LEFT JOIN (SELECT * FROM runs WHERE coalesce(limit_n,0)=0) r USING (detector)""")
+@query("""SELECT g.detector, r.run_id, CASE WHEN r.run_id IS NULL THEN 'not measured' ELSE 'measured' END AS status FROM registry_log g LEFT JOIN (SELECT * FROM run_log WHERE coalesce(limit_n,0)=0) r USING (detector)""")
 def roster(spark, d):
-    return cmp.roster(tb.registry(spark), tb.runs(spark))
+    return cmp.roster(tb.registry_log(spark, d), tb.run_log(spark, d))
+
 
+@query("""SELECT g.detector, r.run_id, r.mean_recall, row_number() OVER (PARTITION BY g.detector ORDER BY r.mean_recall DESC NULLS LAST, r.run_id) AS pos FROM registry_log g LEFT JOIN (SELECT * FROM run_log WHERE coalesce(limit_n,0)=0) r USING (detector)""")
+def roster_ranked(spark, d):
+    """The runs of each registered detector from the greatest recall down."""
+    log = tb.run_log(spark, d)
+    both = cmp.roster(tb.registry_log(spark, d), log).join(log.select("run_id", "mean_recall"), "run_id", "left")
+    order = Window.partitionBy("detector").orderBy(F.col("mean_recall").desc_nulls_last(), "run_id")
+    return both.select("detector", "run_id", "mean_recall", F.row_number().over(order).alias("pos"))
 
 
 # -- rescoring ---------------------------------------------------------------------
@@ -648,6 +662,20 @@ def rescore_moved(spark, d):
     return sc.moved(old, fresh)
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN regexp_matches(text, '" + tx.FLOOR + "') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM documents")
+def durable_scores(spark, d):
+    """All documents through a staged pass: laid out in files, scored in batches, checked, and moved into a store."""
+    out = f"{fl.scratch(spark)}/store-{uuid.uuid4().hex}"
+    docs = tb.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    docs.select(*[F.col(f.name) if f.name in docs.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in co.RAW]).write.option("maxRecordsPerFile", 20000).parquet(f"{out}/builds/all")
+    staging = Staging(spark, out, {"detector": "floor", "build": fl.state(docs)})
+    run = staging.claim("floor-1")
+    staging.score(f"{out}/builds/all", lambda raw: raw.select("id", "text"), sc.Floor(), 32)
+    staging.promote(run, docs)
+    staging.clear()
+    return spark.read.schema("id string, score double").parquet(f"{out}/scores/run_id={run}")
+
+
 # An edit of the corpus of r01: order lines of one customer segment's orders get the score c, and every tenth of them changes its carrier.
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..sources.tables import REGISTERED, RUNS
+from ..sources.tables import RUNS
 
 
 def _lit(x) -> str:
@@ -89,7 +89,6 @@ CTES: dict[str, str] = {
     "fpr_host": f"SELECT *, {recall(name='fpr')} FROM (SELECT target AS budget, host_type, count(*) FILTER (score>=tau) AS hits, count(*) AS n FROM clean, tau1 GROUP BY ALL)",
     "curve": "SELECT target, tau AS threshold, (SELECT count(*) FILTER (score>=tau) FROM clean)::DOUBLE/(SELECT count(*) FROM clean) AS fpr, (SELECT count(*) FILTER (score>=tau) FROM injected)::DOUBLE/(SELECT count(*) FROM injected) AS recall FROM tau13",
     "runs": f"SELECT * FROM (VALUES {values(RUNS)}) AS t(run_id, detector, version, display, policy, \"window\", overlap, forced, limit_n, slice, dataset, run_at, verdict, score_column)",
-    "registry": f"SELECT * FROM (VALUES {values(REGISTERED)}) AS t(detector, registered)",
     "scored": " UNION ALL ".join(f"SELECT '{r[0]}' AS run_id, '{r[1]}' AS detector, {r[-1]} AS score, label, host_type, family, action FROM row_corpus" for r in _SCORED),
     "measured": " UNION ALL ".join(f"SELECT '{r[0]}' AS run_id, '{r[1]}' AS detector, {_lit(r[12])} AS verdict, {r[-1]} AS score, label, host_type, family, action FROM row_corpus" for r in _ALL),
     "run_tau13": pick_tau("(SELECT * FROM scored WHERE label='clean')", CURVE, "run_id"),
@@ -99,6 +98,15 @@ CTES: dict[str, str] = {
     "run_pooled": "SELECT run_id, detector, verdict, count(*) FILTER (label='clean' AND score>=tau)::DOUBLE/count(*) FILTER (label='clean') AS fpr_pooled, count(*) FILTER (label='injected' AND score>=tau)::DOUBLE/count(*) FILTER (label='injected') AS mean_recall FROM measured JOIN run_tau USING (run_id) GROUP BY ALL",
     "auc_steps": "SELECT *, lead(fpr) OVER (PARTITION BY run_id ORDER BY fpr, target) AS f2, lead(recall) OVER (PARTITION BY run_id ORDER BY fpr, target) AS r2 FROM run_curve WHERE fpr > 0 AND fpr <= 0.01::DOUBLE",
     "aucs": "SELECT c.run_id, max(CASE WHEN width > 0 THEN area/width ELSE last END) AS auc FROM run_curve c LEFT JOIN (SELECT run_id, sum((log10(f2)-log10(fpr))*(recall+r2)/2) AS area, coalesce(sum(log10(f2)-log10(fpr)),0) AS width, arg_max(recall, fpr*1000+target) AS last FROM auc_steps GROUP BY run_id) s USING (run_id) GROUP BY c.run_id",
+    "run_log": f"""SELECT 'run' || o_orderkey AS run_id, CASE WHEN o_custkey % 53 = 52 THEN 'floor' ELSE 'det' || (o_custkey % 53) END AS detector, {_pick('o_orderkey % 4', ('v1.0', 'large', '', '2'))} AS version,
+        CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'Detector ' || {_pick('o_orderkey % 4', ('v1.0', 'large', '', '2'))} ELSE 'Detector' END AS display,
+        CASE WHEN o_orderkey % 7 < 3 THEN 'chunk' WHEN o_orderkey % 7 = 3 THEN 'truncate' WHEN o_orderkey % 7 = 4 THEN 'sentence' WHEN o_orderkey % 7 = 5 THEN 'full' END AS policy,
+        CASE WHEN o_orderkey % 7 < 5 THEN CASE o_custkey % 3 WHEN 0 THEN 1000 WHEN 1 THEN 2000 ELSE 500 END END AS "window",
+        CASE WHEN o_orderkey % 7 < 3 THEN CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE 4 END END AS overlap, o_orderkey % 11 = 0 AS forced,
+        CASE o_orderkey % 13 WHEN 0 THEN 50 WHEN 1 THEN 0 END AS limit_n, CASE o_orderkey % 17 WHEN 0 THEN 'strong' WHEN 1 THEN NULL ELSE 'all' END AS slice,
+        CASE WHEN o_orderkey % 19 <> 1 THEN o_orderkey % 19 = 0 END AS pseudonymised, CASE WHEN o_orderkey % 23 <> 0 THEN 'b' || (year(o_orderdate) % 3) END AS dataset,
+        strftime(o_orderdate, '%Y-%m-%d %H:%M') AS run_at, (o_custkey % 53) % 5 = 0 AS verdict, CASE WHEN o_orderkey % 29 <> 0 THEN (o_orderkey % 100)/100.0::DOUBLE END AS mean_recall, o_orderkey % 31 <> 0 AS has_scores FROM orders""",
+    "registry_log": "SELECT 'det' || (n_nationkey * 3) AS detector, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE n_name END AS registered FROM nation",
     "edited": "SELECT label, CASE WHEN touched AND ok % 10 = 0 THEN 'edited' ELSE host_type END AS host_type, host_source, family, action, spliced_at, obfuscation, CASE WHEN touched THEN c ELSE a END AS score FROM (SELECT *, ok % 97 = 5 AS touched FROM (SELECT *, split_part(id, '-', 1)::BIGINT AS ok FROM row_corpus))",
     "edited_tau2": pick_tau("(SELECT score FROM edited WHERE label='clean')", POINTS),
     "edited_tau13": pick_tau("(SELECT score FROM edited WHERE label='clean')", CURVE),

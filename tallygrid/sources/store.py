@@ -53,7 +53,8 @@ def latest(runs: DataFrame) -> DataFrame:
 
 
 def current_build(runs: DataFrame) -> DataFrame:
-    return runs.agg(F.max_by("dataset", F.struct(F.coalesce("run_at", F.lit("")), "run_id")).alias("dataset"))
+    """The build of the newest run that names one."""
+    return runs.where("dataset is not null").agg(F.max_by("dataset", F.struct(F.coalesce("run_at", F.lit("")), "run_id")).alias("dataset"))
 
 
 def stale(runs: DataFrame, dataset: Column) -> DataFrame:
@@ -63,31 +64,27 @@ def stale(runs: DataFrame, dataset: Column) -> DataFrame:
 def splice_refusal(parent: str) -> Column:
     """Why a run cannot be carried forward to an edited corpus; null if it can.  Needs has_scores and registered."""
     return (
-        F.when(~F.col("has_scores"), "scores were not saved")
-        .when(~F.col("registered"), "no adapter in the registry")
-        .when(F.coalesce("limit_n", F.lit(0)) != 0, "smoke run, not a measurement")
-        .when(
-            ~F.col("dataset").eqNullSafe(F.lit(parent)),
-            F.concat(F.lit("build "), F.coalesce("dataset", F.lit("None")), F.lit(f", but the edit was made to {parent}")),
-        )
+        F.when(~F.col("has_scores"), "its scores are not in the store")
+        .when(~F.col("registered"), "its detector is not registered here")
+        .when(F.coalesce("limit_n", F.lit(0)) != 0, "it saw a part of the corpus only")
+        .when(~F.col("dataset").eqNullSafe(F.lit(parent)), F.concat(F.lit("it is of build "), F.coalesce("dataset", F.lit("?")), F.lit(f", the edit is of {parent}")))
     )
 
 
 def already_measured(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Wanted settings and whether a measurement with equal settings, nulls included, exists."""
     match = F.lit(True)
-    for k in [k for k in SETTINGS if k in wanted.columns]:
+    for k in SETTINGS:
         match = match & F.col(f"w.{k}").eqNullSafe(F.col(f"r.{k}"))
     hit = wanted.alias("w").join(runs.alias("r"), match, "left_semi").select("w.want_id").withColumn("measured", F.lit(True))
     return wanted.join(hit, "want_id", "left").select("want_id", F.coalesce("measured", F.lit(False)).alias("measured"))
 
 
 def floor_of(runs: DataFrame, baseline: str) -> DataFrame:
-    """For each run the newest baseline run with the same slice, aperture and build."""
+    """For each run the newest baseline run with the same slice, aperture and build; one row of the baseline for each of these is joined."""
     keys = ("slice", "policy", "window", "overlap", "dataset")
-    base = runs.where(F.col("detector") == baseline)
+    base = runs.where(F.col("detector") == baseline).groupBy(*keys).agg(F.max_by("run_id", F.struct("run_at", "run_id")).alias("floor_run"))
     match = F.lit(True)
     for k in keys:
         match = match & F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}"))
-    both = runs.alias("r").join(base.alias("b"), match)
-    return both.groupBy("r.run_id").agg(F.max_by("b.run_id", F.struct("b.run_at", "b.run_id")).alias("floor_run"))
+    return runs.alias("r").join(base.alias("b"), match).select("r.run_id", "floor_run")

@@ -71,16 +71,44 @@ RUN_SCHEMA = (
     "run_id string, detector string, version string, display string, policy string, window int, overlap int, forced boolean, "
     "limit_n int, slice string, dataset string, run_at string, verdict boolean, score_column string"
 )
-#: Detectors with an adapter, and the name each is printed under.
-REGISTERED = [("alpha", "Alpha (2026)"), ("beta", "Beta Large"), ("gamma", ""), ("verdict", "Verdict"), ("loose", "Loose"), ("floor", "Regex floor"), ("unmeasured", "Never run")]
 
 
 def runs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RUNS, RUN_SCHEMA)
 
 
-def registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REGISTERED, "detector string, registered string")
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of many runs: every order is one, with days that tie, missing fields, limits, forced apertures and three builds."""
+    o = table(spark, sf_dir, "orders")
+    key, who = F.col("o_orderkey"), F.pmod("o_custkey", F.lit(53)).cast("int")
+    at = lambda n: F.pmod(key, F.lit(n)).cast("int")
+    version = _choose(at(4), ("v1.0", "large", "", "2"))
+    policy = _choose(at(7), ("chunk", "chunk", "chunk", "truncate", "sentence", "full", None))
+    cut = policy.isin("chunk", "truncate", "sentence")
+    return o.select(
+        F.concat(F.lit("run"), key.cast("string")).alias("run_id"),
+        F.when(who == 52, "floor").otherwise(F.concat(F.lit("det"), who.cast("string"))).alias("detector"),
+        version.alias("version"),
+        F.when(at(5) == 1, "").when(at(5) == 2, F.concat(F.lit("Detector "), version)).when(at(5) > 2, "Detector").alias("display"),
+        policy.alias("policy"),
+        F.when(cut, _choose(F.pmod("o_custkey", F.lit(3)), (1000, 2000, 500))).cast("int").alias("window"),
+        F.when(policy == "chunk", F.when(F.pmod("o_custkey", F.lit(4)) == 0, 0).otherwise(4)).cast("int").alias("overlap"),
+        (at(11) == 0).alias("forced"),
+        F.when(at(13) == 0, 50).when(at(13) == 1, 0).cast("int").alias("limit_n"),
+        F.when(at(17) == 0, "strong").when(at(17) > 1, "all").alias("slice"),
+        F.when(at(19) != 1, at(19) == 0).alias("pseudonymised"),
+        F.when(at(23) != 0, F.concat(F.lit("b"), F.pmod(F.year("o_orderdate"), F.lit(3)).cast("string"))).alias("dataset"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("run_at"),
+        (F.pmod(who, F.lit(5)) == 0).alias("verdict"),
+        F.when(at(29) != 0, at(100) / 100).alias("mean_recall"),
+        (at(31) != 0).alias("has_scores"),
+    )
+
+
+def registry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detectors with an adapter and the name each is printed under: one for each nation; some have no run."""
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.concat(F.lit("det"), (F.col("n_nationkey") * 3).cast("string")).alias("detector"), F.when(F.col("n_nationkey") % 4 == 0, "").otherwise(F.col("n_name")).alias("registered"))
 
 
 def scores(spark: SparkSession, sf_dir: str, run_ids: tuple[str, ...]) -> DataFrame:
