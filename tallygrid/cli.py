@@ -213,12 +213,31 @@ def compare(a: argparse.Namespace) -> None:
     print(md.write(md.index(pages), out / "index.md"))
 
 
+def _tree(spark: SparkSession, out: str, build: str, docs: DataFrame) -> DataFrame:
+    """The stored hash tree of a build."""
+    if not fl.exists(spark, f"{out}/trees/run_id={build}/_SUCCESS"):
+        st.derive(co.tree(docs), out, "trees", build)
+    return spark.read.parquet(f"{out}/trees/run_id={build}")
+
+
+def _edited(spark: SparkSession, a: argparse.Namespace, build: str) -> DataFrame:
+    """Ids that differ between the parent build, as a run laid it out, and the corpus: only ranges of ids whose hashes differ are compared."""
+    parent = f"{a.results}/builds/{a.parent}"
+    if not fl.exists(spark, f"{parent}/_SUCCESS"):
+        raise SystemExit(f"nothing to score anew: give --ids or --ids-from, or run once on build {a.parent} here")
+    before, after = spark.read.schema(co.RAW).parquet(parent), co.read_raw(spark, a.data)
+    found = co.changed_documents(before, after, (_tree(spark, a.results, a.parent, before), _tree(spark, a.results, build, after)))
+    if found.where("change = 'removed'").limit(1).count():
+        raise SystemExit("the corpus lost documents: that is no edit but another corpus")
+    return found.select("id")
+
+
 def rescore(a: argparse.Namespace) -> None:
     """Carry runs of a parent build over an edit: score the changed documents anew, keep the others."""
     _adapters(a.adapters)
     spark = _session()
     docs, build = co.load(spark, a.data), co.fingerprint(co.read_raw(spark, a.data)).first()[0]
-    ids = co.changed_ids(spark, a.ids, a.ids_from).cache()
+    ids = (co.changed_ids(spark, a.ids, a.ids_from) if a.ids or a.ids_from else _edited(spark, a, build)).cache()
     lost = co.missing(ids, docs).limit(3).collect()
     if lost:
         raise SystemExit(f"not in the corpus: {[r['id'] for r in lost]}")

@@ -7,7 +7,7 @@ every policy.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pandas as pd
@@ -39,16 +39,25 @@ def _span(a: Column, b: Column) -> Column:
     return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
 
 
-def sentence_spans(text: Column) -> Column:
-    """array<struct<a, b>>, half open, covering the text; an empty text has one empty span."""
-    lengths = F.transform(sentences(text), F.length)
-    start = F.array().cast(SPANS)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def grow(done: Column, n: Column) -> Column:
-        at = F.coalesce(F.try_element_at(done, F.lit(-1))["b"], F.lit(0))
-        return F.concat(done, F.array(_span(at, at + n)))
 
-    return F.aggregate(lengths, start, grow)
+def prefix_sums(numbers: Column, steps: int = 31) -> Column:
+    """Running sums of an array of integers, by doubling: n log n additions, and no array grows element by element."""
+    strides = F.array(*[F.lit(1 << k) for k in range(steps)])
+
+    def add(sums: Column, stride: Column) -> Column:
+        return F.when(F.size(sums) <= stride, sums).otherwise(F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - stride), F.lit(0))))
+
+    return F.aggregate(strides, numbers, add)
+
+
+def sentence_spans(text: Column) -> Column:
+    """array<struct<a, b>>, half open, covering the text; an empty text has one empty span."""
+    ends = prefix_sums(F.transform(sentences(text), F.length))
+    return let(ends, lambda e: F.transform(e, lambda b, i: _span(F.coalesce(F.get(e, i - 1), F.lit(0)), b)))
 
 
 def cut(text: Column, span: Column) -> Column:
@@ -146,28 +155,49 @@ def pseudonymise(text: Column, salt: str = "") -> Column:
     return F.when(F.contains(text, F.lit("@")), F.array_join(pairs, "")).otherwise(text)
 
 
+def addresses(text: Column) -> Column:
+    """array<struct<plain, address, a, b>>: the text in pieces, each with the address that follows it and that address's offsets; the last has none."""
+    pieces = F.zip_with(F.split(text, EMAIL, -1), F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda x, y: F.struct(x.alias("plain"), y.alias("address")))
+    width = lambda p: F.length(F.coalesce(p["address"], F.lit("")))
+
+    def located(ps: Column) -> Column:
+        ends = prefix_sums(F.transform(ps, lambda p: F.length(p["plain"]) + width(p)))
+        return F.zip_with(ps, ends, lambda p, e: F.struct(p["plain"].alias("plain"), p["address"].alias("address"), (e - width(p)).alias("a"), e.alias("b")))
+
+    return let(pieces, located)
+
+
+def shifts(rewritten: Column) -> Column:
+    """array<struct<at, shift>> of pieces with (address, new, b): from the end of each changed address on, offsets move by shift."""
+    grown = F.transform(rewritten, lambda p: F.length(p["new"]) - F.length(F.coalesce(p["address"], F.lit(""))))
+    return F.zip_with(rewritten, prefix_sums(grown), lambda p, s: F.struct(p["b"].alias("at"), s.alias("shift")))
+
+
+def shifted(points: Column, offset: Column, steps: int = 31) -> Column:
+    """An offset of the old text, outside all changed addresses, in the new one: the last shift at or before it, by bisection."""
+    strides = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
+    passed = lambda ps, i: (i <= F.size(ps)) & F.coalesce(F.get(ps, i - 1)["at"] <= offset, F.lit(False))
+    count = lambda ps: F.aggregate(strides, F.lit(0), lambda n, k: F.when(passed(ps, F.least(n.cast("long") + k, F.lit(2**31 - 2)).cast("int")), (n + k).cast("int")).otherwise(n))
+    return let(points, lambda ps: offset + F.coalesce(F.get(ps, count(ps) - 1)["shift"], F.lit(0)))
+
+
 def pseudonymise_outside(text: Column, a: Column, b: Column, salt: str = "") -> Column:
     """struct<text, a, b>: addresses not wholly inside [a, b) replaced, the span moved along.
 
-    A null span protects nothing and stays null.
+    A null span protects nothing and stays null.  Both ends move by what changed before a.
     """
-    between = F.split(text, EMAIL, -1)
-    found = F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
-    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("shift"))
-
-    def step(s: Column, pair: Column) -> Column:
-        start = s["at"] + F.length(pair["plain"])
-        end = start + F.length(F.coalesce(pair["address"], F.lit("")))
-        inside = F.coalesce((start >= a) & (end <= b), F.lit(False))
-        new = F.when(pair["address"].isNull(), "").when(inside, pair["address"]).otherwise(pseudonym(pair["address"], salt))
-        moved = F.when(F.coalesce(end <= a, F.lit(False)) & ~inside, F.length(new) - (end - start)).otherwise(0)
-        return F.struct(
-            F.concat(s["out"], pair["plain"], new).alias("out"), end.alias("at"), (s["shift"] + moved).alias("shift")
-        )
-
-    pairs = F.zip_with(between, found, lambda x, y: F.struct(x.alias("plain"), y.alias("address")))
-    done = F.aggregate(pairs, first, step)
-    return F.struct(done["out"].alias("text"), (a + done["shift"]).alias("a"), (b + done["shift"]).alias("b"))
+
+    def renew(p: Column) -> Column:
+        inside = F.coalesce((p["a"] >= a) & (p["b"] <= b), F.lit(False))
+        new = F.when(p["address"].isNull(), "").when(inside, p["address"]).otherwise(pseudonym(p["address"], salt))
+        return F.struct(p["plain"].alias("plain"), p["address"].alias("address"), p["b"].alias("b"), new.alias("new"))
+
+    def done(ps: Column) -> Column:
+        move = shifted(shifts(ps), a) - a
+        return F.struct(F.array_join(F.transform(ps, lambda p: F.concat(p["plain"], p["new"])), "").alias("text"), (a + move).alias("a"), (b + move).alias("b"))
+
+    same = F.struct(text.alias("text"), a.alias("a"), b.alias("b"))
+    return F.when(F.contains(text, F.lit("@")), let(F.transform(addresses(text), renew), done)).otherwise(same)
 
 
 def pseudonym_map(docs: DataFrame, text: str = "text", salt: str = "") -> DataFrame:

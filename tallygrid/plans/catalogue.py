@@ -14,6 +14,7 @@ from ..functions.shipping import ship
 from ..operators import compare as cmp
 from ..operators import delta as dl
 from ..operators import evaluate as ev
+from ..operators import quantiles as qt
 from ..operators import score_index as si
 from ..operators import scoring as sc
 from ..sources import corpus as co
@@ -141,11 +142,44 @@ def missing_ids(spark, d):
     return co.missing(want, tb.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id")))
 
 
-@query(None)
+def _tree_sql(rows: str) -> str:
+    """The nodes of the tree over rows(id, label, text), level by level."""
+    line = "coalesce(id,'') || chr(0) || coalesce(label,'') || chr(0) || coalesce(text,'') || chr(0)"
+    part = lambda i: f"CAST(sum(('0x' || substr(d, {1 + 15 * i}, 15))::BIGINT) AS VARCHAR)"
+    leaf = f"SELECT leaf AS node, count(*) AS n, sha256(concat_ws(':', count(*), {part(0)}, {part(1)}, {part(2)}, {part(3)})) AS digest FROM (SELECT substr(sha256(coalesce(id,'')), 1, 3) AS leaf, sha256({line}) AS d FROM {rows}) GROUP BY leaf"
+    up = lambda t, k: f"SELECT substr(node, 1, {k}) AS node, sum(n)::BIGINT AS n, sha256(string_agg(node || '=' || digest, ';' ORDER BY node)) AS digest FROM {t} GROUP BY substr(node, 1, {k})"
+    return f"WITH l3 AS ({leaf}), l2 AS ({up('l3', 2)}), l1 AS ({up('l2', 1)}), l0 AS ({up('l1', 0)}) SELECT * FROM l3 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l0"
+
+
+_EDITED_DOCS = "(SELECT id, CASE WHEN id::BIGINT % 97 = 5 THEN text || '!' ELSE text END AS text, CASE WHEN id::BIGINT % 101 = 7 THEN 'clean' ELSE label END AS label FROM doc_corpus WHERE id::BIGINT % 89 <> 3)"
+
+
+def _edited_docs(spark, d) -> DataFrame:
+    number, docs = F.col("id").cast("long"), tb.doc_corpus(spark, d).select("id", "label", "text").where("cast(id as long) % 89 <> 3")
+    docs = docs.withColumn("text", F.when(number % 97 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return docs.withColumn("label", F.when(number % 101 == 7, "clean").otherwise(F.col("label")))
+
+
+@query(f"SELECT substr(digest, 1, 16) AS fingerprint FROM ({_tree_sql('doc_corpus')}) WHERE node = ''")
 def fingerprint(spark, d):
     return co.fingerprint(tb.doc_corpus(spark, d))
 
 
+@query(f"SELECT * FROM ({_tree_sql('doc_corpus')})")
+def build_tree(spark, d):
+    return co.tree(tb.doc_corpus(spark, d))
+
+
+@query(f"SELECT node, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after FROM (SELECT * FROM ({_tree_sql('doc_corpus')}) WHERE length(node) = 3) a FULL JOIN (SELECT * FROM ({_tree_sql(_EDITED_DOCS)}) WHERE length(node) = 3) b USING (node) WHERE a.digest IS DISTINCT FROM b.digest")
+def changed_ranges(spark, d):
+    return co.changed_ranges(co.tree(tb.doc_corpus(spark, d)), co.tree(_edited_docs(spark, d)))
+
+
+@query(f"SELECT id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'edited' END AS change FROM (SELECT id, label, text, id AS i FROM doc_corpus) a FULL JOIN {_EDITED_DOCS} b USING (id) WHERE a.i IS NULL OR b.text IS NULL OR a.label <> b.label OR a.text <> b.text".replace("a.id IS NULL THEN", "a.i IS NULL THEN").replace("b.id IS NULL THEN", "b.text IS NULL THEN"))
+def changed_documents(spark, d):
+    return co.changed_documents(tb.doc_corpus(spark, d), _edited_docs(spark, d))
+
+
 # -- thresholds and metrics ----------------------------------------------------
 
 
@@ -313,15 +347,23 @@ def score_type(spark, d):
 @query("""SELECT event_type, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.99), 9) AS p99
     FROM events GROUP BY event_type""")
 def latency_percentiles(spark, d):
-    p = [F.round(F.percentile("value", F.lit(x)), 9).alias(f"p{round(x * 100)}") for x in (0.5, 0.95, 0.99)]
-    return tb.table(spark, d, "events").groupBy("event_type").agg(*p)
+    got = qt.quantiles(tb.table(spark, d, "events"), "value", (0.5, 0.95, 0.99), "event_type")
+    return got.groupBy("event_type").agg(*[F.round(F.max(F.when(F.col("p") == p, F.col("quantile"))), 9).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)])
 
 
-@query("""SELECT count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50_ms, min(value) AS min_ms, max(value) AS max_ms, arg_min(value, event_id) AS cold_first_ms FROM events""")
+@query("""SELECT count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms, min(value) AS min_ms, max(value) AS max_ms,
+    arg_min(value, event_id) AS cold_first_ms, round(quantile_cont(length(props), 0.5), 6) AS median_chars FROM events""")
 def latency_summary(spark, d):
     from ..operators.latency import summary
 
-    return summary(tb.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("value").alias("ms")))
+    return summary(tb.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("value").alias("ms"), F.length("props").alias("chars")))
+
+
+@query("SELECT user_id % 500 AS who, round(quantile_cont(value, 0.1), 9) AS p10, round(quantile_cont(value, 0.9), 9) AS p90 FROM events GROUP BY 1")
+def quantiles_of_many_groups(spark, d):
+    rows = tb.table(spark, d, "events").select((F.col("user_id") % 500).alias("who"), "value")
+    got = qt.quantiles(rows, "value", (0.1, 0.9), "who")
+    return got.groupBy("who").agg(*[F.round(F.max(F.when(F.col("p") == p, F.col("quantile"))), 9).alias(f"p{round(p * 100)}") for p in (0.1, 0.9)])
 
 
 @query("""SELECT family AS key, round(avg(recall), 12) AS mean, row_number() OVER (ORDER BY round(avg(recall), 12) DESC, family) AS pos FROM cells GROUP BY family""")
@@ -853,7 +895,15 @@ def pseudonymise(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(tx.pseudonymise(F.col("text")).cast("binary")).alias("digest"), found.alias("found"))
 
 
-@query(None)
+_LEN = "list_sum(list_transform({}, lambda x: length(x)))"
+
+
+@query(f"""SELECT doc_id, md5(list_aggregate(list_transform(r, lambda x: x.plain || x.new), 'string_agg', '')) AS digest, (half + moved)::INT AS a, (half + 40 + moved)::INT AS b
+    FROM (SELECT *, coalesce(list_sum(list_transform(r, lambda x: CASE WHEN x.b <= half THEN length(x.new) - length(x.old) ELSE 0 END)), 0) AS moved
+    FROM (SELECT doc_id, half, list_transform(r, lambda x: {{'plain': x.plain, 'old': x.old, 'b': x.b, 'new': CASE WHEN x.old = '' OR (x.b - length(x.old) >= half AND x.b <= half + 40) THEN x.old ELSE
+        regexp_extract(x.old, '{_EMAIL}', 1) || '+' || substr(sha256(lower(x.old)),1,4) || '@{tx.DOMAIN}' END}}) AS r
+    FROM (SELECT doc_id, half, list_transform(range(1, len(p)+1), lambda i: {{'plain': p[i], 'old': CASE WHEN i <= len(m) THEN m[i] ELSE '' END, 'b': {_LEN.format('p[1:i]')} + coalesce({_LEN.format('m[1:i]')}, 0)}}) AS r
+    FROM (SELECT doc_id, length(text)//2 AS half, string_split_regex(text, '{_EMAIL}') AS p, regexp_extract_all(text, '{_EMAIL}') AS m FROM documents))))""")
 def pseudonymise_span(spark, d):
     half = F.floor(F.length("text") / 2).cast("int")
     out = tx.pseudonymise_outside(F.col("text"), half, half + 40)

@@ -104,23 +104,65 @@ def sliced(raw: DataFrame, slice_name: str = "all", limit: int | None = None) ->
     return limit_per_side(docs, limit) if limit else docs
 
 
-def fingerprint(docs: DataFrame, buckets: int = 256) -> DataFrame:
-    """One 16-digit fingerprint of (id, label, text), whatever the order of rows.
+#: Hexadecimal digits of an id's hash that name a leaf of a build's tree.
+DEPTH = 3
+_LINE = ("id", "label", "text")
 
-    Row digests are summed up in buckets by hash and the bucket digests are
-    hashed in order: it changes with any edit, addition or removal, and no
-    task holds all rows.  (A sequential digest of files would not match it.)
+
+def _leaf(depth: int) -> Column:
+    return F.substring(F.sha2(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"), 256), 1, depth)
+
+
+def tree(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(node, n, digest): a hash tree over (id, label, text), sixteen children a node; the root's name is empty.
+
+    A leaf holds the rows whose id's hash starts with its name, so an edit
+    changes its leaf and the path to the root, and nothing else.  The rows of a leaf
+    are summed up as numbers, digest by digest: no order counts, repeated rows do, and no task holds a leaf.
     """
     zero = F.lit("\u0000")
-    line = F.concat(*[x for c in ("id", "label", "text") for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), zero)])
-    row = docs.select(F.sha2(line, 256).alias("d"))
-    four = [F.conv(F.substring("d", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)").alias(f"x{i}") for i in range(4)]
-    row = row.select(F.pmod(F.crc32(F.col("d").cast("binary")), F.lit(buckets)).alias("bucket"), *four)
-    sums = row.groupBy("bucket").agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"x{i}") for i in range(4)])
-    text = F.concat_ws(":", *[F.col(c).cast("string") for c in ("bucket", "n", "x0", "x1", "x2", "x3")])
-    ordered = F.sort_array(F.collect_list(F.struct("bucket", text.alias("t"))))
-    whole = F.sha2(F.array_join(F.transform(ordered, lambda x: x["t"]), ";"), 256)
-    return sums.agg(F.substring(whole, 1, 16).alias("fingerprint"))
+    line = F.concat(*[x for c in _LINE for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), zero)])
+    rows = docs.select(_leaf(depth).alias("node"), F.sha2(line.cast("binary"), 256).alias("d"))
+    parts = [F.sum(F.conv(F.substring("d", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"x{i}") for i in range(4)]
+    leaves = rows.groupBy("node").agg(F.count("*").alias("n"), *parts)
+    level = leaves.select("node", "n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), "x0", "x1", "x2", "x3"), 256).alias("digest"))
+    out = level
+    for k in reversed(range(depth)):
+        children = F.sort_array(F.collect_list(F.struct("node", "digest")))
+        digest = F.sha2(F.array_join(F.transform(children, lambda c: F.concat(c["node"], F.lit("="), c["digest"])), ";"), 256)
+        level = level.groupBy(F.substring("node", 1, k).alias("node")).agg(F.sum("n").alias("n"), digest.alias("digest"))
+        out = out.union(level)
+    return out
+
+
+def fingerprint(docs: DataFrame) -> DataFrame:
+    """The first 16 digits of the root of a build's tree: changed by any edit, not by the order of rows."""
+    root = tree(docs).where("node = ''").agg(F.max("digest").alias("digest"))
+    return root.select(F.substring(F.coalesce("digest", F.sha2(F.lit(""), 256)), 1, 16).alias("fingerprint"))
+
+
+def changed_ranges(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(node, n_before, n_after) of the leaves in which two trees differ."""
+    depth = F.lit(DEPTH)
+    a = before.where(F.length("node") == depth).select("node", F.col("n").alias("n_before"), F.col("digest").alias("was"))
+    b = after.where(F.length("node") == depth).select("node", F.col("n").alias("n_after"), F.col("digest").alias("now"))
+    both = a.join(b, "node", "full").where(~F.col("was").eqNullSafe(F.col("now")))
+    return both.select("node", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"))
+
+
+def changed_documents(before: DataFrame, after: DataFrame, trees: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(id, change) of the documents that were edited, added or removed between two builds with unique ids.
+
+    Only the rows of leaves that differ are joined; the trees, if they are
+    stored, are not worked out again.  There are 16 ** DEPTH leaves at most, so their names are broadcast.
+    """
+    was, now = trees or (tree(before), tree(after))
+    nodes = F.broadcast(changed_ranges(was, now).select("node"))
+    digest = F.sha2(F.concat_ws("\u0000", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in _LINE]), 256)
+    rows = lambda df, name: df.withColumn("node", _leaf(DEPTH)).join(nodes, "node", "left_semi").select("id", digest.alias(name))
+    both = rows(before, "was").join(rows(after, "now"), "id", "full").where(~F.col("was").eqNullSafe(F.col("now")))
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("edited")
+    return both.select("id", change.alias("change"))
 
 
 def score_join(scores: DataFrame, docs: DataFrame) -> DataFrame:

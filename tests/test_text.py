@@ -95,3 +95,36 @@ def test_pseudonyms(spark):
         _, t, a, b = rows[r["id"]]
         assert r["p"] == pseudo(t)[0] == r["y"]["text"] and r["y"]["a"] is None
         assert (r["x"]["text"], (r["x"]["a"], r["x"]["b"])) == pseudo(t, (a, b))
+
+
+def test_offsets_follow_all_changes(spark):
+    """Any number of offsets through the shift points, against the rewritten text."""
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["plain", "é\U0001f600", f"u{i}@a{i}.org", "x.y@b.co"]) for i in range(r.randint(0, 40))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    piece = lambda p: F.struct(p["address"].alias("address"), p["b"].alias("b"), F.coalesce(tx.pseudonym(p["address"]), F.lit("")).alias("new"))
+    points = df.select("id", "text", tx.shifts(F.transform(tx.addresses(F.col("text")), piece)).alias("points"))
+    every = points.select("id", "points", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("old"))
+    got = {(x["id"], x["old"]): x["new"] for x in every.select("id", "old", tx.shifted(F.col("points"), F.col("old")).alias("new")).collect()}
+    for i, t in enumerate(texts):
+        shift, last = 0, 0
+        for m in [*re.finditer(tx.EMAIL, t), None]:
+            for old in range(last, (m.start() if m else len(t)) + 1):
+                assert got[i, old] == old + shift
+            if m:
+                shift, last = shift + len(pseudo(m[0])[0]) - len(m[0]), m.end()
+
+
+def test_long_texts_take_no_quadratic_time(spark):
+    n = 200_000
+    df = spark.createDataFrame([("It ends here. " * n, "to a.b@c.org or " * n)], "s string, m string")
+    got = df.select(F.size(tx.sentence_spans(F.col("s"))).alias("n"), F.element_at(tx.sentence_spans(F.col("s")), -1)["b"].alias("end"), tx.pseudonymise_outside(F.col("m"), F.lit(16 * n - 4), F.lit(16 * n)).alias("x")).first()
+    assert (got["n"], got["end"]) == (n, 14 * n)
+    new = len(pseudo("a.b@c.org")[0])
+    assert len(got["x"]["text"]) == (16 - 9 + new) * n and got["x"]["a"] == 16 * n - 4 + (new - 9) * n
+
+
+def test_prefix_sums(spark):
+    rows = [[], [5], [1, 2, 3], list(range(1000))]
+    got = spark.createDataFrame([(x,) for x in rows], "x array<int>").select(tx.prefix_sums(F.col("x")).alias("s")).collect()
+    assert [r["s"] for r in got] == [[sum(x[: i + 1]) for i in range(len(x))] for x in rows]
