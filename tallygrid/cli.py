@@ -45,9 +45,9 @@ def _detector(name: str) -> sc.Detector:
     return sc.REGISTRY[name]()
 
 
-def _adapters(folders: list[str] | None) -> None:
+def _adapters(folders: list[str] | None, spark: SparkSession | None = None) -> None:
     for f in folders or []:
-        sc.load_adapters(f)
+        sc.load_adapters(f, spark)
 
 
 def measure(docs: DataFrame, scores: DataFrame, binary: bool, fpr: float) -> dict[str, DataFrame]:
@@ -134,11 +134,13 @@ def _check_aperture(det: sc.Detector) -> None:
 
 
 def run(a: argparse.Namespace) -> None:
-    _adapters(a.adapters)
     if a.list:
-        print("\n".join(sorted(sc.REGISTRY)))
+        known = [r["detector"] for f in a.adapters or [] for r in sc.registered(f)]  # read, not imported
+        print("\n".join(sorted({*sc.REGISTRY, *known})))
         return
-    spark, det = _session(), _detector(a.detector)
+    spark = _session()
+    _adapters(a.adapters, spark)
+    det = _detector(a.detector)
     forced = a.window is not None or a.policy is not None
     det.max_chars, det.policy = a.window or det.max_chars, a.policy or ("chunk" if a.window and det.policy == "full" else det.policy)
     det.overlap = det.overlap if a.overlap is None else a.overlap
@@ -196,7 +198,8 @@ def compare(a: argparse.Namespace) -> None:
     build = a.dataset or st.current_build(runs).first()[0]
     runs = runs.where(F.col("dataset") == build)
     label = aperture_label(F.col("policy"), F.col("window"), F.col("overlap").cast("int"), F.col("forced"))
-    page = cm.overview(spark, a.results, runs.withColumn("aperture", label), ev.POINTS)
+    known = sorted({*sc.REGISTRY, *(r["detector"] for f in a.adapters or [] for r in sc.registered(f))})
+    page = cm.overview(spark, a.results, runs.withColumn("aperture", label), ev.POINTS, known)
     rows = [r.asDict() | {k: {p["budget"]: p["v"] for p in r[k] or []} for k in ("recall", "fpr")} for r in page["headline"].collect()]
     sections = [md.comparison(rows, ev.POINTS)]
     for title, name, columns in (
@@ -234,8 +237,8 @@ def _edited(spark: SparkSession, a: argparse.Namespace, build: str) -> DataFrame
 
 def rescore(a: argparse.Namespace) -> None:
     """Carry runs of a parent build over an edit: score the changed documents anew, keep the others."""
-    _adapters(a.adapters)
     spark = _session()
+    _adapters(a.adapters, spark)
     docs, build = co.load(spark, a.data), co.fingerprint(co.read_raw(spark, a.data)).first()[0]
     ids = (co.changed_ids(spark, a.ids, a.ids_from) if a.ids or a.ids_from else _edited(spark, a, build)).cache()
     lost = co.missing(ids, docs).limit(3).collect()
@@ -277,8 +280,9 @@ def rescore(a: argparse.Namespace) -> None:
 
 def latency(a: argparse.Namespace) -> None:
     """The detector alone, a document at a time in this process: Spark draws the sample only."""
-    _adapters(a.adapters)
-    spark, det = _session(), _detector(a.detector)
+    spark = _session()
+    _adapters(a.adapters, spark)
+    det = _detector(a.detector)
     texts = [r["text"] for r in lt.mixed_sample(co.load(spark, a.data, a.slice), a.n + a.warmup).collect()]
     det.setup()
     try:
@@ -314,7 +318,7 @@ def main(argv: list[str] | None = None) -> None:
         q.add_argument(flag, **kw)
     q = sub.add_parser("compare")
     q.set_defaults(f=compare)
-    for flag, kw in {"--results": _RESULTS, "--slice": {"default": "all"}, "--dataset": {}, "--out": {}}.items():
+    for flag, kw in {"--results": _RESULTS, "--slice": {"default": "all"}, "--dataset": {}, "--adapters": {"action": "append"}, "--out": {}}.items():
         q.add_argument(flag, **kw)
     q = sub.add_parser("rescore")
     q.set_defaults(f=rescore)

@@ -127,18 +127,50 @@ def chunk_bounds(lengths: list[int], size: int, sentences_back: int | None, shar
     return out
 
 
-def windows_chunk(text: Column, size: int, sentences_back: int | None = 4, share: float | None = None) -> Column:
-    """Packed sentences; only the sentence lengths go to Python, the texts stay in the JVM."""
+def windows_sweep(text: Column, size: int, overlaps: list[tuple[int | None, float | None]]) -> Column:
+    """Packed sentences under several overlaps (sentences back, or a share): an array of windows for each, in that order.
+
+    The sentences are found once; only their lengths go to Python, once for all overlaps.
+    """
 
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for lengths in batches:
-            yield pd.Series([[{"a": a, "b": b} for a, b in chunk_bounds(list(x), size, sentences_back, share)] for x in lengths])
+            yield pd.Series([[[{"a": a, "b": b} for a, b in chunk_bounds(list(x), size, *o)] for o in overlaps] for x in lengths])
 
-    packed = F.pandas_udf(pack, SPANS)
+    packed = F.pandas_udf(pack, T.ArrayType(SPANS))
     pack.__annotations__ = {}
-    spans = packed(F.transform(sentences(text), F.length))
-    spans = F.filter(spans, lambda s: not_blank(cut(text, s)))
-    return F.when(F.length(text) <= size, _whole(text)).otherwise(capped(text, spans, size))
+    sets = packed(F.transform(sentences(text), F.length))
+    kept = F.transform(sets, lambda spans: capped(text, F.filter(spans, lambda s: not_blank(cut(text, s))), size))
+    return F.when(F.length(text) <= size, F.array(*[_whole(text)] * len(overlaps))).otherwise(kept)
+
+
+def windows_chunk(text: Column, size: int, sentences_back: int | None = 4, share: float | None = None) -> Column:
+    """Packed sentences; only the sentence lengths go to Python, the texts stay in the JVM."""
+    return windows_sweep(text, size, [(sentences_back, share)])[0]
+
+
+def leading(items: Column, test: Callable[[Column], Column], steps: int = 31) -> Column:
+    """How many leading items pass a test that no item passes after one that fails, by bisection."""
+    strides = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
+
+    def step(xs: Column) -> Callable[[Column, Column], Column]:
+        def longer(n: Column, stride: Column) -> Column:
+            to = n + stride.cast("long")
+            return F.when((to <= F.size(xs)) & F.coalesce(test(F.get(xs, F.least(to, F.size(xs).cast("long")).cast("int") - 1)), F.lit(False)), to).otherwise(n)
+
+        return longer
+
+    return let(items, lambda xs: F.aggregate(strides, F.lit(0).cast("long"), step(xs)).cast("int"))
+
+
+def torn(windows: Column, spans: Column) -> Column:
+    """How many spans no window holds whole.  Windows ascend in both ends, so the last that begins in time decides."""
+
+    def held(ws: Column) -> Column:
+        last = lambda s: F.get(ws, leading(ws, lambda w: w["a"] <= s["a"]) - 1)
+        return F.size(F.filter(spans, lambda s: ~F.coalesce(last(s)["b"] >= s["b"], F.lit(False))))
+
+    return let(windows, held)
 
 
 def pseudonym(address: Column, salt: str = "") -> Column:
@@ -173,12 +205,9 @@ def shifts(rewritten: Column) -> Column:
     return F.zip_with(rewritten, prefix_sums(grown), lambda p, s: F.struct(p["b"].alias("at"), s.alias("shift")))
 
 
-def shifted(points: Column, offset: Column, steps: int = 31) -> Column:
-    """An offset of the old text, outside all changed addresses, in the new one: the last shift at or before it, by bisection."""
-    strides = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
-    passed = lambda ps, i: (i <= F.size(ps)) & F.coalesce(F.get(ps, i - 1)["at"] <= offset, F.lit(False))
-    count = lambda ps: F.aggregate(strides, F.lit(0), lambda n, k: F.when(passed(ps, F.least(n.cast("long") + k, F.lit(2**31 - 2)).cast("int")), (n + k).cast("int")).otherwise(n))
-    return let(points, lambda ps: offset + F.coalesce(F.get(ps, count(ps) - 1)["shift"], F.lit(0)))
+def shifted(points: Column, offset: Column) -> Column:
+    """An offset of the old text, outside all changed addresses, in the new one: the last shift at or before it."""
+    return let(points, lambda ps: offset + F.coalesce(F.get(ps, leading(ps, lambda p: p["at"] <= offset) - 1)["shift"], F.lit(0)))
 
 
 def pseudonymise_outside(text: Column, a: Column, b: Column, salt: str = "") -> Column:

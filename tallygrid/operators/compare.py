@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..sources import files as fl
 from . import score_index as si
-from . import scoring as sc
 from .evaluate import CURVE, thresholds
 
 #: How far over a budget a verdict may lie; leads that count as clear in small and in large cells.
@@ -183,7 +182,7 @@ def shared_order(runs: DataFrame, cells: DataFrame, axis: str = "family") -> Dat
     return ranked.withColumn("pos", F.dense_rank().over(Window.partitionBy("budget").orderBy(F.desc("own"), "key"))).drop("is_reference", "own")
 
 
-def overview(spark: SparkSession, root: str, runs: DataFrame, budgets: Iterable[float]) -> dict[str, DataFrame | None]:
+def overview(spark: SparkSession, root: str, runs: DataFrame, budgets: Iterable[float], registered: Iterable[str]) -> dict[str, DataFrame | None]:
     """What a comparison shows of runs(run_id, detector, display, aperture, forced, verdict, fpr_pooled) saved at root.
 
     Every part is a query over one read of all runs' tables; none goes run by run.
@@ -201,7 +200,7 @@ def overview(spark: SparkSession, root: str, runs: DataFrame, budgets: Iterable[
     late = chosen.where(F.col("verdict") & ~within_budget(F.col("fpr_pooled"), F.lit(max(budgets)))).select("run_id", "detector", "fpr_pooled")
     index = si.read(spark, f"{root}/index")
     movable = chosen.where("not verdict").select("run_id", "detector").join(index.counts.select("run_id").distinct(), "run_id", "left_semi")
-    known = spark.createDataFrame([(k,) for k in sorted(sc.REGISTRY)], "detector string")
+    known = spark.createDataFrame([(k,) for k in registered], "detector string")
     return {
         "headline": headline(chosen, cells, rates).orderBy("title", "run_id"),
         "winners": winners.orderBy("budget", "family", "action"),

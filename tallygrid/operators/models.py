@@ -1,7 +1,7 @@
 """Detectors backed by a classification model in Python workers.
 
 No weights ship with this repository; ``load`` is where an adapter brings its
-model.  It runs once per task, and windows are scored in batches.
+model.  It runs once in a worker process, and windows are scored in batches.
 """
 
 from __future__ import annotations

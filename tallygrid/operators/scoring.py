@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import ast
+import atexit
+import importlib
 import importlib.util
 import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -17,12 +23,32 @@ from ..functions import text as tx
 REGISTRY: dict[str, type[Detector]] = {}
 
 
+class Fold:
+    """How the windows of a document become its score, in parts that merge.
+
+    ``state`` sums up some windows of one document as a list of numbers,
+    ``merge`` joins two such lists, and ``finish`` makes the score.  A
+    document's windows may lie in many tasks: only states travel.
+    """
+
+    empty = 0.0
+
+    def state(self, scores: np.ndarray) -> list[float]:
+        raise NotImplementedError
+
+    def merge(self, a: list[float], b: list[float]) -> list[float]:
+        raise NotImplementedError
+
+    def finish(self, state: list[float]) -> float:
+        raise NotImplementedError
+
+
 class Detector:
     """A detector scores texts; higher is more suspicious.
 
     Either ``score_expr`` (a column expression, stays in the JVM) or
-    ``score_batch`` (a batch of texts in Python, after one ``setup`` for each
-    task) is overridden.
+    ``score_batch`` (a batch of texts in Python, after one ``setup`` in each
+    worker process) is overridden.
     """
 
     name = version = ""
@@ -33,6 +59,10 @@ class Detector:
     overlap = 4
     overlap_share: float | None = None
     native = True
+    #: Another fold than the greatest score.
+    fold: Fold | None = None
+    #: Columns of the documents that every window carries; score_batch gets them as a third argument, score_expr as columns by name.
+    attributes: tuple[str, ...] = ()
 
     def setup(self) -> None: ...
 
@@ -103,12 +133,39 @@ class Graded(Detector):
         return h * 0.5 + F.when(F.contains(text, F.lit(self.payload)) & (h > 0.2), 0.5).otherwise(0.0)
 
 
-def load_adapters(folder: str | Path) -> None:
-    """Import every module of a folder, so that its detectors register."""
-    for path in sorted(Path(folder).glob("*.py")):
-        if not path.name.startswith("_"):
-            spec = importlib.util.spec_from_file_location(f"adapters_{path.stem}", path)
-            spec.loader.exec_module(importlib.util.module_from_spec(spec))
+def load_adapters(folder: str | Path, spark: SparkSession | None = None) -> None:
+    """Import every module of a folder, so that its detectors register.
+
+    With a session the folder travels: its modules, helpers included, go to
+    the executors as an archive and are imported by name there, so no worker
+    needs the folder.
+    """
+    paths = [p for p in sorted(Path(folder).glob("*.py")) if not p.name.startswith("_")]
+    if spark is not None:
+        packed = shutil.make_archive(f"{tempfile.mkdtemp()}/adapters-{uuid.uuid4().hex}", "zip", folder)
+        spark.sparkContext.addPyFile(packed)  # on this process' path too
+        importlib.invalidate_caches()
+        for path in paths:
+            importlib.import_module(path.stem)
+        return
+    for path in paths:
+        spec = importlib.util.spec_from_file_location(f"adapters_{path.stem}", path)
+        spec.loader.exec_module(importlib.util.module_from_spec(spec))
+
+
+#: Detectors that this worker process has set up, by the token of the scoring call.
+_LIVE: dict[str, Detector] = {}
+
+
+def _live(token: str, detector: Detector) -> Detector:
+    """The detector of a scoring call, set up once in a worker process however many tasks it runs; a later call's takes its place."""
+    if token not in _LIVE:
+        while _LIVE:
+            _LIVE.popitem()[1].teardown()
+        detector.setup()
+        _LIVE[token] = detector
+        atexit.register(lambda: _LIVE.pop(token).teardown() if token in _LIVE else None)
+    return _LIVE[token]
 
 
 def registered(folder: str | Path) -> list[dict]:
@@ -134,24 +191,56 @@ def exploded(docs: DataFrame, detector: Detector) -> DataFrame:
 
 def score_windows(docs: DataFrame, detector: Detector) -> DataFrame:
     """(id, window, score)."""
-    rows = exploded(docs, detector).select("id", "window", "chunk")
+    more = list(detector.attributes)
+    rows = exploded(docs, detector).select("id", "window", "chunk", *more)
     if detector.native:
-        return rows.select("id", "window", detector.score_expr(F.col("chunk"), F.col("id")).alias("score"))
+        given = ({c: F.col(c) for c in more},) if more else ()
+        return rows.select("id", "window", detector.score_expr(F.col("chunk"), F.col("id"), *given).alias("score"))
+
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector.setup()
-        try:
-            for b in batches:
-                got = pd.Series(list(detector.score_batch(b["chunk"], b["id"])), dtype="float64")
-                if len(got) != len(b):
-                    raise ValueError(f"{len(got)} scores for {len(b)} windows")
-                yield pd.DataFrame({"id": b["id"].to_numpy(), "window": b["window"].to_numpy(), "score": got.to_numpy()})
-        finally:
-            detector.teardown()
+        live = _live(token, detector)
+        for b in batches:
+            got = pd.Series(list(live.score_batch(b["chunk"], b["id"], *([b[more]] if more else []))), dtype="float64")
+            if len(got) != len(b):
+                raise ValueError(f"{len(got)} scores for {len(b)} windows")
+            yield pd.DataFrame({"id": b["id"].to_numpy(), "window": b["window"].to_numpy(), "score": got.to_numpy()})
 
     return rows.mapInPandas(run, "id string, window int, score double")
 
 
+def fold_states(scored: DataFrame, how: Fold) -> DataFrame:
+    """(id, score, windows) of scored windows(id, score): states of each batch's documents, merged in the order of ids.
+
+    A task takes one state of a document from a batch at most, so a document
+    of very many windows costs no more than its batches.
+    """
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = [(i, [float(x) for x in how.state(g.to_numpy())], len(g)) for i, g in b.groupby("id", sort=False)["score"]]
+            yield pd.DataFrame(own, columns=["id", "state", "windows"])
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state, n = None, None, 0
+        for b in batches:
+            out = []
+            for i, s, k in zip(b["id"], b["state"], b["windows"], strict=True):
+                if i == last:
+                    state, n = how.merge(state, list(s)), n + k
+                    continue
+                if last is not None:
+                    out.append((last, how.finish(state), n))
+                last, state, n = i, list(s), k
+            yield pd.DataFrame(out, columns=["id", "score", "windows"])
+        if last is not None:
+            yield pd.DataFrame([(last, how.finish(state), n)], columns=["id", "score", "windows"])
+
+    states = scored.where("id is not null").select("id", "score").mapInPandas(parts, "id string, state array<double>, windows long")
+    return states.repartition("id").sortWithinPartitions("id").mapInPandas(merged, "id string, score double, windows long")
+
+
 def fold(docs: DataFrame, scored: DataFrame, how: Callable[[str], Column] = F.max) -> DataFrame:
     """(id, score) of every document: the windows' scores folded; 0 without a window."""
     by_doc = scored.groupBy("id").agg(how("score").alias("score"))
@@ -161,6 +250,11 @@ def fold(docs: DataFrame, scored: DataFrame, how: Callable[[str], Column] = F.ma
 def score_counted(docs: DataFrame, detector: Detector) -> DataFrame:
     """(id, score, windows) of every document: the greatest score of its windows, 0 without one.  A native detector needs no shuffle."""
     docs = docs.withColumn("id", F.col("id").cast("string"))
+    if detector.fold is not None or detector.attributes:
+        by_doc = score_windows(docs, detector)
+        by_doc = fold_states(by_doc, detector.fold) if detector.fold else by_doc.groupBy("id").agg(F.max("score").alias("score"), F.count("*").alias("windows"))
+        none = F.lit(float(detector.fold.empty if detector.fold else 0.0))
+        return docs.select("id").join(by_doc, "id", "left").select("id", F.coalesce("score", none).alias("score"), F.coalesce("windows", F.lit(0)).cast("long").alias("windows"))
     if detector.native and detector.aperture()[0] == "full":
         return docs.select("id", detector.score_expr(F.col("text"), F.col("id")).alias("score"), F.lit(1).cast("long").alias("windows"))
     if detector.native:

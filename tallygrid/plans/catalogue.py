@@ -862,6 +862,33 @@ def torn_spans(spark, d):
     return rows.agg(F.count("*").alias("spans"), F.count_if(~F.col("whole")).alias("torn"))
 
 
+#: The overlaps of the published table, in sentences or as a share of the window.
+_OVERLAPS = [(2, None), (3, None), (4, None), (6, None), (8, None), (None, 0.25), (None, 0.5)]
+
+
+def _overlap_sql(back, share) -> str:
+    if share is None:
+        steps = _STEPS.format(next=f"greatest(t.j-{back}, t.i+1)")
+    else:
+        past = f"least(t.j, coalesce((SELECT min(y.k) FROM long_spans y WHERE y.doc_id = t.doc_id AND y.k > t.i AND y.s >= t.s + {2000 - int(2000 * share)}), t.j))"
+        steps = f"hop AS (SELECT t.doc_id, t.i, t.j, t.s, t.m, {past} AS nxt FROM reach t), steps AS (SELECT * FROM hop WHERE i = 0 UNION ALL SELECT r.* FROM steps t JOIN hop r ON r.doc_id = t.doc_id AND r.i = t.nxt WHERE t.j < t.m)"
+    return f"""SELECT '{back or share}' AS overlap, (SELECT count(*) FROM win) AS windows, count(*) AS spans, count(*) FILTER (NOT whole) AS torn FROM (WITH RECURSIVE {steps}, win AS ({_CAPPED.format(size=2000, spans=_PACKED)})
+        SELECT (SELECT count(*) FROM win) AS w, EXISTS (SELECT 1 FROM win WHERE win.doc_id = p.doc_id AND win.a <= p.a AND p.b <= win.b) AS whole FROM address_spans p)""".replace("(SELECT count(*) FROM win) AS windows, count(*) AS spans", "max(w) AS windows, count(*) AS spans")
+
+
+@query("SELECT overlap, windows, spans, torn, torn::DOUBLE/nullif(spans, 0) AS share FROM (" + " UNION ALL ".join(_overlap_sql(*o) for o in _OVERLAPS) + ")")
+def torn_by_overlap(spark, d):
+    """The addresses in all texts that windows of 2000 characters tear, for every overlap, in one pass."""
+    found = F.filter(tx.addresses(F.col("text")), lambda p: p["address"].isNotNull())
+    none = F.filter(tx.addresses(F.lit("")), lambda p: F.lit(False))
+    docs = _docs(spark, d).select(tx.windows_sweep(F.col("text"), 2000, _OVERLAPS).alias("sets"), F.when(F.contains("text", F.lit("@")), found).otherwise(none).alias("found"))
+    each = docs.select("found", F.posexplode("sets").alias("k", "win"))
+    each = each.select("k", F.size("win").alias("w"), F.size("found").alias("s"), tx.torn(F.col("win"), F.col("found")).alias("t"))
+    sums = each.groupBy("k").agg(F.sum("w").alias("windows"), F.sum("s").alias("spans"), F.sum("t").alias("torn"))
+    names = F.array(*[F.lit(str(b or s)) for b, s in _OVERLAPS])
+    return sums.select(F.get(names, F.col("k")).alias("overlap"), "windows", "spans", "torn", (F.col("torn") / F.nullif("spans", F.lit(0))).alias("share"))
+
+
 @query("""SELECT CAST(doc_id AS VARCHAR) AS id, max(CASE WHEN regexp_matches(piece, '(?i)\\blicense\\b') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM (SELECT doc_id, text AS piece FROM documents WHERE length(text) <= 2000
     UNION ALL SELECT doc_id, piece FROM long_spans) GROUP BY doc_id""")
 def fold_max(spark, d):

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+from ..functions.text import EMAIL
 from ..sources.tables import RUNS
 
+_EMAIL = EMAIL.replace("'", "''")
+
 
 def _lit(x) -> str:
     return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
@@ -107,6 +110,8 @@ CTES: dict[str, str] = {
         CASE WHEN o_orderkey % 19 <> 1 THEN o_orderkey % 19 = 0 END AS pseudonymised, CASE WHEN o_orderkey % 23 <> 0 THEN 'b' || (year(o_orderdate) % 3) END AS dataset,
         strftime(o_orderdate, '%Y-%m-%d %H:%M') AS run_at, (o_custkey % 53) % 5 = 0 AS verdict, CASE WHEN o_orderkey % 29 <> 0 THEN (o_orderkey % 100)/100.0::DOUBLE END AS mean_recall, o_orderkey % 31 <> 0 AS has_scores FROM orders""",
     "registry_log": "SELECT 'det' || (n_nationkey * 3) AS detector, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE n_name END AS registered FROM nation",
+    "address_spans": f"""SELECT doc_id, e - length(m) AS a, e AS b FROM (SELECT doc_id, m, sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM
+        (SELECT doc_id, unnest(range(1, len(m)+1)) AS i, unnest(p[1:len(m)]) AS p, unnest(m) AS m FROM (SELECT doc_id, string_split_regex(text, '{_EMAIL}') AS p, regexp_extract_all(text, '{_EMAIL}') AS m FROM documents)))""",
     "edited": "SELECT label, CASE WHEN touched AND ok % 10 = 0 THEN 'edited' ELSE host_type END AS host_type, host_source, family, action, spliced_at, obfuscation, CASE WHEN touched THEN c ELSE a END AS score FROM (SELECT *, ok % 97 = 5 AS touched FROM (SELECT *, split_part(id, '-', 1)::BIGINT AS ok FROM row_corpus))",
     "edited_tau2": pick_tau("(SELECT score FROM edited WHERE label='clean')", POINTS),
     "edited_tau13": pick_tau("(SELECT score FROM edited WHERE label='clean')", CURVE),

@@ -192,7 +192,7 @@ def test_comparison_takes_as_many_jobs_for_more_runs(spark, home, tmp_path):
 
     def jobs(tag):
         spark.sparkContext.setJobGroup(tag, tag)
-        cli.compare(argparse.Namespace(results=out, slice="all", dataset=None, out=None))
+        cli.compare(argparse.Namespace(results=out, slice="all", dataset=None, out=None, adapters=None))
         spark.sparkContext.setJobGroup("", "")
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
 
@@ -215,3 +215,29 @@ def test_points_are_those_of_evaluate(spark, home):
     clean = rows.where("label = 'clean'")
     got = cli.measure(docs, rows.select("id", "score"), False, 0.05)["taus"].collect()
     assert {r["budget"]: r["tau"] for r in got} == dict(ev.budgets(clean, (0.001, 0.01, 0.05)))
+
+
+def test_adapters_travel_to_workers(spark, home, tmp_path, capsys):
+    """A folder that no worker has on its path, with a helper beside the adapter; the model is loaded once in a worker process."""
+    folder, out, log = tmp_path / "adapters_here", str(tmp_path / "out"), tmp_path / "loads"
+    folder.mkdir()
+    (folder / "_weights_of_mine.py").write_text("SCALE = 4.0\n")
+    (folder / "mine_travels.py").write_text(
+        "import os\nfrom tallygrid.operators.scoring import Detector, register\nimport _weights_of_mine as w\n\n"
+        "@register('travels', '7')\nclass Mine(Detector):\n    native, display = False, 'Travels'\n"
+        f"    def setup(self):\n        open({str(log)!r}, 'a').write(str(os.getpid()) + chr(10))\n"
+        "    def score_batch(self, texts, ids):\n        return texts.str.len() / w.SCALE\n"
+    )
+    cli.main(["run", "--list", "--data", "unused", "--adapters", str(folder)])
+    assert "travels" in capsys.readouterr().out and "travels" not in sc.REGISTRY
+    cli.main(["run", "--detector", "travels", "--data", str(home / "data"), "--out", out, "--adapters", str(folder), "--no-report"])
+    run = st.read_runs(spark, out).first()
+    want = {r["id"]: len(r["text"]) / 4 for r in co.load(spark, str(home / "data")).collect()}
+    assert run["version"] == "7" and scores(spark, out, run["run_id"]) == want
+    sc.load_adapters(folder, spark)
+    log.write_text("")
+    docs = co.load(spark, str(home / "data")).select("id", "text").repartition(24)
+    assert len(sc.score_documents(docs, sc.REGISTRY["travels"]()).collect()) == 192
+    loads = log.read_text().split()
+    assert loads and len(loads) == len(set(loads)) < 24
+    sc.REGISTRY.pop("travels")
