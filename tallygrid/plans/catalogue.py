@@ -144,7 +144,7 @@ def missing_ids(spark, d):
 
 def _tree_sql(rows: str) -> str:
     """The nodes of the tree over rows(id, label, text), level by level."""
-    line = "coalesce(id,'') || chr(0) || coalesce(label,'') || chr(0) || coalesce(text,'') || chr(0)"
+    line = "coalesce(id,'') || chr(0) || coalesce(label,'') || chr(0) || sha256(coalesce(text,'')) || chr(0)"
     part = lambda i: f"CAST(sum(('0x' || substr(d, {1 + 15 * i}, 15))::BIGINT) AS VARCHAR)"
     leaf = f"SELECT leaf AS node, count(*) AS n, sha256(concat_ws(':', count(*), {part(0)}, {part(1)}, {part(2)}, {part(3)})) AS digest FROM (SELECT substr(sha256(coalesce(id,'')), 1, 3) AS leaf, sha256({line}) AS d FROM {rows}) GROUP BY leaf"
     up = lambda t, k: f"SELECT substr(node, 1, {k}) AS node, sum(n)::BIGINT AS n, sha256(string_agg(node || '=' || digest, ';' ORDER BY node)) AS digest FROM {t} GROUP BY substr(node, 1, {k})"
@@ -154,30 +154,34 @@ def _tree_sql(rows: str) -> str:
 _EDITED_DOCS = "(SELECT id, CASE WHEN id::BIGINT % 97 = 5 THEN text || '!' ELSE text END AS text, CASE WHEN id::BIGINT % 101 = 7 THEN 'clean' ELSE label END AS label FROM doc_corpus WHERE id::BIGINT % 89 <> 3)"
 
 
-def _edited_docs(spark, d) -> DataFrame:
-    number, docs = F.col("id").cast("long"), tb.doc_corpus(spark, d).select("id", "label", "text").where("cast(id as long) % 89 <> 3")
-    docs = docs.withColumn("text", F.when(number % 97 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    return docs.withColumn("label", F.when(number % 101 == 7, "clean").otherwise(F.col("label")))
+def _digests(spark, d) -> DataFrame:
+    return tb.digest_corpus(spark, d, F.col("text"))
+
+
+def _edited_digests(spark, d) -> DataFrame:
+    text = F.when(F.col("doc_id") % 97 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    number, docs = F.col("id").cast("long"), tb.digest_corpus(spark, d, text)
+    return docs.where(number % 89 != 3).withColumn("label", F.when(number % 101 == 7, "clean").otherwise(F.col("label")))
 
 
 @query(f"SELECT substr(digest, 1, 16) AS fingerprint FROM ({_tree_sql('doc_corpus')}) WHERE node = ''")
 def fingerprint(spark, d):
-    return co.fingerprint(tb.doc_corpus(spark, d))
+    return co.fingerprint(_digests(spark, d))
 
 
 @query(f"SELECT * FROM ({_tree_sql('doc_corpus')})")
 def build_tree(spark, d):
-    return co.tree(tb.doc_corpus(spark, d))
+    return co.tree(_digests(spark, d))
 
 
 @query(f"SELECT node, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after FROM (SELECT * FROM ({_tree_sql('doc_corpus')}) WHERE length(node) = 3) a FULL JOIN (SELECT * FROM ({_tree_sql(_EDITED_DOCS)}) WHERE length(node) = 3) b USING (node) WHERE a.digest IS DISTINCT FROM b.digest")
 def changed_ranges(spark, d):
-    return co.changed_ranges(co.tree(tb.doc_corpus(spark, d)), co.tree(_edited_docs(spark, d)))
+    return co.changed_ranges(co.tree(_digests(spark, d)), co.tree(_edited_digests(spark, d)))
 
 
 @query(f"SELECT id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'edited' END AS change FROM (SELECT id, label, text, id AS i FROM doc_corpus) a FULL JOIN {_EDITED_DOCS} b USING (id) WHERE a.i IS NULL OR b.text IS NULL OR a.label <> b.label OR a.text <> b.text".replace("a.id IS NULL THEN", "a.i IS NULL THEN").replace("b.id IS NULL THEN", "b.text IS NULL THEN"))
 def changed_documents(spark, d):
-    return co.changed_documents(tb.doc_corpus(spark, d), _edited_docs(spark, d))
+    return co.changed_documents(_digests(spark, d), _edited_digests(spark, d))
 
 
 # -- thresholds and metrics ----------------------------------------------------

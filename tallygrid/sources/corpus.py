@@ -106,13 +106,19 @@ def sliced(raw: DataFrame, slice_name: str = "all", limit: int | None = None) ->
 
 #: Hexadecimal digits of an id's hash that name a leaf of a build's tree.
 DEPTH = 3
-_LINE = ("id", "label", "text")
 
 
 def _leaf(depth: int) -> Column:
     return F.substring(F.sha2(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"), 256), 1, depth)
 
 
+def _line(docs: DataFrame) -> Column:
+    """The digest of (id, label, text), null as empty; a column text_digest, made before texts would travel, stands for the text."""
+    text = F.col("text_digest") if "text_digest" in docs.columns else F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "label")]
+    return F.sha2(F.concat(*[x for p in (*parts, text) for x in (p, F.lit("\u0000"))]).cast("binary"), 256)
+
+
 def tree(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(node, n, digest): a hash tree over (id, label, text), sixteen children a node; the root's name is empty.
 
@@ -120,9 +126,7 @@ def tree(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     changes its leaf and the path to the root, and nothing else.  The rows of a leaf
     are summed up as numbers, digest by digest: no order counts, repeated rows do, and no task holds a leaf.
     """
-    zero = F.lit("\u0000")
-    line = F.concat(*[x for c in _LINE for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), zero)])
-    rows = docs.select(_leaf(depth).alias("node"), F.sha2(line.cast("binary"), 256).alias("d"))
+    rows = docs.select(_leaf(depth).alias("node"), _line(docs).alias("d"))
     parts = [F.sum(F.conv(F.substring("d", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"x{i}") for i in range(4)]
     leaves = rows.groupBy("node").agg(F.count("*").alias("n"), *parts)
     level = leaves.select("node", "n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), "x0", "x1", "x2", "x3"), 256).alias("digest"))
@@ -158,8 +162,7 @@ def changed_documents(before: DataFrame, after: DataFrame, trees: tuple[DataFram
     """
     was, now = trees or (tree(before), tree(after))
     nodes = F.broadcast(changed_ranges(was, now).select("node"))
-    digest = F.sha2(F.concat_ws("\u0000", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in _LINE]), 256)
-    rows = lambda df, name: df.withColumn("node", _leaf(DEPTH)).join(nodes, "node", "left_semi").select("id", digest.alias(name))
+    rows = lambda df, name: df.withColumn("node", _leaf(DEPTH)).join(nodes, "node", "left_semi").select("id", _line(df).alias(name))
     both = rows(before, "was").join(rows(after, "now"), "id", "full").where(~F.col("was").eqNullSafe(F.col("now")))
     change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("edited")
     return both.select("id", change.alias("change"))

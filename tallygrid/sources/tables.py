@@ -32,6 +32,13 @@ def doc_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def digest_corpus(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    """(id, label, text_digest) of the labelled documents, the text as given: only digests meet the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("text_digest"))
+    both = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    return both.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("toxic") == 1, "injected").otherwise("clean").alias("label"), "text_digest")
+
+
 def row_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A large corpus without text: order lines, returned ones injected, with four scores a to d and two verdicts v, w."""
     li = table(spark, sf_dir, "lineitem")
