@@ -1,4 +1,4 @@
-"""Commands: run, compare, rescore and latency."""
+"""Commands: run, compare, backfill, rescore and latency."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions.labels import aperture_label, aperture_tag
 from .functions.shipping import ship
 from .functions.text import pseudonym_map, pseudonymise_outside
+from .operators import backfill as bf
 from .operators import compare as cm
 from .operators import delta as dl
 from .operators import evaluate as ev
@@ -88,6 +89,7 @@ def _store(spark: SparkSession, out: str, run_id: str, record: dict, tables: dic
     """Write a run's tables and then its record, which makes it known; the record with what was measured."""
     for name, df in tables.items():
         st.derive(df, out, name, run_id)
+    bf.note(spark, out, [(run_id, name) for name in tables])
     here = lambda t, v: F.sum(F.when(F.col("budget").eqNullSafe(F.lit(record["budget"]).cast("double")), F.col(v)).otherwise(0))
     share = lambda t: spark.read.parquet(f"{out}/{t}/run_id={run_id}").agg((here(t, "hits") / F.nullif(here(t, "n"), F.lit(0))).alias("r"), here(t, "n").alias("n")).first()
     cells, rates = share("cells"), share("rates")
@@ -191,12 +193,32 @@ def run(a: argparse.Namespace) -> None:
     print(run_id if a.no_report else _page(spark, a.out, run_id, record))
 
 
+def _fill(spark: SparkSession, results: str, runs: DataFrame) -> None:
+    done, refused = bf.fill(spark, results, runs)
+    if done:
+        print(f"made {len(done)} tables of {len({r for r, *_ in done})} runs from saved scores")
+    for run_id, why in sorted(refused.items()):
+        print(f"{run_id}: {why}")
+
+
+def backfill(a: argparse.Namespace) -> None:
+    """Make the tables that saved runs lack, or that follow an older definition, without any detector."""
+    spark = _session()
+    runs = st.read_runs(spark, a.results)
+    if a.dry_run:
+        for r in bf.todo(runs, bf.notes(spark, a.results), bf.definitions()).orderBy("run_id", "table").collect():
+            print(f"{r['run_id']}: {r['table']} is {r['state']}")
+        return
+    _fill(spark, a.results, runs)
+
+
 def compare(a: argparse.Namespace) -> None:
     """All runs of the current build side by side: a fixed number of jobs, whatever their number."""
     spark = _session()
     runs = st.latest(st.measurements(st.read_runs(spark, a.results), a.slice))
     build = a.dataset or st.current_build(runs).first()[0]
     runs = runs.where(F.col("dataset") == build)
+    _fill(spark, a.results, runs)
     label = aperture_label(F.col("policy"), F.col("window"), F.col("overlap").cast("int"), F.col("forced"))
     known = sorted({*sc.REGISTRY, *(r["detector"] for f in a.adapters or [] for r in sc.registered(f))})
     page = cm.overview(spark, a.results, runs.withColumn("aperture", label), ev.POINTS, known)
@@ -320,6 +342,10 @@ def main(argv: list[str] | None = None) -> None:
     q.set_defaults(f=compare)
     for flag, kw in {"--results": _RESULTS, "--slice": {"default": "all"}, "--dataset": {}, "--adapters": {"action": "append"}, "--out": {}}.items():
         q.add_argument(flag, **kw)
+    q = sub.add_parser("backfill")
+    q.set_defaults(f=backfill)
+    for flag, kw in {"--results": _RESULTS, "--dry-run": {"action": "store_true"}}.items():
+        q.add_argument(flag, **kw)
     q = sub.add_parser("rescore")
     q.set_defaults(f=rescore)
     for flag, kw in {"--ids": {}, "--ids-from": {}, "--results": _RESULTS, "--data": _DATA, "--only": {}, "--parent": {"required": True}, "--adapters": {"action": "append"}, "--dry-run": {"action": "store_true"}}.items():

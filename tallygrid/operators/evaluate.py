@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import rate, threshold_rank, wilson
@@ -50,24 +50,26 @@ def thresholds(clean: DataFrame, targets: Iterable[float], by: str | None = None
             if lo == hi:
                 out[key] = lo
                 del search[key]
-        spans = sorted({(g, lo, hi, n <= _FEW) for (g, _), (lo, hi, n, _) in search.items()})
-        if not spans:
+        if not search:
             break
-        table = F.broadcast(spark.createDataFrame(spans, "g string, lo double, hi double, few boolean"))
-        near = rows.join(table, "g").where(F.col("s").between(F.col("lo"), F.col("hi")))
+        ranks: dict = {}
+        for (g, _), (lo, hi, n, k) in search.items():
+            ranks.setdefault((g, lo, hi, n <= _FEW), set()).add(k)
+        table = spark.createDataFrame([(*span, sorted(ks)) for span, ks in sorted(ranks.items())], "g string, lo double, hi double, few boolean, ks array<long>")
+        near = rows.join(F.broadcast(table), "g").where(F.col("s").between(F.col("lo"), F.col("hi")))
         width = (F.col("hi") - F.col("lo")) / _CELLS
         cell = F.least(F.floor((F.col("s") - F.col("lo")) / width), F.lit(_CELLS - 1)).cast("double")
         at = F.when(F.col("few") | (width == 0), F.col("s")).otherwise(cell).alias("at")
-        cells: dict = {}
-        counted = near.groupBy("g", "lo", "hi", at).agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b"))
-        for r in counted.collect():
-            cells.setdefault((r["g"], r["lo"], r["hi"]), []).append((r["a"], r["b"], r["n"]))
+        span = ("g", "lo", "hi")
+        cells = near.groupBy(*span, at).agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b"), F.first("ks").alias("ks"))
+        higher = Window.partitionBy(*span).orderBy(F.desc("a")).rowsBetween(Window.unboundedPreceding, -1)
+        cells = cells.withColumn("above", F.coalesce(F.sum("n").over(higher), F.lit(0)))
+        holds = F.filter("ks", lambda k: (k > F.col("above")) & (k <= F.col("above") + F.col("n")))
+        # the driver gets the one cell that holds each rank
+        spot = {(r["g"], r["lo"], r["hi"], r["k"]): r for r in cells.select(*span, "a", "b", "n", "above", F.explode(holds).alias("k")).collect()}
         for key, (lo, hi, _, k) in list(search.items()):
-            for a, b, n in sorted(cells[key[0], lo, hi], reverse=True):
-                if n >= k:
-                    search[key] = (a, b, n, k)
-                    break
-                k -= n
+            r = spot[key[0], lo, hi, k]
+            search[key] = (r["a"], r["b"], r["n"], k - r["above"])
     return {((g if by else None), t): v for (g, t), v in out.items()} | ({} if ranges or by else {(None, t): math.inf for t in targets})
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as lb
 from ..functions import text as tx
 from ..functions.shipping import ship
+from ..operators import backfill as bf
 from ..operators import compare as cmp
 from ..operators import delta as dl
 from ..operators import evaluate as ev
@@ -419,6 +420,50 @@ def already_measured(spark, d):
     return st.already_measured(log.where("mean_recall is not null"), want)
 
 
+@query("""SELECT w.run_id, w.t AS "table", w.definition, CASE WHEN m.definition IS NULL THEN 'missing' ELSE 'out of date' END AS state
+    FROM (SELECT run_id, verdict, t, CASE WHEN t IN ('curve', 'rates') THEN 'd0' ELSE 'd1' END AS definition FROM run_log, (VALUES ('taus'), ('cells'), ('marginals'), ('rates'), ('curve')) AS x(t)) w
+    LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, "table" ORDER BY made DESC, definition DESC) AS rn FROM note_log) WHERE rn = 1) m ON w.run_id = m.run_id AND w.t = m."table"
+    WHERE NOT (w.verdict AND w.t = 'curve') AND m.definition IS DISTINCT FROM w.definition""")
+def backfill_todo(spark, d):
+    """Derived tables that saved runs lack, or that were made by another definition."""
+    how = {t: "d0" if t in ("curve", "rates") else "d1" for t in bf.DERIVED}
+    return bf.todo(tb.run_log(spark, d).select("run_id", "verdict"), tb.note_log(spark, d), how)
+
+
+_FILLED = ("r01", "r02", "r03", "r04", "r05", "r06", "r07", "r11")
+
+
+def _filled(spark, d, name):
+    rows = tb.scores(spark, d, _FILLED)
+    taus = bf.points(rows, [(r[0], r[12], 0.05 if r[0] == "r03" else None) for r in tb.RUNS if r[0] in _FILLED])
+    return bf.tables(bf.cube(rows, taus), taus)[name]
+
+
+_HITS = "count(*) FILTER (score>=tau) AS hits, count(*) AS n FROM filled JOIN filled_tau USING (run_id)"
+
+
+@query(f"SELECT *, {recall()} FROM (SELECT run_id, target AS budget, family, action, {_HITS} WHERE label='injected' GROUP BY ALL)")
+def filled_cells(spark, d):
+    """Cells of several runs, each at its own budgets, in one pass."""
+    return _filled(spark, d, "cells")
+
+
+@query(f"SELECT *, {recall()} FROM (" + " UNION ALL ".join(f"SELECT run_id, target AS budget, '{a}' AS axis, {a} AS key, {_HITS} WHERE label='injected' AND {a} IS NOT NULL GROUP BY ALL" for a in AXES) + ")")
+def filled_marginals(spark, d):
+    return _filled(spark, d, "marginals")
+
+
+@query(f"SELECT *, {recall(name='fpr')} FROM (SELECT run_id, target AS budget, host_type, {_HITS} WHERE label='clean' GROUP BY ALL)")
+def filled_rates(spark, d):
+    return _filled(spark, d, "rates")
+
+
+@query("""SELECT run_id, target, tau AS threshold, count(*) FILTER (label='clean' AND score>=tau)::DOUBLE/count(*) FILTER (label='clean') AS fpr,
+    count(*) FILTER (label='injected' AND score>=tau)::DOUBLE/count(*) FILTER (label='injected') AS recall FROM filled JOIN filled_tau13 USING (run_id) GROUP BY ALL""")
+def filled_curves(spark, d):
+    return _filled(spark, d, "curve")
+
+
 _KEYED = " || chr(10) || ".join(f"'{k}=' || coalesce(CAST(\"{k}\" AS VARCHAR), chr(0))" for k in sorted(st.SETTINGS))
 
 

@@ -94,6 +94,11 @@ CTES: dict[str, str] = {
     "runs": f"SELECT * FROM (VALUES {values(RUNS)}) AS t(run_id, detector, version, display, policy, \"window\", overlap, forced, limit_n, slice, dataset, run_at, verdict, score_column)",
     "scored": " UNION ALL ".join(f"SELECT '{r[0]}' AS run_id, '{r[1]}' AS detector, {r[-1]} AS score, label, host_type, family, action FROM row_corpus" for r in _SCORED),
     "measured": " UNION ALL ".join(f"SELECT '{r[0]}' AS run_id, '{r[1]}' AS detector, {_lit(r[12])} AS verdict, {r[-1]} AS score, label, host_type, family, action FROM row_corpus" for r in _ALL),
+    "filled": " UNION ALL ".join(f"SELECT '{r[0]}' AS run_id, {_lit(r[12])} AS verdict, {r[-1]} AS score, label, {', '.join(AXES)} FROM row_corpus" for r in _ALL),
+    "filled_tau": pick_tau("(SELECT * FROM filled WHERE label='clean' AND NOT verdict)", POINTS, "run_id") + " UNION ALL "
+    + pick_tau("(SELECT * FROM filled WHERE label='clean' AND run_id='r03')", "(VALUES (0.05::DOUBLE)) AS tt(t)", "run_id") + " UNION ALL SELECT DISTINCT run_id, NULL, 0.5::DOUBLE FROM filled WHERE verdict",
+    "filled_tau13": pick_tau("(SELECT * FROM filled WHERE label='clean' AND NOT verdict)", CURVE, "run_id"),
+    "note_log": f"SELECT 'run' || l_orderkey AS run_id, {_pick('l_linenumber % 5', ('taus', 'cells', 'marginals', 'rates', 'curve'))} AS \"table\", 'd' || (l_suppkey % 2) AS definition, CAST(l_partkey % 40 AS BIGINT) AS made FROM lineitem",
     "run_tau13": pick_tau("(SELECT * FROM scored WHERE label='clean')", CURVE, "run_id"),
     "run_curve": "SELECT run_id, target, count(*) FILTER (label='clean' AND score>=tau)::DOUBLE/count(*) FILTER (label='clean') AS fpr, count(*) FILTER (label='injected' AND score>=tau)::DOUBLE/count(*) FILTER (label='injected') AS recall FROM scored JOIN run_tau13 USING (run_id) GROUP BY ALL",
     "run_tau": pick_tau("(SELECT * FROM measured WHERE label='clean' AND NOT verdict)", "(VALUES (0.01::DOUBLE)) AS tt(t)", "run_id") + " UNION ALL SELECT run_id, NULL, 0.5::DOUBLE FROM runs WHERE verdict",

@@ -112,6 +112,17 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def note_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes on how derived tables of the runs of run_log were made: every order line is one; times tie, tables repeat."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.concat(F.lit("run"), F.col("l_orderkey").cast("string")).alias("run_id"),
+        _choose(F.pmod("l_linenumber", F.lit(5)), ("taus", "cells", "marginals", "rates", "curve")).alias("table"),
+        F.concat(F.lit("d"), F.pmod("l_suppkey", F.lit(2)).cast("string")).alias("definition"),
+        F.pmod("l_partkey", F.lit(40)).cast("long").alias("made"),
+    )
+
+
 def registry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detectors with an adapter and the name each is printed under: one for each nation; some have no run."""
     n = table(spark, sf_dir, "nation")
