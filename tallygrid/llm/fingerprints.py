@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
@@ -132,6 +132,11 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _longs(values: list[int | None]) -> Column:
+    """A constant array: one literal of the plan, however many numbers it holds."""
+    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast("array<long>")
+
+
 def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, one row for each row of docs.
 
@@ -144,6 +149,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 
     Documents are dealt to ranges of ids; each range also gets the first
     document of the range after it, so one shuffle of the texts is enough.
+    A row finds its range by bisection, whatever their number.
     """
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -151,17 +157,20 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     ranges = 4 * parts
     at = [i / ranges for i in range(1, ranges)]
     edges = sorted(set(map(int, docs.approxQuantile("doc_id", at, 1 / (8 * ranges)))))
-    cuts = F.array(*map(F.lit, edges)).cast("array<long>")
-    bucket = F.size(F.filter(cuts, lambda x: x <= F.col("doc_id"))).cast("int")
+    cuts = _longs(edges)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))])
+    bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at)) if edges else F.lit(0)
     heads = docs.where("doc_id is not null").groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("head")).orderBy("bucket").collect()
-    own = docs.select(F.coalesce(bucket, F.lit(0)).alias("bucket"), F.lit(False).alias("ghost"), "doc_id", "text")
+    placed = docs.withColumn("bucket", bucket)
+    own = placed.select("bucket", F.lit(False).alias("ghost"), "doc_id", "text")
     if heads:
-        before = {r["head"]: heads[i - 1]["bucket"] for i, r in enumerate(heads)}
-        ids, prev = F.array(*map(F.lit, before)).cast("array<long>"), F.array(*map(F.lit, before.values())).cast("array<int>")
-        k = F.array_position(ids, F.col("doc_id"))
-        ghosts = F.when(k > 0, F.struct(F.try_element_at(prev, k.cast("int")).alias("bucket"), F.lit(True).alias("ghost")))
-        here = F.struct(F.coalesce(bucket, F.lit(0)).alias("bucket"), F.lit(False).alias("ghost"))
+        head, before = [None] * (len(edges) + 1), [None] * (len(edges) + 1)
+        for i, r in enumerate(heads):
+            head[r["bucket"]], before[r["bucket"]] = r["head"], heads[i - 1]["bucket"]
+        first = F.col("doc_id") == F.get(_longs(head), F.col("bucket"))
+        ghosts = F.when(first, F.struct(F.get(_longs(before), F.col("bucket")).cast("int").alias("bucket"), F.lit(True).alias("ghost")))
+        here = F.struct("bucket", F.lit(False).alias("ghost"))
         both = F.filter(F.array(here, ghosts), lambda x: x.isNotNull())
-        own = docs.select(F.explode(both).alias("p"), "doc_id", "text").select("p.*", "doc_id", "text")
+        own = placed.select(F.explode(both).alias("p"), "doc_id", "text").select("p.*", "doc_id", "text")
     dealt = own.repartition(parts, "bucket").sortWithinPartitions("bucket", "ghost", "doc_id", "text")
     return dealt.mapInArrow(_follow, _SCHEMA)
