@@ -76,3 +76,11 @@ def test_weights_and_keys_against_counting(spark, graded):
     assert [(r["doc_id"], r["n_features"], r["kept"]) for r in got] == [(w[0], w[1], w[3] >= last) for w in want]
     for r, w in zip(got, want, strict=True):
         assert r["log_weight"] == pytest.approx(w[2], rel=1e-9, abs=1e-9) and r["key"] == pytest.approx(w[3], rel=1e-9, abs=1e-9)
+
+
+def test_clashing_columns_are_not_read(spark, documents):
+    labels = documents.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("quality"), F.lit(0).alias("toxic"), F.lit(9).alias("key"), F.lit("x").alias("text"))
+    got = im.resample(spark, documents.withColumn("log_weight", F.lit(1)).withColumn("tie", F.lit(2)).withColumn("noise", F.lit(3)), labels)
+    assert got.columns == ["doc_id", "n_features", "log_weight", "key", "kept"]
+    bare = im.resample(spark, documents.select("doc_id", "text"), labels.select("doc_id", "quality", "toxic"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, bare.collect()))
