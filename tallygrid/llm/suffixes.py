@@ -40,7 +40,8 @@ from .textkit import hash_ranges, mix, pack_sorted, signed, unpack_sorted
 from .workspace import Workspace, mounted_folder, swept
 
 WINDOW, ANCHOR, SPLITS = 100, 50, 4
-HOLD = 2_000_000
+#: Segments, or their numbers, that a task holds before it sends them on.
+HOLD = 1 << 19
 #: Symbols of one suffix array; a larger group of one core is decided by hashes of whole windows.
 BLOCK = 1 << 17
 _U = np.uint64
@@ -170,7 +171,9 @@ def _store_repeated(folder: str):
         h = [unpack_sorted(x.as_py()) for x in table.column("keys")]
         g = [np.frombuffer(x.as_py(), "<u8") for x in table.column("segs")]
         n = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(k)).astype(np.int64) + 1 for x, k in zip(table.column("many"), h, strict=True)]
-        h, _, n = _distinct(np.concatenate(h), np.concatenate(g), np.concatenate(n))
+        h, g, n = np.concatenate(h), np.concatenate(g), np.concatenate(n)
+        del table  # the part is held once
+        h, _, n = _distinct(h, g, n)
         at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         total, kinds = np.add.reduceat(n, at), np.diff(np.append(at, len(h)))
         keep = total > 1
