@@ -42,6 +42,8 @@ from .workspace import Workspace, mounted_folder, swept
 WINDOW, ANCHOR, SPLITS = 100, 50, 4
 #: Segments, or their numbers, that a task holds before it sends them on.
 HOLD = 1 << 19
+#: Bytes of text to a part of the anchors; a task holds a part.
+PART_BYTES = 16 << 20
 #: Symbols of one suffix array; a larger group of one core is decided by hashes of whole windows.
 BLOCK = 1 << 17
 _U = np.uint64
@@ -450,7 +452,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     docs = docs.withColumn("text_key", F.coalesce(F.xxhash64("text"), F.lit(0)))
     real = docs.where("doc_id is not null and octet_length(text) >= 100").select("doc_id", "text_key", "text")
 
-    bits = part_bits(real)
+    bits = part_bits(real, PART_BYTES)
     with swept(spark):
         counted = real.select("text").mapInArrow(_count_segments(bits), "part long, keys binary, segs binary, many binary")
         stored = counted.groupBy("part").applyInArrow(_store_repeated(folder), "part long, n long")
