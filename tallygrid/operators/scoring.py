@@ -56,6 +56,8 @@ class Detector:
     binary = False
     max_chars: int | None = None
     policy = "full"
+    #: Whether a sentence of more than max_chars is cut under the policy "sentence".
+    cap = True
     overlap = 4
     overlap_share: float | None = None
     native = True
@@ -90,11 +92,18 @@ class Detector:
         if policy == "full":
             return tx.windows_full(text)
         if policy == "sentence":
-            return tx.windows_sentence(text, size)
+            return tx.windows_sentence(text, size, self.cap)
         if policy == "truncate":
             return tx.windows_truncate(text, size)
         return tx.windows_chunk(text, size, None if self.overlap_share else self.overlap, self.overlap_share)
 
+    def pieces(self, text: Column) -> Column:
+        """The texts of the windows."""
+        policy, size, _ = self.aperture()
+        if policy == "sentence" and not self.cap:
+            return tx.whole_sentences(text, size)
+        return F.transform(self.windows(text), lambda s: tx.cut(text, s))
+
 
 def register(name: str, version: str) -> Callable[[type[Detector]], type[Detector]]:
     def add(kind: type[Detector]) -> type[Detector]:
@@ -116,10 +125,10 @@ class Floor(Detector):
     pattern = tx.FLOOR
 
     def score_expr(self, text: Column, doc_id: Column) -> Column:
-        return F.when(text.rlike(self.pattern), 1.0).otherwise(0.0)
+        return F.when(tx.matches(text, self.pattern), 1.0).otherwise(0.0)
 
     def score_text(self, text: str, doc_id: str = "") -> float:
-        return float(re.search(self.pattern, text) is not None)
+        return float(re.search(tx.as_re2(self.pattern), text, re.ASCII) is not None)
 
 
 class Graded(Detector):
@@ -258,8 +267,7 @@ def score_counted(docs: DataFrame, detector: Detector) -> DataFrame:
     if detector.native and detector.aperture()[0] == "full":
         return docs.select("id", detector.score_expr(F.col("text"), F.col("id")).alias("score"), F.lit(1).cast("long").alias("windows"))
     if detector.native:
-        spans = detector.windows(F.col("text"))
-        each = F.transform(spans, lambda s: detector.score_expr(tx.cut(F.col("text"), s), F.col("id")))
+        each = F.transform(detector.pieces(F.col("text")), lambda piece: detector.score_expr(piece, F.col("id")))
         return docs.select("id", each.alias("each")).select("id", F.coalesce(F.array_max("each"), F.lit(0.0)).alias("score"), F.size("each").cast("long").alias("windows"))
     by_doc = score_windows(docs, detector).groupBy("id").agg(F.max("score").alias("score"), F.count("*").alias("windows"))
     both = docs.select("id").join(by_doc, "id", "left")

@@ -101,3 +101,22 @@ def test_windows_carry_columns(spark, docs):
 
     got = {r["id"]: r["score"] for r in sc.score_documents(small, Native()).collect()}
     assert got == {r["id"]: len(r["text"]) + 1000 * r["n"] for r in small.collect()}
+
+
+def test_fold_max_equals_its_sql_on_long_sentences_and_other_letters(spark, tmp_path):
+    """A word across the cap of a long sentence, letters beside and inside a word, and a null text."""
+    import duckdb
+
+    from tallygrid.plans import catalogue
+
+    words = ["x" * 1996 + " license here", "lic", "élicense", "licenſe", "License_", "", None, "a. B " * 500 + "LICENSE", " " * 2500, "üdisregard the above", "ſyſtem prompt", "dısregard the above"]
+    spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r["id"]: r["score"] for r in catalogue.queries()["fold_max"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(catalogue.oracles()["fold_max"]).fetchall())
+    assert got["0"] == 1.0 and "6" not in got
+    spark.createDataFrame([(i, t) for i, t in enumerate(words) if t is not None], "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    got = {r["id"]: r["score"] for r in catalogue.queries()["floor_score"](spark, str(tmp_path)).collect()}
+    con.execute(f"create or replace view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.execute(catalogue.oracles()["floor_score"]).fetchall())
