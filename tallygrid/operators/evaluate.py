@@ -23,25 +23,32 @@ AXES = ("family", "action", "host_type", "host_source", "spliced_at", "obfuscati
 _CELLS, _FEW = 2048, 20_000
 
 
-def thresholds(clean: DataFrame, targets: Iterable[float], by: str | None = None, score: str = "score") -> dict:
+def thresholds(clean: DataFrame, targets: Iterable[float], by: str | None = None, score: str = "score", weight: str | None = None) -> dict:
     """{(group, target): threshold} for clean(score[, group]); without groups the key is (None, target).
 
     No clean score: infinity.  A rank beyond the scores: just above the least.
-    NULL and NaN scores are refused.
+    NULL and NaN scores are refused.  A row counts ``weight`` times: rows that
+    went weigh -1, and their scores must also be among those that are there.
     """
     group = F.col(by).cast("string") if by else F.lit(None).cast("string")
-    rows = clean.select(F.coalesce(group, F.lit("")).alias("g"), F.col(score).cast("double").alias("s"))
+    size = F.count("*") if weight is None else F.sum("w")
+    own = [] if weight is None else [F.col(weight).cast("long").alias("w")]
+    rows = clean.select(F.coalesce(group, F.lit("")).alias("g"), F.col(score).cast("double").alias("s"), *own)
     bad = F.count_if(F.col("s").isNull() | F.isnan("s"))
-    ranges = {r["g"]: r for r in rows.groupBy("g").agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"), bad.alias("bad")).collect()}
+    ranges = {r["g"]: r for r in rows.groupBy("g").agg(size.alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"), bad.alias("bad")).collect()}
     if any(r["bad"] for r in ranges.values()):
         raise ValueError("scores must be numbers")
+    ranges = {g: r for g, r in ranges.items() if r["n"] > 0}
     targets = list(targets)
     out, search = {}, {}
     for g, r in ranges.items():
         for t in targets:
             k = threshold_rank(r["n"], t)
             if k > r["n"]:
-                out[g, t] = r["lo"] + 1e-12
+                least = r["lo"]
+                if weight is not None:  # the least score that is still there
+                    least = rows.where(F.col("g") == g).groupBy("s").agg(size.alias("n")).where("n > 0").agg(F.min("s")).first()[0]
+                out[g, t] = least + 1e-12
             else:
                 search[g, t] = (r["lo"], r["hi"], r["n"], k)
     spark = clean.sparkSession
@@ -56,14 +63,16 @@ def thresholds(clean: DataFrame, targets: Iterable[float], by: str | None = None
         for (g, _), (lo, hi, n, k) in search.items():
             ranks.setdefault((g, lo, hi, n <= _FEW), set()).add(k)
         table = spark.createDataFrame([(*span, sorted(ks)) for span, ks in sorted(ranks.items())], "g string, lo double, hi double, few boolean, ks array<long>")
-        near = rows.join(F.broadcast(table), "g").where(F.col("s").between(F.col("lo"), F.col("hi")))
+        near = rows.join(F.broadcast(table.drop("ks")), "g").where(F.col("s").between(F.col("lo"), F.col("hi")))
         width = (F.col("hi") - F.col("lo")) / _CELLS
         cell = F.least(F.floor((F.col("s") - F.col("lo")) / width), F.lit(_CELLS - 1)).cast("double")
         at = F.when(F.col("few") | (width == 0), F.col("s")).otherwise(cell).alias("at")
         span = ("g", "lo", "hi")
-        cells = near.groupBy(*span, at).agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b"), F.first("ks").alias("ks"))
+        cells = near.groupBy(*span, at).agg(size.alias("n"), F.min("s").alias("a"), F.max("s").alias("b"))
         higher = Window.partitionBy(*span).orderBy(F.desc("a")).rowsBetween(Window.unboundedPreceding, -1)
         cells = cells.withColumn("above", F.coalesce(F.sum("n").over(higher), F.lit(0)))
+        # the ranks meet the cells, not the scores: an array among the sums would have all scores sorted
+        cells = cells.join(F.broadcast(table.drop("few")), list(span))
         holds = F.filter("ks", lambda k: (k > F.col("above")) & (k <= F.col("above") + F.col("n")))
         # the driver gets the one cell that holds each rank
         spot = {(r["g"], r["lo"], r["hi"], r["k"]): r for r in cells.select(*span, "a", "b", "n", "above", F.explode(holds).alias("k")).collect()}

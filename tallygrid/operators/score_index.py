@@ -15,7 +15,7 @@ they lie, so counts can be corrected by differences (see ``delta``).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -199,14 +199,15 @@ def counted(index: Index, taus: DataFrame) -> DataFrame:
     return both.select(*taus.columns, hit("c_up", "c").alias("clean_hits"), "clean", hit("i_up", "i").alias("hits"), "injected")
 
 
-def peers(index: Index, runs: DataFrame, subjects: DataFrame, same_detector: bool = False) -> DataFrame:
+def peers(index: Index | DataFrame, runs: DataFrame, subjects: DataFrame, same_detector: bool = False, move: Callable[..., DataFrame] = moved_to) -> DataFrame:
     """(subject, run_id, recall): every indexed run of runs(run_id, detector) moved to the rate of each of subjects(run_id, detector, fpr_pooled).
 
     Runs of a subject's own detector take part only with ``same_detector``;
     a run without injected scores has no recall and is left out.
+    ``move`` and what it moves by may be ``scan.moved_to`` and the scores themselves.
     """
     names = runs.select("run_id", "detector").collect()
     pairs = [(s[0], r["run_id"], s[2]) for s in subjects.select("run_id", "detector", "fpr_pooled").collect() for r in names if same_detector or r["detector"] != s[1]]
     pairs = F.broadcast(runs.sparkSession.createDataFrame(pairs, "subject string, run_id string, rate double"))
-    got = moved_to(index, pairs.select("run_id", "rate").distinct()).where("injected > 0")
+    got = move(index, pairs.select("run_id", "rate").distinct()).where("injected > 0")
     return got.join(pairs, ["run_id", "rate"]).select("subject", "run_id", (F.col("hits") / F.col("injected")).alias("recall"))

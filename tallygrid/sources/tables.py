@@ -39,8 +39,8 @@ def digest_corpus(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     return both.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("toxic") == 1, "injected").otherwise("clean").alias("label"), "text_digest")
 
 
-def row_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A large corpus without text: order lines, returned ones injected, with four scores a to d and two verdicts v, w."""
+def row_corpus(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """A large corpus without text: order lines, returned ones injected, with four scores a to d and two verdicts v, w; more columns may be asked for."""
     li = table(spark, sf_dir, "lineitem")
     injected = F.col("l_returnflag") == "R"
     price, disc, tax, qty = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
@@ -54,7 +54,7 @@ def row_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(injected, _choose(F.pmod("l_partkey", F.lit(3)), ("end", "paragraph", "sentence"))).alias("spliced_at"),
         F.when(injected, _choose(F.pmod("l_orderkey", F.lit(4)), ("none", "homoglyph", "zero_width", "leetspeak"))).alias("obfuscation"),
         (price * disc).alias("a"), (price * (disc + tax)).alias("b"), (price * tax).alias("c"), (qty * price).alias("d"),
-        F.when(disc >= 0.1, 1.0).otherwise(0.0).alias("v"), F.when(disc >= 0.05, 1.0).otherwise(0.0).alias("w"), disc.alias("tied"),
+        F.when(disc >= 0.1, 1.0).otherwise(0.0).alias("v"), F.when(disc >= 0.05, 1.0).otherwise(0.0).alias("w"), disc.alias("tied"), *more,
     )
 
 
