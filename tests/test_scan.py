@@ -54,3 +54,25 @@ def test_queries_write_no_scores(spark, sf, monkeypatch, name):
     monkeypatch.setattr(si, "write", refuse)
     monkeypatch.setattr(si, "read", refuse)
     assert catalogue.queries()[name](spark, sf).count()
+
+
+def test_collapse_apertures_looks_for_no_threshold(spark, sf, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("verdict runs have the threshold 0.5")
+
+    monkeypatch.setattr(ev, "thresholds", refuse)
+    assert catalogue.queries()["collapse_apertures"](spark, sf).count()
+
+
+def test_thresholds_sort_no_scores(spark, monkeypatch):
+    kind = type(spark.range(1))
+    plans, collect = [], kind.collect
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return collect(df)
+
+    monkeypatch.setattr(kind, "collect", kept)
+    rows = spark.range(50_000).select((F.col("id") % 977).cast("double").alias("score"))
+    assert ev.thresholds(rows, (0.01, 0.5))[None, 0.5] == sorted((i % 977 for i in range(50_000)), reverse=True)[25_000]
+    assert len(plans) > 1 and not any("SortAggregate" in p for p in plans)
