@@ -128,6 +128,23 @@ def tables(counts: DataFrame, taus: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def curves(rows: DataFrame, taus: DataFrame, length: int = len(ev.CURVE)) -> DataFrame:
+    """The table of curves alone: scores are counted by run, side and how many of the run's thresholds they reach, not by axes."""
+    reach = lambda i: F.when(F.col("score") >= F.get("limits", F.lit(i)), 1).otherwise(0)
+    limits = taus.where(F.size("curve") > 0).select("run_id", F.col("curve.tau").alias("limits"))
+    own = rows.select("run_id", "label", "score").join(F.broadcast(limits), "run_id")
+    counts = own.select("run_id", "label", sum((reach(i) for i in range(length)), F.lit(0)).alias("level")).groupBy("run_id", "label", "level").agg(F.count("*").alias("n"))
+    each = taus.select("run_id", "curve", F.explode("curve").alias("p"))
+    # a score that reaches a threshold reaches all that are no greater
+    each = each.select("run_id", "p", F.size(F.filter("curve", lambda x: x["tau"] <= F.col("p.tau"))).alias("need"))
+    side = lambda x, when=F.lit(True): F.sum(F.when((F.col("label") == x) & when, F.col("n")).otherwise(0))
+    hit = F.col("level") >= F.col("need")
+    sums = counts.join(F.broadcast(each), "run_id").groupBy("run_id", "p.target", F.col("p.tau").alias("threshold"))
+    got = sums.agg(side("clean", hit).alias("fp"), side("injected", hit).alias("tp"), side("clean").alias("clean"), side("injected").alias("injected"))
+    got = got.where("clean > 0 and injected > 0")
+    return got.select("run_id", "target", "threshold", (F.col("fp") / F.col("clean")).alias("fpr"), (F.col("tp") / F.col("injected")).alias("recall"))
+
+
 def refusal() -> Column:
     """Why a run's tables cannot be made; null if they can.  Needs has_scores and has_build."""
     return F.when(~F.col("has_scores"), "no scores of it are in the store").when(~F.col("has_build"), "its build is not laid out in the store")

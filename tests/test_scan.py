@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallygrid.operators import backfill as bf
 from tallygrid.operators import evaluate as ev
 from tallygrid.operators import scan as sn
 from tallygrid.operators import score_index as si
@@ -76,3 +77,15 @@ def test_thresholds_sort_no_scores(spark, monkeypatch):
     rows = spark.range(50_000).select((F.col("id") % 977).cast("double").alias("score"))
     assert ev.thresholds(rows, (0.01, 0.5))[None, 0.5] == sorted((i % 977 for i in range(50_000)), reverse=True)[25_000]
     assert len(plans) > 1 and not any("SortAggregate" in p for p in plans)
+
+
+def test_curves_equal_those_of_the_cube(spark, sf, monkeypatch):
+    from tallygrid.sources import tables as tb
+
+    rows = tb.scores(spark, sf, ("r01", "r05", "r06")).where("run_id <> 'r05' or label = 'clean'").withColumn("score", F.round("score", -2))
+    taus = bf.points(rows, [("r01", False, None), ("r05", False, None), ("r06", True, None)])
+    want = bf.tables(bf.cube(rows, taus), taus)["curve"]
+    key = lambda df: sorted(map(tuple, df.select("run_id", "target", "threshold", "fpr", "recall").collect()))
+    assert key(bf.curves(rows, taus)) == key(want) and want.count() == len(ev.CURVE)
+    monkeypatch.setattr(bf, "cube", None)  # the query counts by run and side alone
+    assert catalogue.queries()["filled_curves"](spark, sf).count()
