@@ -39,6 +39,8 @@ SHINGLE, SHINGLES, GRAM, GRAMS, FEW = 4, 8, 12, 12, 8
 LENGTH_STEP = 1.12
 #: Bytes of texts whose keys go to one task, and of those dealt at once.
 PART_BYTES, DEAL_BYTES = 8 << 20, 8 << 20
+#: Characters up to which a line goes into tiles with its text.
+CARRIED = 4096
 #: Lines of one side of a tile whose pairs are tried at once.
 STRIP = 32
 #: Lines with one key among those dealt at once from which the key's rows are spread over all tasks.
@@ -323,11 +325,26 @@ def _distinct(rows: np.ndarray) -> np.ndarray:
     return rows[fresh]
 
 
-def _by_length(rows: np.ndarray) -> np.ndarray:
-    """Every row twice, its key split by its length class and the next."""
+def _by_length(rows: np.ndarray, whole: bool = False) -> np.ndarray:
+    """Every row twice, its key split by its length class and the next.
+
+    Where the rows are ``whole``, all of each key and ascending by key, kind
+    becomes 1 in lists whose members all meet in another one, else 0.
+    """
+    kind = rows["kind"].astype(_U)
+    spare = np.zeros((2, len(rows)), bool)
+    if whole and len(rows):
+        order = np.lexsort((kind, rows["key"]))
+        key, ordered = rows["key"][order], kind[order]
+        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (ordered[1:] != ordered[:-1]))))
+        one, k = key[first], ordered[first]
+        beside = (one[1:] == one[:-1]) & (k[1:] == k[:-1] + _U(1))
+        count = np.diff(np.append(first, len(rows)))
+        below, above = (np.repeat(x, count) for x in (np.append(False, beside), np.append(beside, False)))
+        spare[:, order] = ~below, below & ~above
     out = np.concatenate([rows, rows])
-    kind = np.concatenate([rows["kind"].astype(_U), rows["kind"].astype(_U) + _U(1)])
-    out["key"] = mix(out["key"] ^ mix(kind + _U(1)))
+    out["key"] = mix(out["key"] ^ mix(np.concatenate([kind, kind + _U(1)]) + _U(1)))
+    out["kind"] = spare.ravel()
     return out
 
 
@@ -340,14 +357,15 @@ def _several(rows: np.ndarray) -> np.ndarray:
 
 
 def _shared_keys(table: pa.Table) -> pa.Table:
-    """The keys of one part to (key, node) of the keys and length classes that several nodes have."""
+    """The keys of one part to (key, node, spare) of the keys and length classes that several nodes have; spare lists add nothing."""
     how = table.column("how").to_numpy()
     blobs = table.column("pairs").to_pylist()
     plain, spread, marks = (np.frombuffer(b"".join(x for x, k in zip(blobs, how, strict=True) if k == kind), _PAIR) for kind in (_PLAIN, _SPREAD, _MARK))
     marked = np.isin(plain["key"], marks["key"])
-    rest = _several(_distinct(_by_length(_several(_distinct(plain[~marked])))))
+    rest = _several(_distinct(_by_length(_several(_distinct(plain[~marked])), True)))
     rows = np.concatenate([rest, *(_by_length(_distinct(x)) for x in (plain[marked], spread))])
-    return pa.table({"key": pa.array(signed(np.ascontiguousarray(rows["key"]))), "node": pa.array(signed(np.ascontiguousarray(rows["node"])))})
+    key, node = (pa.array(signed(np.ascontiguousarray(rows[c]))) for c in ("key", "node"))
+    return pa.table({"key": key, "node": node, "spare": pa.array(rows["kind"] != 0)})
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -559,6 +577,10 @@ def _similar(percent: int):
     return run
 
 
+def _confirmed(percent: int):
+    return lambda xs, ys: all_within(xs, ys, percent)
+
+
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(wanted nodes and line numbers, text) to (node, its normalised line)."""
     for batch in batches:
@@ -570,7 +592,7 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for x in wanted[r]:
                     node.append(x["node"])
                     norm.append(lines[int(first[r]) + x["line"]].decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(norm, pa.string())], names=["node", "norm"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(norm, pa.string())], names=["node", "text"])
 
 
 def repeated_lines(ws: Workspace, keyed: DataFrame, min_words: int = 1) -> DataFrame:
@@ -579,15 +601,22 @@ def repeated_lines(ws: Workspace, keyed: DataFrame, min_words: int = 1) -> DataF
     parts = 1 + (keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
     scan = ws.cut(keyed.mapInArrow(_scan(min_words, parts), _SCAN))
     dealt = scan.where("part is not null").select("part", "how", "pairs").groupBy("part")
-    met = ws.cut(dealt.applyInArrow(_shared_keys, "key long, node long"))
+    met = ws.cut(dealt.applyInArrow(_shared_keys, "key long, node long, spare boolean").where("not spare").select("key", "node"))
     occ = ws.cut(scan.where("part is null").select("h", "h2", "doc_id", "text_key", "line", "size", "lo", "hi", "bag"))
     ws.drop(scan)
     where = F.struct("doc_id", "text_key", "line")
-    classes = occ.groupBy("h", "h2").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.min("bag").alias("bag"))
-    classes = ws.cut(classes)
     # a hash that two different lines have stands for one of them in lists; the other meets no near lines
-    listed = classes.join(met.select(F.col("node").alias("h")).distinct(), "h").groupBy("h")
-    sig = ws.cut(listed.agg(F.min(F.struct("h2", "first", "size", "lo", "hi", "bag")).alias("x")).select(F.col("h").alias("node"), "x.*"))
+    listed = occ.join(met.select(F.col("node").alias("h")).distinct(), "h").groupBy("h")
+    sig = ws.cut(listed.agg(F.min(F.struct("h2", where.alias("first"), "size", "lo", "hi", "bag")).alias("x")).select(F.col("h").alias("node"), "x.*"))
+
+    def norms(nodes: DataFrame) -> DataFrame:
+        """(node, text): the normalised lines of nodes."""
+        wanted = nodes.join(sig.select("node", "first"), "node").select("node", "first.*")
+        wanted = ws.cut(wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("node", "line")).alias("wanted")))
+        found = keyed.join(bounded(wanted, BROADCAST_ROWS, F.size("wanted")), ["doc_id", "text_key"]).select("wanted", "text")
+        out = ws.cut(found.mapInArrow(_pick, "node long, text string").dropDuplicates(["node"]))
+        ws.drop(wanted)
+        return out
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x: sig.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "lo", "hi", "bag")))
@@ -597,22 +626,24 @@ def repeated_lines(ws: Workspace, keyed: DataFrame, min_words: int = 1) -> DataF
         both = both.where((bits <= MAX_BITS) | (F.least("size_a", "size_b") <= SHORT) | bare).select("a", "b", "size_a", "size_b", "bag_a", "bag_b")
         near = ws.cut(both.mapInArrow(_possible(MIN_SIMILARITY), "a long, b long"))
         nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        wanted = nodes.join(sig.select("node", "first"), "node").select("node", "first.*")
-        wanted = ws.cut(wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("node", "line")).alias("wanted")))
-        found = keyed.join(bounded(wanted, BROADCAST_ROWS, F.size("wanted")), ["doc_id", "text_key"]).select("wanted", "text")
-        norms = ws.cut(found.mapInArrow(_pick, "node long, norm string").dropDuplicates(["node"]))
-        pairs = near.join(norms.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a")
-        pairs = pairs.join(norms.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
+        named = norms(nodes)
+        pairs = near.join(named.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        pairs = pairs.join(named.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         out = ws.cut(pairs.select("a", "b", "x", "y").mapInArrow(_similar(MIN_SIMILARITY), "a long, b long"))
-        ws.drop(near, wanted, norms)
+        ws.drop(near, named)
         return out
 
-    labels = linked_lists(ws, met, verify, Sieve(sig.select("node", "size", "lo", "hi", "bag"), _possible_matrix(MIN_SIMILARITY)), short=2, hubs=1)
+    def texts(nodes: DataFrame) -> DataFrame:
+        return norms(nodes.join(sig.where(F.col("size") <= CARRIED).select("node"), "node"))
+
+    sieve = Sieve(sig.select("node", "size", "lo", "hi", "bag"), _possible_matrix(MIN_SIMILARITY), texts, _confirmed(MIN_SIMILARITY))
+    labels = linked_lists(ws, met, verify, sieve, short=2, hubs=1)
     ws.drop(met)
     linked = labels.join(sig.select("node", "h2"), "node").select(F.col("node").alias("h"), "h2", "comp")
+    classes = occ.groupBy("h", "h2").agg(F.min(where).alias("first"), F.count("*").alias("n"))
     named = classes.join(linked, ["h", "h2"], "left").select("h", "h2", "first", "n", "comp").where("n > 1 or comp is not null")
     named = ws.cut(named)
-    ws.drop(sig, classes)
+    ws.drop(sig)
     lead = named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("lead"))
     named = named.join(lead, "comp", "left").select("h", "h2", F.coalesce("lead", "first").alias("lead"))
     gone = occ.join(named, ["h", "h2"]).where(where != F.col("lead")).select("doc_id", "text_key", "line")

@@ -185,10 +185,16 @@ class Sieve(NamedTuple):
     ``table`` has a column node, a row or more for each, and signature columns;
     ``match(a, b)`` gives for two Arrow tables of these a matrix of truth
     values, true wherever ``verify`` might keep the pair.
+
+    ``texts`` may give (node, text) for a table of nodes, one row or none for
+    each, and ``confirm(xs, ys)`` which pairs of texts are linked, as ``verify``
+    would; pairs whose texts are there are then decided where they are found.
     """
 
     table: DataFrame
     match: Callable[[pa.Table, pa.Table], np.ndarray]
+    texts: Callable[[DataFrame], DataFrame] | None = None
+    confirm: Callable[[list[str], list[str]], np.ndarray] | None = None
 
 
 #: Members of a list on one side of a tile.
@@ -197,7 +203,47 @@ TILE = 2048
 FEW_TRIES = 16
 
 
-def _in_tile(match: Callable[[pa.Table, pa.Table], np.ndarray]):
+#: Pairs of a tile that are confirmed at once; keys of other lists that are looked at at once.
+CONFIRMED, KEYS = 512, 1024
+
+
+def _met_before(x: list[np.ndarray], y: list[np.ndarray], key: int) -> np.ndarray:
+    """Which pairs of members, told by the keys of their lists, share a key below ``key`` too."""
+    side = [np.repeat(np.arange(len(z)), [len(k) for k in z]) for z in (x, y)]
+    keys = [np.concatenate(z) if z else np.zeros(0, np.int64) for z in (x, y)]
+    both = np.intersect1d(*keys)
+    both = both[both < key]
+    out = np.zeros((len(x), len(y)), bool)
+    for i in range(0, len(both), KEYS):
+        some, has = both[i : i + KEYS], []
+        for row, k, n in zip(side, keys, out.shape, strict=True):
+            at = np.searchsorted(some, k)
+            hit = some[np.minimum(at, len(some) - 1)] == k
+            m = np.zeros((n, len(some)), np.float32)
+            m[row[hit], at[hit]] = 1
+            has.append(m)
+        out |= has[0] @ has[1].T > 0
+    return out
+
+
+def _joining(p: np.ndarray, q: np.ndarray, label: np.ndarray, linked: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Numbers of pairs (p, q) of members that are linked; pairs that earlier ones have joined are not tried."""
+    out, label, left = [], label.copy(), np.arange(len(p))
+    while True:
+        left = left[label[p[left]] != label[q[left]]]
+        if not len(left):
+            return np.concatenate(out) if out else left
+        some, left = left[:CONFIRMED], left[CONFIRMED:]
+        for k in some[linked(p[some], q[some])]:
+            a, b = label[p[k]], label[q[k]]
+            if a != b:
+                label[label == b] = a
+                out.append([k])
+
+
+def _in_tile(sieve: Sieve):
+    match, confirm = sieve.match, sieve.confirm
+
     def run(table: pa.Table) -> pa.Table:
         own = table.column("own").to_numpy()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -210,32 +256,58 @@ def _in_tile(match: Callable[[pa.Table, pa.Table], np.ndarray]):
         ok &= ~((x["prev"][:, None] == y["prev"][None, :]) & x["some"][:, None] & y["some"][None, :])
         if i == j:
             ok = np.triu(ok, 1)
+        sure = np.zeros(0, bool)
+        if confirm is not None and ok.any():
+            key = table.column("key")[0].as_py()
+            lists = [[np.array(k, np.int64) for k in t.column("keys").to_pylist()] for t in (a, b)]
+            ok &= ~_met_before(*lists, key)
         p, q = np.nonzero(ok)
+        if confirm is not None:
+            # a pair without its texts is handed on
+            xs, ys = (np.array(t.column("text").to_pylist(), object) for t in (a, b))
+            sure = np.array([xs[m] is not None and ys[n] is not None for m, n in zip(p.tolist(), q.tolist(), strict=True)], bool)
+            one, two = p[sure], q[sure]
+            _, label = np.unique(np.concatenate([x["comp"], y["comp"]]), return_inverse=True)
+            found = _joining(one, two + len(xs), label, lambda m, n: confirm(xs[m].tolist(), ys[n - len(xs)].tolist()))
+            p, q = np.concatenate([one[found], p[~sure]]), np.concatenate([two[found], q[~sure]])
+            sure = np.arange(len(p)) < len(found)
         p, q = x["node"][p], y["node"][q]
-        return pa.table({"a": pa.array(np.minimum(p, q)), "b": pa.array(np.maximum(p, q))})
+        return pa.table({"a": pa.array(np.minimum(p, q)), "b": pa.array(np.maximum(p, q)), "sure": pa.array(sure if confirm is not None else np.zeros(len(p), bool))})
 
     return run
 
 
-def _tiled(now: DataFrame, sieve: Sieve) -> DataFrame:
-    """Pairs across components of now(key, node, lead, prev, comp, big, total, n), list by list in tiles of bounded size.
+def _tiled(ws: Workspace, now: DataFrame, sieve: Sieve) -> DataFrame:
+    """(a, b, sure): pairs across components of now(key, node, lead, prev, comp, big, total, n), list by list in tiles of bounded size.
 
     The n members in a list's largest component and the others are dealt to
     blocks of about TILE; every two blocks, one at least of the others, are a
-    tile, so no task ever holds a list.
+    tile, so no task ever holds a list.  Pairs that are ``sure`` are linked and
+    join what is not joined in the tile; the others are to be verified.  With
+    ``confirm`` a pair of several lists is tried in the one of the lowest key.
     """
     outs = F.ceil((F.col("total") - F.col("n")) / TILE).cast("int")
     rows = now.withColumn("outs", outs).withColumn("blocks", F.col("outs") + F.ceil(F.col("n") / TILE).cast("int"))
     place = F.xxhash64("node")
     inner = F.col("comp") == F.col("big")
     own = F.when(inner, F.col("outs") + F.pmod(place, F.col("blocks") - F.col("outs"))).otherwise(F.pmod(place, "outs")).cast("int")
-    rows = rows.withColumn("own", own).join(sieve.table, "node")
+    rows = rows.withColumn("own", own)
+    more, nodes, texts = [c for c in sieve.table.columns if c != "node"], None, None
+    if sieve.confirm is None:
+        rows = rows.join(sieve.table, "node")
+    else:
+        nodes = ws.cut(now.groupBy("node").agg(F.collect_set("key").alias("keys")))
+        texts = sieve.texts(nodes.select("node"))
+        rows = rows.join(nodes.join(sieve.table, "node").join(texts, "node", "left"), "node")
+        more += ["keys", "text"]
     last = F.when(inner, F.col("outs")).otherwise(F.col("blocks")) - 1
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     rows = rows.withColumn("some", F.col("prev").isNotNull()).withColumn("prev", F.coalesce("prev", F.lit(0).cast("long")))
-    keep = ["key", "i", "j", "own", "node", "comp", "lead", "prev", "some", *(c for c in sieve.table.columns if c != "node")]
-    return rows.select(*keep).groupBy("key", "i", "j").applyInArrow(_in_tile(sieve.match), "a long, b long")
+    keep = ["key", "i", "j", "own", "node", "comp", "lead", "prev", "some", *more]
+    out = ws.cut(rows.select(*keep).groupBy("key", "i", "j").applyInArrow(_in_tile(sieve), "a long, b long, sure boolean"))
+    ws.drop(nodes, texts)
+    return out
 
 
 def linked_lists(
@@ -274,8 +346,13 @@ def linked_lists(
         pairs = pairs.union(_short_pairs(live, short))
         many = live.where(F.col("cnt") > short)
     leader = F.when(F.col("lead"), F.col("node"))
-    other = F.min_by("node", F.when(F.col("lead"), F.xxhash64("node"))) if hubs > 1 else F.min(leader)
-    star = ws.cut(many.join(many.groupBy("key").agg(F.min(leader).alias("hub"), other.alias("hub2")), "key"), True)
+    if hubs > 1:
+        chosen = many.groupBy("key").agg(F.min(leader).alias("hub"), F.min_by("node", F.when(F.col("lead"), F.xxhash64("node"))).alias("hub2"))
+    else:
+        company = many.groupBy("node").agg(F.sum("cnt").alias("company"))
+        chosen = many.join(company, "node").groupBy("key").agg(F.max_by("node", F.when(F.col("lead"), F.struct("company", "node"))).alias("hub"))
+        chosen = chosen.withColumn("hub2", F.col("hub"))
+    star = ws.cut(many.join(chosen, "key"), True)
     met = _in_order(star, "node", "hub")
     met = (met.union(_in_order(star, "node", "hub2")) if hubs > 1 else met).where("a <> b")
     links = ws.cut(verify(pairs.union(met).distinct()))
@@ -303,12 +380,15 @@ def linked_lists(
     led = few.where("comp <> big and lead").select("key", "node", "comp", "prev", "big").join(other, "key")
     plain = few.where("comp <> big and not lead").select("key", "node", "comp", "prev", "big").join(other, "key").where("comp2 = big and lead2")
     out = _in_order(led.union(plain).where("comp <> comp2 and coalesce(prev <> prev2, true)"), "node", "node2")
+    tiles = None
     if not lists.where("not few").isEmpty():
-        out = out.union(_tiled(now.where("not few"), sieve))
+        tiles = _tiled(ws, now.where("not few"), sieve)
+        out = out.union(tiles.where("not sure").select("a", "b"))
     more = ws.cut(verify(out.distinct()))
-    if not more.isEmpty():
+    found = more if tiles is None else more.union(tiles.where("sure").select("a", "b"))
+    if not found.isEmpty():
         known = labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
-        before, labels = labels, ws.cut(components(ws, known.union(more)), True)
+        before, labels = labels, ws.cut(components(ws, known.union(found)), True)
         ws.drop(before)
-    ws.drop(rest, lists, now, more)
+    ws.drop(rest, lists, now, tiles, more)
     return labels
