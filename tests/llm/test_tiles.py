@@ -21,7 +21,7 @@ def test_long_lists_hand_no_pairs_of_two_components_to_verify(spark, monkeypatch
         return pairs.where("a % 9 = b % 9").select("a", "b")
 
     def texts(nodes):
-        return nodes.where("node % 20 <> 3").select("node", F.col("node").cast("string").alias("text"))
+        return nodes.where("node % 20 <> 3").selectExpr("node", "string(node) AS text")
 
     sieve = Sieve(spark.range(n).selectExpr("id AS node", "id AS node2"), lambda a, b: np.ones((a.num_rows, b.num_rows), bool), texts, lambda x, y: np.array([int(a) % 9 == int(b) % 9 for a, b in zip(x, y, strict=True)], bool))
     got = {r["node"]: r["comp"] for r in linked_lists(Workspace(spark), df, verify, sieve, short=2, hubs=1).collect()}
